@@ -27,6 +27,7 @@ def register(name: str, sql: str | None = None):
 
 _MODULES = (
     "q_retrieval",
+    "q_safety",
 )
 
 
