@@ -101,7 +101,7 @@ def judge_parse(raw: Column | str) -> tuple[Column, Column]:
     parsed = F.get_json_object(t, "$")
     valid = t.startswith("{") & t.endswith("}") & parsed.isNotNull()
     sval = F.get_json_object(t, "$.score")
-    score = F.when(valid, F.coalesce(F.try_cast(sval, "double"), F.lit(0.0))).otherwise(F.lit(0.0))
+    score = F.when(valid, F.coalesce(sval.try_cast("double"), F.lit(0.0))).otherwise(F.lit(0.0))
     reason = F.when(valid, F.coalesce(F.get_json_object(t, "$.reasoning"), F.lit(""))).otherwise(
         F.concat(F.lit("Evaluation error: invalid judge reply: "), F.left(F.coalesce(r, F.lit("")), F.lit(50))))
     return score, reason

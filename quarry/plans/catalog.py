@@ -28,6 +28,8 @@ def register(name: str, sql: str | None = None):
 _MODULES = (
     "q_retrieval",
     "q_safety",
+    "q_evaluation",
+    "q_inference",
 )
 
 

@@ -40,3 +40,47 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def doc_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors keyed like documents: embeddings.vec_id = documents.doc_id."""
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+
+
+def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation cases from conversations: each user turn t with an
+    assistant reply at t+1 is a case (question = user text, answer = reply,
+    context = text of turn t-1 or '', ground_truth = the assistant text at
+    t+3 or ''). Built with equi-joins on (conv_id, turn), so one very long
+    conversation spreads over many tasks instead of one window partition.
+    case_id = conv_id * 1000000 + turn.
+    """
+    conv = table(spark, sf_dir, "conversations")
+    u = conv.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
+    a = conv.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    p = conv.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("context"))
+    g = conv.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 3).alias("turn"), F.col("text").alias("ground_truth"))
+    j = (u.join(a, ["conv_id", "turn"]).join(p, ["conv_id", "turn"], "left")
+         .join(g, ["conv_id", "turn"], "left"))
+    return j.select((F.col("conv_id") * 1000000 + F.col("turn")).alias("case_id"),
+                    "question", "answer", F.coalesce("context", F.lit("")).alias("context"),
+                    F.coalesce("ground_truth", F.lit("")).alias("ground_truth"))
+
+
+# event_type -> model deployment for usage rows derived from
+# events; "error" events map to a deployment missing from the price list.
+EVENT_DEPLOYMENT = {
+    "click": "gpt-4o",
+    "view": "gpt-4o-mini",
+    "purchase": "gpt-4-turbo",
+    "signup": "text-embedding-3-large",
+    "error": "custom-finetune",
+}
+
+
+def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model-call usage rows from events: (event_id, ts, user_id, deployment,
+    input_tokens = round(value * 100), output_tokens = props.k * 10)."""
+    ev = table(spark, sf_dir, "events")
+    m = F.create_map(*[x for k, v in EVENT_DEPLOYMENT.items() for x in (F.lit(k), F.lit(v))])
+    return ev.select("event_id", "ts", "user_id",
+                     F.coalesce(F.try_element_at(m, F.col("event_type")), F.col("event_type")).alias("deployment"),
+                     F.round(F.col("value") * 100).cast("int").alias("input_tokens"),
+                     (F.get_json_object("props", "$.k").cast("int") * 10).alias("output_tokens"))
