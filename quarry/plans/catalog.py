@@ -30,6 +30,7 @@ _MODULES = (
     "q_safety",
     "q_evaluation",
     "q_inference",
+    "q_mlpipe",
 )
 
 
