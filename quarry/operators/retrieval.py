@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.plans.sizing import bounded_count, broadcast_if_bounded, fixed_broadcast
+from quarry.plans.sizing import (BROADCAST_MAX_ROWS, bounded_count, broadcast_if_bounded,
+                                 fixed_broadcast, materialize)
 
 # Fixed values (published defaults): BM25 k1/b (Robertson & Zaragoza 2009),
 # RRF constant 60 (Cormack et al. 2009), default top_k 10.
@@ -71,33 +72,55 @@ def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     F.avg(F.size(T.words(text_col)).cast("double")).alias("avgdl"))
 
 
-def term_frequencies(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
-    """(doc_id, dl, term, tf) restricted to ``terms`` (distinct term column).
+def term_frequencies(docs: DataFrame, terms: DataFrame, text_col: str = "text",
+                     broadcast_terms: bool = True) -> DataFrame:
+    """(doc_id, dl, term, tf) restricted to ``terms`` (distinct term column),
+    plus exactly one row per document with term NULL (the document marker).
 
-    The term set is broadcast behind a size check and applied as a semi join
-    right after tokenising, so only matching tokens reach the aggregation; the
-    aggregation is combined map-side (one row per doc and term leaves a task).
+    The document is tokenised once. Tokens not in the (broadcast) query
+    vocabulary become NULL, and a NULL marker is appended to every token
+    list, so the map-side partial aggregate collapses each document's
+    non-query tokens into that one marker row. The same aggregate then feeds
+    the corpus statistics (marker rows), document frequencies and term
+    frequencies, and Spark reuses its shuffle for all three.
     """
-    vocab = broadcast_if_bounded(terms.select("term").distinct())
-    occ = T.explode_tokens(docs, ["doc_id"], T.words(text_col), with_len="dl")
-    return (occ.join(vocab, "term", "left_semi")
-            .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+    vocab = terms.select("term").distinct().withColumn("__q", F.lit(True))
+    if broadcast_terms:
+        vocab = F.broadcast(vocab)
+    staged = docs.select("doc_id", F.coalesce(T.words(text_col), F.array().cast("array<string>"))
+                         .alias("__toks"))
+    staged = staged.select("doc_id", F.size("__toks").alias("dl"),
+                           F.concat("__toks", F.array(F.lit(None).cast("string"))).alias("__toks"))
+    occ = staged.select("doc_id", "dl", F.explode_outer("__toks").alias("term"))
+    occ = occ.join(vocab, "term", "left").select(
+        "doc_id", "dl", F.when(F.col("__q"), F.col("term")).alias("term"))
+    return occ.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25_scores(queries: DataFrame, docs: DataFrame, k1: float = BM25_K1, b: float = BM25_B,
                 query_col: str = "query", text_col: str = "text") -> DataFrame:
-    """(query_id, doc_id, score) for every doc sharing a term with a query."""
+    """(query_id, doc_id, raw) for every doc sharing a term with a query.
+
+    Only the query side is size-checked (a cheap count over the queries);
+    the vocabulary and document-frequency tables are bounded by it, so they
+    are broadcast together or not at all.
+    """
     qt = query_terms(queries, query_col)
-    tf = term_frequencies(docs, qt, text_col)
+    small = bounded_count(qt, BROADCAST_MAX_ROWS) <= BROADCAST_MAX_ROWS
+    # One pass over the corpus; its small (doc, query term) aggregate is
+    # written once and shared by the statistics, df and tf consumers.
+    agg = materialize(term_frequencies(docs, qt, text_col, broadcast_terms=small), "bm25-tf")
+    stats = agg.filter(F.col("term").isNull()).agg(
+        F.count(F.lit(1)).alias("n_docs"), F.avg(F.col("dl").cast("double")).alias("avgdl"))
+    tf = agg.filter(F.col("term").isNotNull())
     df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = fixed_broadcast(corpus_stats(docs, text_col))  # one row
-    qt_b = broadcast_if_bounded(qt)
+    hint = F.broadcast if small else (lambda x: x)
     idf = F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl"))
     part = idf * F.col("tf") * (k1 + 1.0) / norm
-    return (tf.join(broadcast_if_bounded(df_), "term")
-            .join(qt_b, "term")
-            .crossJoin(stats)
+    return (tf.join(hint(df_), "term")
+            .join(hint(qt), "term")
+            .crossJoin(fixed_broadcast(stats))  # one row
             .groupBy("query_id", "doc_id").agg(F.sum(part).alias("raw")))
 
 

@@ -32,3 +32,18 @@ def fixed_broadcast(df: DataFrame) -> DataFrame:
     """Broadcast for tables whose size is fixed by construction (literal
     price lists, rule tables, one-row aggregates)."""
     return F.broadcast(df)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as parquet under the session's shared checkpoint
+    folder and read it back: a lineage cut that survives executor loss and
+    lets several consumers share one computation (Spark only reuses a
+    shuffle when the optimised subtrees are identical, which pushed-down
+    filters usually prevent)."""
+    import uuid
+
+    from quarry.session import checkpoint_dir
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/quarry/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
