@@ -31,6 +31,7 @@ _MODULES = (
     "q_evaluation",
     "q_inference",
     "q_mlpipe",
+    "q_extraction",
 )
 
 
