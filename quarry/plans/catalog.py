@@ -32,6 +32,7 @@ _MODULES = (
     "q_inference",
     "q_mlpipe",
     "q_extraction",
+    "q_search",
 )
 
 
