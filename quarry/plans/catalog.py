@@ -33,6 +33,7 @@ _MODULES = (
     "q_mlpipe",
     "q_extraction",
     "q_search",
+    "q_models",
 )
 
 
