@@ -34,6 +34,7 @@ _MODULES = (
     "q_extraction",
     "q_search",
     "q_models",
+    "q_streaming",
 )
 
 

@@ -40,10 +40,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     lets several consumers share one computation (Spark only reuses a
     shuffle when the optimised subtrees are identical, which pushed-down
     filters usually prevent)."""
+    return df.sparkSession.read.parquet(write_shared(df, name))
+
+
+def write_shared(df: DataFrame, name: str) -> str:
+    """Write ``df`` as parquet to a fresh folder under the shared checkpoint
+    folder; returns the path (e.g. to start a file stream on it)."""
     import uuid
 
     from quarry.session import checkpoint_dir
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/quarry/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/quarry/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return path

@@ -76,9 +76,14 @@ EVENT_DEPLOYMENT = {
 
 
 def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model-call usage rows from events: (event_id, ts, user_id, deployment,
-    input_tokens = round(value * 100), output_tokens = props.k * 10)."""
-    ev = table(spark, sf_dir, "events")
+    """Model-call usage rows from the events table (see ``usage_rows``)."""
+    return usage_rows(table(spark, sf_dir, "events"))
+
+
+def usage_rows(ev: DataFrame) -> DataFrame:
+    """Model-call usage rows from events (batch or stream): (event_id, ts,
+    user_id, deployment, input_tokens = round(value * 100), output_tokens =
+    props.k * 10)."""
     m = F.create_map(*[x for k, v in EVENT_DEPLOYMENT.items() for x in (F.lit(k), F.lit(v))])
     return ev.select("event_id", "ts", "user_id",
                      F.coalesce(F.try_element_at(m, F.col("event_type")), F.col("event_type")).alias("deployment"),
