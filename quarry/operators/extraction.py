@@ -168,7 +168,8 @@ def table_markdown(cells: DataFrame, tables: DataFrame, keys=("doc_id", "table_n
     """
     keys = list(keys)
     t = tables.select(*keys, "rows", "columns")
-    win = (cells.join(t, keys)
+    c = cells.select(*keys, "ordinal", "row_index", "column_index", "content")
+    win = (c.join(t, keys)
            .filter((F.col("row_index") >= 0) & (F.col("row_index") < F.col("rows")) &
                    (F.col("column_index") >= 0) & (F.col("column_index") < F.col("columns")))
            .groupBy(*keys, "row_index", "column_index")
