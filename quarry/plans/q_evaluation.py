@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.functions.templates import render_sql
 from quarry.operators import evaluation as V
 from quarry.plans import sqlfrag as Q
 from quarry.plans.catalog import register
@@ -110,7 +111,7 @@ WITH {CASES_SQL}
 SELECT case_id, metric_no, metric, md5(prompt) AS prompt_md5, length(prompt) AS prompt_chars FROM (
   {' UNION ALL '.join(
     f"SELECT case_id, {i} AS metric_no, '{m}' AS metric, "
-    + __import__('quarry.functions.templates', fromlist=['x']).render_sql(V.PROMPTS[m])
+    + render_sql(V.PROMPTS[m])
     + " AS prompt FROM cases" for i, m in enumerate(V.METRICS))})
 """)
 def judge_prompts(spark, sf_dir):
@@ -190,3 +191,42 @@ SELECT name, round(value, 6) AS value FROM (
 def metrics_long(spark, sf_dir):
     m = V.metrics_long(V.eval_summary(_results(spark, sf_dir)))
     return m.select("name", _r6("value"))
+
+
+@register("judge_scores", sql=f"""
+WITH {CASES_SQL}, {_judge_sql()}
+SELECT case_id, metric_no, metric, raw FROM judge
+""")
+def judge_scores(spark, sf_dir):
+    """V2: the judge's raw replies, one per (case, metric)."""
+    return V.offline_judge(eval_cases(spark, sf_dir))
+
+
+@register("eval_wide", sql=f"""
+WITH {RESULTS_SQL}
+SELECT case_id, {', '.join(f'round({m}, 6) AS {m}' for m in V.METRICS)} FROM res
+""")
+def eval_wide(spark, sf_dir):
+    """V4: long judge scores pivoted to one row per case."""
+    raw = V.offline_judge(eval_cases(spark, sf_dir))
+    s, r = V.judge_parse("raw")
+    wide = V.eval_wide(raw.select("case_id", "metric", s.alias("score"), r.alias("reasoning")))
+    return wide.select("case_id", *[_r6(m) for m in V.METRICS])
+
+
+@register("overall_score", sql=f"""
+WITH {RESULTS_SQL}
+SELECT case_id, round(overall_score, 6) AS overall_score, overall_score >= 3.0 AS passed FROM res2
+""")
+def overall_score(spark, sf_dir):
+    """V5/V6: mean of the positive scores; passed at >= 3.0."""
+    return _results(spark, sf_dir).select("case_id", _r6("overall_score"), "passed")
+
+
+@register("ground_truth_metrics", sql=f"""
+WITH {RESULTS_SQL}
+SELECT case_id, round(similarity, 6) AS similarity, round(f1_score, 6) AS f1_score FROM res
+""")
+def ground_truth_metrics(spark, sf_dir):
+    """V8: similarity and F1 only where ground truth is non-empty."""
+    return _results(spark, sf_dir).select("case_id", _r6("similarity"), _r6("f1_score"))

@@ -302,3 +302,31 @@ def route_documents(spark, sf_dir):
         F.coalesce(F.try_element_at(m, F.col("o_orderstatus")), F.lit("other")).alias("doc_type"))
     routes = spark.createDataFrame(ROUTES, "doc_type string, spec string")
     return D.route_documents(o, routes)
+
+
+@register("doc_to_index_rows", sql=f"""
+WITH {_CELLS_SQL}, {_FIELDS_SQL}, {LAYOUT_SQL},
+fl AS (SELECT doc_id, string_agg(name || ': ' || value, chr(10) ORDER BY field_no) AS content FROM f GROUP BY doc_id)
+SELECT CAST(doc_id AS VARCHAR) || '#table#' || CAST(table_no AS VARCHAR) AS id, 'table' AS category,
+       'invoice' AS source, md5(markdown) AS content_md5 FROM md
+UNION ALL
+SELECT CAST(doc_id AS VARCHAR) || '#fields#0', 'fields', 'invoice', md5(content) FROM fl
+UNION ALL
+SELECT CAST(page_id AS VARCHAR) || '#para#' || CAST(generate_subscripts(paragraphs, 1) - 1 AS VARCHAR), 'para',
+       'page', md5(UNNEST(paragraphs)) FROM lay
+""")
+def doc_to_index_rows(spark, sf_dir):
+    """Extracted tables (Markdown), fields ('name: value' lines) and
+    paragraphs routed into search-table rows with deterministic ids."""
+    from quarry.sources import search_table as ST
+    md = _markdown(spark, sf_dir)
+    t = md.select(*ST.index_rows("table", F.col("doc_id"), F.col("table_no"), F.col("markdown"), F.lit("invoice")))
+    f = invoice_fields(spark, sf_dir)
+    lines = f.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(
+        "field_no", F.concat("name", F.lit(": "), "value").alias("line")))).alias("ls"))
+    fl = lines.select(*ST.index_rows("fields", F.col("doc_id"), F.lit(0),
+                                     F.array_join(F.transform("ls", lambda x: x["line"]), "\n"), F.lit("invoice")))
+    p = _page_results(spark, sf_dir).select("page_id", F.posexplode("paragraphs").alias("n", "p"))
+    pr = p.select(*ST.index_rows("para", F.col("page_id"), F.col("n"), F.col("p"), F.lit("page")))
+    rows = t.unionByName(fl).unionByName(pr)
+    return rows.select("id", "category", "source", F.md5("content").alias("content_md5"))

@@ -9,8 +9,9 @@ from quarry.operators import retrieval as R
 from quarry.operators import safety as S
 from quarry.plans import sqlfrag as Q
 from quarry.plans.catalog import register
+from quarry.plans.q_evaluation import CASES_SQL
 from quarry.plans.q_retrieval import bm25_cte
-from quarry.sources.tables import corpus, search_queries, table
+from quarry.sources.tables import corpus, eval_cases, search_queries, table
 
 CATS = S.CATEGORIES
 LO, MID, HI = S.SEVERITY_CUTS
@@ -246,3 +247,17 @@ FROM s
 """)
 def segment_max_severity(spark, sf_dir):
     return S.segment_max_severity(corpus(spark, sf_dir))
+
+
+@register("groundedness", sql=f"""
+WITH {CASES_SQL}
+SELECT case_id, {_ground_sql('answer', 'context')[0]} AS groundedness_score,
+       {_ground_sql('answer', 'context')[1]} AS is_grounded
+FROM cases
+""")
+def groundedness(spark, sf_dir):
+    """C10 over evaluation cases: the answer checked against its context
+    (empty context fails open)."""
+    c = eval_cases(spark, sf_dir)
+    score, grounded = S.groundedness(F.col("answer"), F.col("context"))
+    return c.select("case_id", score.alias("groundedness_score"), grounded.alias("is_grounded"))
