@@ -117,11 +117,13 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, k1: float = BM25_K1, b: flo
     hint = F.broadcast if small else (lambda x: x)
     idf = F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl"))
-    part = idf * F.col("tf") * (k1 + 1.0) / norm
-    return (tf.join(hint(df_), "term")
-            .join(hint(qt), "term")
-            .crossJoin(fixed_broadcast(stats))  # one row
-            .groupBy("query_id", "doc_id").agg(F.sum(part).alias("raw")))
+    # The per-(doc, term) weight is query-independent: compute it once,
+    # before the join with the query terms multiplies rows by the number of
+    # queries sharing the term.
+    w = (tf.join(hint(df_), "term").crossJoin(fixed_broadcast(stats))  # stats: one row
+         .select("doc_id", "term", (idf * F.col("tf") * (k1 + 1.0) / norm).alias("w")))
+    return (w.join(hint(qt), "term")
+            .groupBy("query_id", "doc_id").agg(F.sum("w").alias("raw")))
 
 
 def keyword_search(queries: DataFrame, docs: DataFrame, k: int | None = None,

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.plans.sizing import broadcast_if_bounded, fixed_broadcast
+from quarry.plans.sizing import bounded_count, broadcast_if_bounded, fixed_broadcast
 
 CATEGORIES = ("hate", "self_harm", "sexual", "violence")
 
@@ -223,27 +223,97 @@ def blocklist_match(df: DataFrame, blocklist: DataFrame, key: str = "doc_id",
     return allg.join(broadcast_if_bounded(bl), ["n", "term"]).select(key, "list_name", "term", "pos")
 
 
+def _shingle_scan(n: int, prot_hashes=None):
+    """mapInPandas body: for each Arrow batch of (key, space-joined tokens), hash every
+    token once (pandas' C hash, deterministic), combine n consecutive token
+    hashes with a polynomial rolling hash (numpy, wrapping uint64), drop
+    windows that cross a document boundary, and, when ``prot_hashes`` is
+    given, keep only windows whose hash is in that sorted set. Emits (key,
+    pos, h, s) with s the shingle text, built only for kept windows."""
+    import numpy as np
+    import pandas as pd
+
+    mult = np.uint64(1099511628211)
+
+    def fn(batches):
+        for pdf in batches:
+            key = pdf.columns[0]
+            # Tokens arrive space-joined (they never contain spaces): a plain
+            # string crosses Arrow far faster than an array of strings.
+            toks = [t.split(" ") if t else [] for t in pdf["__toks"]]
+            lens = np.fromiter((len(t) for t in toks), dtype=np.int64, count=len(toks))
+            total = int(lens.sum())
+            if total < n:
+                continue
+            flat = np.concatenate([np.asarray(t, dtype=object) for t in toks if len(t)])
+            th = pd.util.hash_array(flat, categorize=False)
+            m = total - n + 1
+            h = np.zeros(m, dtype=np.uint64)
+            with np.errstate(over="ignore"):
+                for j in range(n):
+                    h = h * mult + th[j:j + m]
+            doc = np.repeat(np.arange(len(lens)), lens)[:m]
+            pos = (np.arange(total) - np.repeat(np.cumsum(lens) - lens, lens))[:m]
+            keep = pos + n <= lens[doc]
+            if prot_hashes is not None and len(prot_hashes):
+                i = np.clip(np.searchsorted(prot_hashes, h), 0, len(prot_hashes) - 1)
+                keep &= prot_hashes[i] == h
+            elif prot_hashes is not None:
+                continue
+            idx = np.nonzero(keep)[0]
+            if len(idx) == 0:
+                continue
+            text = [" ".join(flat[k:k + n]) for k in idx]
+            yield pd.DataFrame({key: pdf[key].to_numpy()[doc[idx]], "pos": pos[idx].astype(np.int32),
+                                "h": h[idx].view(np.int64), "s": text})
+
+    return fn
+
+
+# Bound on protected shingles shipped to every task as a sorted hash array.
+PROTECTED_HASH_MAX = 20_000_000
+
+
 def protected_material(docs: DataFrame, protected: DataFrame, n: int = 8,
-                       key: str = "doc_id", item: str = "item_id") -> DataFrame:
+                       key: str = "doc_id", item: str = "item_id", method: str = "auto") -> DataFrame:
     """C14: n-token shingles of protected passages matched in documents.
 
-    Each document's shingles are hashed (xxhash64) in one projection and
-    exploded as (hash, text); the protected shingle set is broadcast behind
-    a size check and joined on the hash, then confirmed on the text, so only
-    matching shingles leave the scan. Output per (doc, item): distinct
-    matched shingles, the item's distinct shingles, and their ratio.
+    Output per (doc, item): distinct matched shingles, the item's distinct
+    shingles, and their ratio. Tokens are built JVM-side. The protected
+    side's shingles (hash and text) come from the same scan; when their
+    count is under ``PROTECTED_HASH_MAX`` (checked), the sorted hash array
+    is broadcast and each document batch keeps only positions whose rolling
+    hash is in it, so shingle text is built for candidates only. Candidates
+    are then joined on hash and confirmed on text, which makes the result
+    exact. Above the bound (or with method="spark") every document shingle
+    is generated as (hash, text) in Spark and joined with the protected set.
     """
-    def shingle_rows(df, k):
-        staged = df.select(k, T.words("text").alias("__toks"))
-        staged = staged.select(k, T.shingles(F.col("__toks"), n).alias("__sh"))
-        return staged.select(k, F.explode_outer(F.transform(
-            "__sh", lambda s: F.struct(F.xxhash64(s).alias("h"), s.alias("s")))).alias("x")) \
-            .filter(F.col("x").isNotNull()).select(k, "x.h", "x.s")
-
-    prot = shingle_rows(protected, item).distinct()
+    def toks(df, k):
+        return df.select(F.col(k), F.array_join(T.words("text"), " ").alias("__toks"))
+
+    schema_p = f"{item} long, pos int, h long, s string"
+    prot = (toks(protected, item).mapInPandas(_shingle_scan(n), schema_p)
+            .select(item, "h", F.col("s").alias("ps")).distinct())
     sizes = prot.groupBy(item).agg(F.count(F.lit(1)).alias("item_shingles"))
-    prot_b = broadcast_if_bounded(prot.withColumnRenamed("s", "ps"))
-    hits = (shingle_rows(docs, key).join(prot_b, "h")
+    n_prot = bounded_count(prot, PROTECTED_HASH_MAX)
+    if method == "spark" or (method == "auto" and n_prot > PROTECTED_HASH_MAX):
+        staged = docs.select(key, T.shingles(T.words("text"), n).alias("__sh"))
+        cand = staged.select(key, F.explode_outer(F.transform(
+            "__sh", lambda s_: F.struct(F.xxhash64(s_).alias("h"), s_.alias("s")))).alias("x")) \
+            .filter(F.col("x").isNotNull()).select(key, "x.h", "x.s")
+        prot = prot.select(item, F.xxhash64("ps").alias("h"), "ps")
+    else:
+        import numpy as np
+        hashes = np.unique(np.array([r.h for r in prot.select("h").distinct().collect()],
+                                    dtype=np.int64).view(np.uint64))
+        bc = docs.sparkSession.sparkContext.broadcast(hashes)
+        schema_d = f"{key} long, pos int, h long, s string"
+
+        def scan(batches, bc=bc):
+            return _shingle_scan(n, bc.value)(batches)
+
+        cand = toks(docs, key).mapInPandas(scan, schema_d).select(key, "h", "s")
+    hits = (cand.join(broadcast_if_bounded(prot, PROTECTED_HASH_MAX), "h")
             .filter(F.col("s") == F.col("ps"))
             .select(key, item, "h").distinct()
             .groupBy(key, item).agg(F.count(F.lit(1)).alias("matched")))

@@ -8,8 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.session import ship_package
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -18,7 +22,13 @@ def register(name: str, sql: str | None = None):
     def deco(fn):
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = fn
+
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)  # Python workers (mapInPandas etc.) import quarry
+            return fn(spark, sf_dir)
+
+        REGISTRY[name] = run
         if sql is not None:
             ORACLE[name] = sql.strip()
         return fn

@@ -57,3 +57,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quarry`` importable in Python workers (the ``--py-files`` step
+    of spark-submit): zip the package once per SparkContext and add it with
+    ``addPyFile``, which distributes it to every executor."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_quarry_shipped", False):
+        return
+    import quarry
+    pkg = os.path.dirname(os.path.abspath(quarry.__file__))
+    base = os.path.dirname(pkg)
+    fd, path = tempfile.mkstemp(prefix="quarry-pkg-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, base))
+    sc.addPyFile(path)
+    sc._quarry_shipped = True
