@@ -97,14 +97,10 @@ def term_frequencies(docs: DataFrame, terms: DataFrame, text_col: str = "text",
     return occ.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_scores(queries: DataFrame, docs: DataFrame, k1: float = BM25_K1, b: float = BM25_B,
-                query_col: str = "query", text_col: str = "text") -> DataFrame:
-    """(query_id, doc_id, raw) for every doc sharing a term with a query.
-
-    Only the query side is size-checked (a cheap count over the queries);
-    the vocabulary and document-frequency tables are bounded by it, so they
-    are broadcast together or not at all.
-    """
+def _bm25_weights(queries: DataFrame, docs: DataFrame, k1: float, b: float, query_col: str,
+                  text_col: str):
+    """(qt, w, small): query terms, per-(doc, term) BM25 weights (query
+    independent) and whether the query side passed the broadcast check."""
     qt = query_terms(queries, query_col)
     small = bounded_count(qt, BROADCAST_MAX_ROWS) <= BROADCAST_MAX_ROWS
     # One pass over the corpus; its small (doc, query term) aggregate is
@@ -117,13 +113,91 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, k1: float = BM25_K1, b: flo
     hint = F.broadcast if small else (lambda x: x)
     idf = F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl"))
-    # The per-(doc, term) weight is query-independent: compute it once,
-    # before the join with the query terms multiplies rows by the number of
-    # queries sharing the term.
     w = (tf.join(hint(df_), "term").crossJoin(fixed_broadcast(stats))  # stats: one row
          .select("doc_id", "term", (idf * F.col("tf") * (k1 + 1.0) / norm).alias("w")))
-    return (w.join(hint(qt), "term")
-            .groupBy("query_id", "doc_id").agg(F.sum("w").alias("raw")))
+    return qt, w, small
+
+
+def bm25_scores(queries: DataFrame, docs: DataFrame, k1: float = BM25_K1, b: float = BM25_B,
+                query_col: str = "query", text_col: str = "text") -> DataFrame:
+    """(query_id, doc_id, raw) for every doc sharing a term with a query.
+
+    The per-(doc, term) weight is query-independent, so it is computed once
+    before the join with the query terms multiplies rows by the number of
+    queries sharing each term.
+    """
+    qt, w, small = _bm25_weights(queries, docs, k1, b, query_col, text_col)
+    hint = F.broadcast if small else (lambda x: x)
+    return w.join(hint(qt), "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("raw"))
+
+
+# Largest query x term incidence matrix scored with numpy per partition.
+BLOCK_MAX_CELLS = 50_000_000
+
+
+def _bm25_block_scorer(q_ids, term_index, inc, k: int):
+    """Per partition (rows hash-partitioned by doc): dense doc x query
+    scores = sum of w * incidence[term], then a local top-k per query that
+    keeps every row tied with the k-th (to 1e-6)."""
+    def score(batches):
+        pdfs = [p for p in batches if not p.empty]
+        if not pdfs:
+            return
+        pdf = pd.concat(pdfs, ignore_index=True)
+        t_idx = pdf["term"].map(term_index).to_numpy()
+        docs, d_idx = np.unique(pdf["doc_id"].to_numpy(), return_inverse=True)
+        wv = pdf["w"].to_numpy(dtype=np.float64)
+        scores = np.zeros((len(docs), inc.shape[1]))
+        step = max(1, 4_000_000 // max(1, inc.shape[1]))
+        for lo in range(0, len(wv), step):
+            sl = slice(lo, lo + step)
+            np.add.at(scores, d_idx[sl], wv[sl, None] * inc[t_idx[sl]])
+        out_q, out_d, out_s = [], [], []
+        for j in range(scores.shape[1]):
+            col = scores[:, j]
+            nz = np.nonzero(col > 0)[0]
+            if len(nz) > k:
+                kth = np.partition(col[nz], len(nz) - k)[len(nz) - k]
+                nz = nz[col[nz] >= kth - 1e-6]
+            out_q.append(np.full(len(nz), q_ids[j], dtype=np.int64))
+            out_d.append(docs[nz].astype(np.int64))
+            out_s.append(col[nz])
+        yield pd.DataFrame({"query_id": np.concatenate(out_q), "doc_id": np.concatenate(out_d),
+                            "raw": np.concatenate(out_s)})
+    return score
+
+
+def bm25_top_candidates(queries: DataFrame, docs: DataFrame, k: int, k1: float = BM25_K1,
+                        b: float = BM25_B, query_col: str = "query", text_col: str = "text") -> DataFrame:
+    """(query_id, doc_id, raw): a superset of each query's BM25 top-k.
+
+    When the query x term incidence matrix is within ``BLOCK_MAX_CELLS``
+    (checked), the matched postings are hash-partitioned by document and
+    each partition scores its documents against all queries with numpy
+    (one dense block per partition, no per-(query, doc, term) rows), keeping
+    a local top-k. Otherwise the join-and-aggregate plan is used.
+    """
+    qt, w, small = _bm25_weights(queries, docs, k1, b, query_col, text_col)
+    if small:
+        rows = qt.collect()  # bounded by BROADCAST_MAX_ROWS
+        q_ids = sorted({r["query_id"] for r in rows})
+        terms = sorted({r["term"] for r in rows})
+        if q_ids and len(q_ids) * len(terms) <= BLOCK_MAX_CELLS:
+            qpos = {q: i for i, q in enumerate(q_ids)}
+            tpos = {t: i for i, t in enumerate(terms)}
+            inc = np.zeros((len(terms), len(q_ids)))
+            for r in rows:
+                inc[tpos[r["term"]], qpos[r["query_id"]]] = 1.0
+            bc = queries.sparkSession.sparkContext.broadcast((np.array(q_ids, dtype=np.int64), tpos, inc))
+
+            def fn(batches, bc=bc):
+                qi, tp, m = bc.value
+                return _bm25_block_scorer(qi, tp, m, k)(batches)
+
+            n_parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            return w.repartition(n_parts, "doc_id").mapInPandas(fn, "query_id long, doc_id long, raw double")
+    hint = F.broadcast if small else (lambda x: x)
+    return w.join(hint(qt), "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("raw"))
 
 
 def keyword_search(queries: DataFrame, docs: DataFrame, k: int | None = None,
@@ -134,7 +208,7 @@ def keyword_search(queries: DataFrame, docs: DataFrame, k: int | None = None,
     k = _check_k(k)
     if doc_filter is not None:
         docs = docs.filter(doc_filter)
-    scored = bm25_scores(queries, docs, k1, b, query_col, text_col)
+    scored = bm25_top_candidates(queries, docs, k, k1, b, query_col, text_col)
     scored = scored.select("query_id", "doc_id", F.round("raw", SCORE_DIGITS).alias("score"))
     return top_k_per_query(scored, k)
 
