@@ -194,8 +194,8 @@ def bm25_top_candidates(queries: DataFrame, docs: DataFrame, k: int, k1: float =
                 qi, tp, m = bc.value
                 return _bm25_block_scorer(qi, tp, m, k)(batches)
 
-            n_parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            return w.repartition(n_parts, "doc_id").mapInPandas(fn, "query_id long, doc_id long, raw double")
+            # Hash-partition by document (AQE may coalesce small partitions).
+            return w.repartition("doc_id").mapInPandas(fn, "query_id long, doc_id long, raw double")
     hint = F.broadcast if small else (lambda x: x)
     return w.join(hint(qt), "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("raw"))
 

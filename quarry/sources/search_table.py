@@ -9,7 +9,7 @@ delete), so it runs at any size without a storage engine of its own.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,10 +53,17 @@ def conform(df: DataFrame, dims: int = DEFAULT_DIMENSIONS) -> DataFrame:
 
 
 def latest_per_id(updates: DataFrame) -> DataFrame:
-    """Within one batch the highest version wins; ties by content hash."""
-    w = Window.partitionBy("id").orderBy(F.col("version").desc_nulls_last(),
-                                         F.xxhash64("content").desc())
-    return updates.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+    """Within one batch the highest version wins; ties by content hash.
+
+    An aggregate (max_by over the whole row), not a window: the partial
+    aggregate runs map-side, so an id updated millions of times in one batch
+    costs one row per task before the shuffle.
+    """
+    cols = [c for c in updates.columns if c != "id"]
+    order = F.struct(F.coalesce(F.col("version").cast("long"), F.lit(-(2 ** 62))).alias("v"),
+                     F.xxhash64("content").alias("h"))
+    best = updates.groupBy("id").agg(F.max_by(F.struct(*cols), order).alias("__r"))
+    return best.select("id", *[F.col("__r")[c].alias(c) for c in cols])
 
 
 def upsert(base: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
