@@ -477,9 +477,11 @@ def captions(hits: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
               .join(sents, "doc_id")
               .withColumn("overlap", F.size(F.array_intersect("qw", F.array_distinct(T.words("sentence")))))
               .filter(F.col("overlap") > 0))
-    w = Window.partitionBy("query_id", "doc_id").orderBy(F.col("overlap").desc(), F.col("sent_no").asc())
-    return (scored.withColumn("r", F.row_number().over(w)).filter("r = 1")
-            .select("query_id", "doc_id", F.col("sentence").alias("caption"), "overlap"))
+    # Best sentence per hit as an aggregate (partial aggregation map-side),
+    # ordered by overlap, then the earliest sentence.
+    best = scored.groupBy("query_id", "doc_id").agg(F.max_by(
+        F.struct("sentence", "overlap"), F.struct("overlap", (-F.col("sent_no")).alias("neg_no"))).alias("b"))
+    return best.select("query_id", "doc_id", F.col("b.sentence").alias("caption"), F.col("b.overlap").alias("overlap"))
 
 
 def answers(caps: DataFrame) -> DataFrame:
