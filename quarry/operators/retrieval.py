@@ -169,15 +169,22 @@ def _bm25_block_scorer(q_ids, term_index, inc, k: int):
 
 def bm25_top_candidates(queries: DataFrame, docs: DataFrame, k: int, k1: float = BM25_K1,
                         b: float = BM25_B, query_col: str = "query", text_col: str = "text") -> DataFrame:
-    """(query_id, doc_id, raw): a superset of each query's BM25 top-k.
+    """(query_id, doc_id, raw): a superset of each query's BM25 top-k,
+    scoring straight from the documents table (one corpus pass)."""
+    qt, w, small = _bm25_weights(queries, docs, k1, b, query_col, text_col)
+    return score_weights(qt, w, small, k)
+
+
+def score_weights(qt: DataFrame, w: DataFrame, small: bool, k: int) -> DataFrame:
+    """Sum per-(doc, term) weights over each query's terms, keeping a
+    superset of the per-query top-k.
 
     When the query x term incidence matrix is within ``BLOCK_MAX_CELLS``
-    (checked), the matched postings are hash-partitioned by document and
-    each partition scores its documents against all queries with numpy
-    (one dense block per partition, no per-(query, doc, term) rows), keeping
-    a local top-k. Otherwise the join-and-aggregate plan is used.
+    (checked), the weights are hash-partitioned by document and each
+    partition scores its documents against all queries with numpy (one
+    dense block per partition, no per-(query, doc, term) rows), keeping a
+    local top-k. Otherwise the join-and-aggregate plan is used.
     """
-    qt, w, small = _bm25_weights(queries, docs, k1, b, query_col, text_col)
     if small:
         rows = qt.collect()  # bounded by BROADCAST_MAX_ROWS
         q_ids = sorted({r["query_id"] for r in rows})
@@ -188,7 +195,7 @@ def bm25_top_candidates(queries: DataFrame, docs: DataFrame, k: int, k1: float =
             inc = np.zeros((len(terms), len(q_ids)))
             for r in rows:
                 inc[tpos[r["term"]], qpos[r["query_id"]]] = 1.0
-            bc = queries.sparkSession.sparkContext.broadcast((np.array(q_ids, dtype=np.int64), tpos, inc))
+            bc = qt.sparkSession.sparkContext.broadcast((np.array(q_ids, dtype=np.int64), tpos, inc))
 
             def fn(batches, bc=bc):
                 qi, tp, m = bc.value

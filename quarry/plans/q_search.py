@@ -8,7 +8,7 @@ from quarry.functions import text as T
 from quarry.functions import vectors as VX
 from quarry.operators import retrieval as R
 from quarry.plans import sqlfrag as Q
-from quarry.plans.catalog import register
+from quarry.plans.catalog import ORACLE, register
 from quarry.plans.q_retrieval import bm25_cte, vec_cte
 from quarry.sources import search_table as S
 from quarry.sources.tables import corpus, doc_vectors, query_vectors, search_queries, table
@@ -306,3 +306,14 @@ def cosine_clamped(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("nxt"))
     return e.join(b, "vec_id").select("vec_id", F.round(VX.cosine_clamped("embedding", "nxt"), 6).alias("similarity"))
+
+
+@register("keyword_search_indexed", sql=ORACLE["keyword_search"])
+def keyword_search_indexed(spark, sf_dir):
+    """R4 through the persisted index (S2): build the bucketed postings
+    once under the shared folder, then answer the query batch from the
+    buckets of its terms only."""
+    from quarry.plans.sizing import shared_path
+    from quarry.sources import search_index as SI
+    path = SI.build_index(corpus(spark, sf_dir), shared_path(spark, "bm25-index"))
+    return SI.keyword_search_index(search_queries(spark, sf_dir), path, k=10)

@@ -43,12 +43,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(write_shared(df, name))
 
 
-def write_shared(df: DataFrame, name: str) -> str:
-    """Write ``df`` as parquet to a fresh folder under the shared checkpoint
-    folder; returns the path (e.g. to start a file stream on it)."""
+def shared_path(spark, name: str) -> str:
+    """A fresh folder name under the session's shared checkpoint folder."""
     import uuid
 
     from quarry.session import checkpoint_dir
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/quarry/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark).rstrip('/')}/quarry/{name}-{uuid.uuid4().hex}"
+
+
+def write_shared(df: DataFrame, name: str) -> str:
+    """Write ``df`` as parquet to a fresh folder under the shared checkpoint
+    folder; returns the path (e.g. to start a file stream on it)."""
+    path = shared_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return path

@@ -121,3 +121,14 @@ def test_result_metadata_excludes_core_fields(spark):
                                "id string, content string, source string, title string, category string, n int")
     m = R.result_metadata(df).collect()[0].metadata
     assert m == {"category": "x", "n": "5"}
+
+
+def test_indexed_search_matches_on_the_fly(spark, tmp_path):
+    from quarry.sources import search_index as SI
+    docs = spark.createDataFrame([(1, "the cat sat on the mat"), (2, "a dog and a cat"), (3, "birds fly"),
+                                  (4, "")], "doc_id long, text string")
+    qs = spark.createDataFrame([(10, "cat mat"), (11, "dog birds fly")], "query_id long, query string")
+    path = SI.build_index(docs, str(tmp_path / "idx"), n_buckets=4)
+    a = sorted(tuple(r) for r in SI.keyword_search_index(qs, path, k=3).collect())
+    b = sorted(tuple(r) for r in R.keyword_search(qs, docs, k=3).collect())
+    assert a == b
