@@ -120,24 +120,23 @@ def assemble_stream(deltas: DataFrame, key: str = "request_id") -> DataFrame:
 
 def upsert_stream(updates: DataFrame, base: DataFrame, name: str = "search") -> str:
     """T4: continuous upsert. Each micro-batch merges into the current table
-    version and writes the next version directory; a batch whose version
-    already exists is skipped, so a replayed batch id is idempotent.
-    Returns the table folder (versions v<batch_id>, initial version v-1)."""
+    version and writes version ``v<batch_id>``; only then is the batch id
+    appended to a commit log (a parquet table). A batch already in the log
+    is skipped, so a replayed batch id is idempotent, and a version whose
+    commit never reached the log is simply rewritten. Returns the folder."""
     spark = updates.sparkSession
     root = scratch(spark, name)
     base.write.mode("overwrite").parquet(f"{root}/table/v-1")
+    spark.createDataFrame([(-1,)], "batch_id long").write.mode("append").parquet(f"{root}/log")
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        from pyspark.sql.utils import AnalysisException
-        target = f"{root}/table/v{batch_id}"
-        try:
-            spark.read.parquet(target)
+        log = spark.read.parquet(f"{root}/log")
+        if log.filter(F.col("batch_id") == batch_id).limit(1).count():
             return  # already committed
-        except AnalysisException:
-            pass
         cur = spark.read.parquet(current_version(spark, root))
         new, _ = ST.upsert(cur, batch)
-        new.write.mode("overwrite").parquet(target)
+        new.write.mode("overwrite").parquet(f"{root}/table/v{batch_id}")
+        spark.createDataFrame([(batch_id,)], "batch_id long").write.mode("append").parquet(f"{root}/log")
 
     q = (updates.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/chk")
          .trigger(availableNow=True).start())
@@ -146,19 +145,9 @@ def upsert_stream(updates: DataFrame, base: DataFrame, name: str = "search") ->
 
 
 def current_version(spark: SparkSession, root: str) -> str:
-    """Path of the newest committed version under ``root``/table."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(f"{root}/table")
-    fs = p.getFileSystem(conf)
-    best, best_v = None, None
-    for st in fs.listStatus(p):
-        nm = st.getPath().getName()
-        if nm.startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            v = int(nm[1:])
-            if best_v is None or v > best_v:
-                best, best_v = st.getPath().toString(), v
-    return best
+    """Path of the newest committed version (highest batch id in the log)."""
+    last = spark.read.parquet(f"{root}/log").agg(F.max("batch_id")).first()[0]
+    return f"{root}/table/v{last}"
 
 
 def pass_rate_windows(results: DataFrame, delay: str = "1 hour", size: str = "1 hour") -> DataFrame:
