@@ -87,35 +87,63 @@ def usage_windows(usage: DataFrame, kind: str = "tumbling", delay: str = "1 hour
     raise ValueError(kind)
 
 
-def assemble_stream(deltas: DataFrame, key: str = "request_id") -> DataFrame:
+def assemble_stream(deltas: DataFrame, key: str = "request_id", timeout: str | None = None,
+                    ts_col: str = "ts") -> DataFrame:
     """Per-request state holding the deltas seen so far; a row with
     ``is_final`` completes the request (content in seq order, NULL/empty
-    deltas skipped) and clears its state. Requests whose final marker never
-    arrives stay in state until an event-time timeout is configured."""
+    deltas skipped) and clears its state.
+
+    With ``timeout`` (e.g. "10 minutes") the stream needs an event-time
+    column ``ts_col``: a watermark of that delay is set and each request
+    gets an event-time timer at its latest delta + timeout; a request whose
+    final marker has not arrived when the watermark passes the timer is
+    emitted with what it has and ``abandoned`` = true, and its state is
+    dropped. Without a timeout, unfinished requests wait in state.
+    """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    out_schema = f"{key} long, content string, n_deltas long"
-    state_schema = "parts string, done boolean"
+    out_schema = f"{key} long, content string, n_deltas long, abandoned boolean"
+    state_schema = "parts string, last_ms long"
+    timeout_ms = None
+    if timeout:
+        amount, unit = timeout.split()
+        per = {"second": 1000, "minute": 60_000, "hour": 3_600_000}[unit.rstrip("s")]
+        timeout_ms = int(amount) * per
+        deltas = deltas.withColumn(ts_col, F.col(ts_col).cast("timestamp")).withWatermark(ts_col, timeout)
+
+    def emit(k, parts, abandoned):
+        parts.sort(key=lambda x: x[0])
+        return pd.DataFrame({key: [k[0]], "content": ["".join(p[1] for p in parts)],
+                             "n_deltas": [len(parts)], "abandoned": [abandoned]})
 
     def fn(k, pdfs, state):
+        if state.hasTimedOut:
+            parts = json.loads(state.get[0])
+            state.remove()
+            yield emit(k, parts, True)
+            return
         parts = json.loads(state.get[0]) if state.exists else []
+        last = state.get[1] if state.exists else None
         final = False
         for pdf in pdfs:
-            for seq, delta, fin in zip(pdf["seq"], pdf["delta"], pdf["is_final"]):
-                if fin:
+            for row in pdf.itertuples(index=False):
+                if timeout_ms is not None:
+                    t = int(pd.Timestamp(getattr(row, ts_col)).value // 1_000_000)
+                    last = t if last is None else max(last, t)
+                if row.is_final:
                     final = True
-                elif delta is not None and delta != "":
-                    parts.append([int(seq), delta])
+                elif row.delta is not None and row.delta != "":
+                    parts.append([int(row.seq), row.delta])
         if final:
-            parts.sort(key=lambda x: x[0])
             state.remove()
-            yield pd.DataFrame({key: [k[0]], "content": ["".join(p[1] for p in parts)],
-                                "n_deltas": [len(parts)]})
+            yield emit(k, parts, False)
         else:
-            state.update((json.dumps(parts), False))
+            state.update((json.dumps(parts), last))
+            if timeout_ms is not None and last is not None:
+                state.setTimeoutTimestamp(last + timeout_ms)
 
-    return deltas.groupBy(key).applyInPandasWithState(
-        fn, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+    mode = GroupStateTimeout.EventTimeTimeout if timeout_ms is not None else GroupStateTimeout.NoTimeout
+    return deltas.groupBy(key).applyInPandasWithState(fn, out_schema, state_schema, "append", mode)
 
 
 def upsert_stream(updates: DataFrame, base: DataFrame, name: str = "search") -> str:
