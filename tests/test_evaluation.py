@@ -101,3 +101,14 @@ def test_judge_prompts_four_per_case(spark):
     p = V.judge_prompts(cases).orderBy("metric_no").collect()
     assert [r.metric for r in p] == list(V.METRICS)
     assert "CONTEXT:\nC" in p[0].prompt and "CONTEXT" not in p[3].prompt
+
+
+def test_metrics_sink_partitioned_append(spark, tmp_path):
+    summary = spark.createDataFrame([(2, 1, 4.0, 3.0, 5.0, 4.0, 4.0, 0.5)],
+                                    "total long, passed long, avg_groundedness double, avg_relevance double, "
+                                    "avg_coherence double, avg_fluency double, avg_overall double, pass_rate double")
+    m = V.metrics_long(summary, run_date=F.lit("2024-01-02"))
+    V.write_metrics(m, str(tmp_path / "metrics"))
+    V.write_metrics(m, str(tmp_path / "metrics"))
+    back = spark.read.parquet(str(tmp_path / "metrics"))
+    assert back.count() == 12 and back.filter("name = 'rag.pass_rate'").first().value == 0.5

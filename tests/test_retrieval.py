@@ -132,3 +132,12 @@ def test_indexed_search_matches_on_the_fly(spark, tmp_path):
     a = sorted(tuple(r) for r in SI.keyword_search_index(qs, path, k=3).collect())
     b = sorted(tuple(r) for r in R.keyword_search(qs, docs, k=3).collect())
     assert a == b
+
+
+def test_vector_search_filter_and_field_selection(spark):
+    vecs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0])], "doc_id long, embedding array<float>")
+    docs = spark.createDataFrame([(1, "a", "en"), (2, "b", "fr"), (3, "c", "en")], "doc_id long, text string, lang string")
+    qs = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, embedding array<float>")
+    out = R.vector_search(qs, vecs, k=2, docs=docs, doc_filter=F.col("lang") == "en", select_fields=["text"])
+    rows = sorted((r["rank"], r.doc_id, r.text) for r in out.collect())
+    assert rows == [(1, 1, "a"), (2, 3, "c")]  # doc 2 filtered out before ranking
