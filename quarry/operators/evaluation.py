@@ -152,7 +152,7 @@ def set_similarity(a: Column | str, b: Column | str) -> Column:
 def evaluate(cases: DataFrame, judge: Callable[[DataFrame], DataFrame] | None = None,
              similarity: Callable[[Column, Column], Column] | None = None,
              threshold: float = PASS_THRESHOLD) -> DataFrame:
-    """V1-V8: per-case result rows (the reference's RAGEvalResult).
+    """V1-V8: per-case evaluation result rows.
 
     ``judge(cases) -> (case_id, metric, raw)`` defaults to the offline judge;
     a remote judge plugs in through ``quarry.operators.scorers``.
