@@ -270,8 +270,9 @@ def _shingle_scan(n: int, prot_hashes=None):
     return fn
 
 
-# Bound on protected shingles shipped to every task as a sorted hash array.
-PROTECTED_HASH_MAX = 20_000_000
+# Bound on protected shingles shipped to every task as a sorted hash array
+# (8 bytes each: at most 64 MB per executor).
+PROTECTED_HASH_MAX = 8_000_000
 
 
 def protected_material(docs: DataFrame, protected: DataFrame, n: int = 8,
@@ -313,7 +314,7 @@ def protected_material(docs: DataFrame, protected: DataFrame, n: int = 8,
             return _shingle_scan(n, bc.value)(batches)
 
         cand = toks(docs, key).mapInPandas(scan, schema_d).select(key, "h", "s")
-    hits = (cand.join(broadcast_if_bounded(prot, PROTECTED_HASH_MAX), "h")
+    hits = (cand.join(broadcast_if_bounded(prot), "h")
             .filter(F.col("s") == F.col("ps"))
             .select(key, item, "h").distinct()
             .groupBy(key, item).agg(F.count(F.lit(1)).alias("matched")))
