@@ -131,39 +131,74 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, k1: float = BM25_K1, b: flo
     return w.join(hint(qt), "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("raw"))
 
 
-# Largest query x term incidence matrix scored with numpy per partition.
+# Largest query x term incidence matrix (uint8, broadcast) for the block scorer.
 BLOCK_MAX_CELLS = 50_000_000
 
 
+# Score-matrix cells (docs x queries) held at once by the block scorer.
+BLOCK_SCORE_CELLS = 32_000_000
+
+
 def _bm25_block_scorer(q_ids, term_index, inc, k: int):
-    """Per partition (rows hash-partitioned by doc): dense doc x query
-    scores = sum of w * incidence[term], then a local top-k per query that
-    keeps every row tied with the k-th (to 1e-6)."""
-    def score(batches):
-        pdfs = [p for p in batches if not p.empty]
-        if not pdfs:
-            return
-        pdf = pd.concat(pdfs, ignore_index=True)
+    """Per partition (rows hash-partitioned and sorted by doc): dense
+    doc-block x query scores = sum of w * incidence[term], then a local
+    top-k per query that keeps every row tied with the k-th (to 1e-6).
+
+    Arrow batches are streamed: the rows of the last document of a batch
+    (which may continue in the next one) are carried over, so memory holds
+    one batch plus one document, and the score matrix is built for blocks
+    of at most ``BLOCK_SCORE_CELLS`` cells.
+    """
+    nq = inc.shape[1]
+    doc_block = max(1, BLOCK_SCORE_CELLS // max(1, nq))
+    row_step = max(1, 4_000_000 // max(1, nq))
+
+    def score_rows(pdf):
         t_idx = pdf["term"].map(term_index).to_numpy()
         docs, d_idx = np.unique(pdf["doc_id"].to_numpy(), return_inverse=True)
-        wv = pdf["w"].to_numpy(dtype=np.float64)
-        scores = np.zeros((len(docs), inc.shape[1]))
-        step = max(1, 4_000_000 // max(1, inc.shape[1]))
-        for lo in range(0, len(wv), step):
-            sl = slice(lo, lo + step)
-            np.add.at(scores, d_idx[sl], wv[sl, None] * inc[t_idx[sl]])
-        out_q, out_d, out_s = [], [], []
-        for j in range(scores.shape[1]):
-            col = scores[:, j]
-            nz = np.nonzero(col > 0)[0]
-            if len(nz) > k:
-                kth = np.partition(col[nz], len(nz) - k)[len(nz) - k]
-                nz = nz[col[nz] >= kth - 1e-6]
-            out_q.append(np.full(len(nz), q_ids[j], dtype=np.int64))
-            out_d.append(docs[nz].astype(np.int64))
-            out_s.append(col[nz])
-        yield pd.DataFrame({"query_id": np.concatenate(out_q), "doc_id": np.concatenate(out_d),
-                            "raw": np.concatenate(out_s)})
+        order = np.argsort(d_idx, kind="stable")
+        d_idx, t_idx = d_idx[order], t_idx[order]
+        wv = pdf["w"].to_numpy(dtype=np.float64)[order]
+        cuts = np.searchsorted(d_idx, np.arange(0, len(docs) + doc_block, doc_block))
+        for bi in range(len(cuts) - 1):
+            r0, r1 = cuts[bi], cuts[bi + 1]
+            if r0 >= r1:
+                continue
+            base = bi * doc_block
+            nb = min(doc_block, len(docs) - base)
+            scores = np.zeros((nb, nq))
+            for lo in range(r0, r1, row_step):
+                hi = min(r1, lo + row_step)
+                np.add.at(scores, d_idx[lo:hi] - base, wv[lo:hi, None] * inc[t_idx[lo:hi]])
+            out_q, out_d, out_s = [], [], []
+            for j in range(nq):
+                col = scores[:, j]
+                nz = np.nonzero(col > 0)[0]
+                if len(nz) > k:
+                    kth = np.partition(col[nz], len(nz) - k)[len(nz) - k]
+                    nz = nz[col[nz] >= kth - 1e-6]
+                out_q.append(np.full(len(nz), q_ids[j], dtype=np.int64))
+                out_d.append(docs[base + nz].astype(np.int64))
+                out_s.append(col[nz])
+            yield pd.DataFrame({"query_id": np.concatenate(out_q), "doc_id": np.concatenate(out_d),
+                                "raw": np.concatenate(out_s)})
+
+    def score(batches):
+        carry = None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            if carry is not None:
+                pdf = pd.concat([carry, pdf], ignore_index=True)
+            last = pdf["doc_id"].iloc[-1]
+            tail = pdf["doc_id"].to_numpy() == last
+            carry = pdf[tail]
+            head = pdf[~tail]
+            if not head.empty:
+                yield from score_rows(head)
+        if carry is not None and not carry.empty:
+            yield from score_rows(carry)
+
     return score
 
 
@@ -192,7 +227,7 @@ def score_weights(qt: DataFrame, w: DataFrame, small: bool, k: int) -> DataFrame
         if q_ids and len(q_ids) * len(terms) <= BLOCK_MAX_CELLS:
             qpos = {q: i for i, q in enumerate(q_ids)}
             tpos = {t: i for i, t in enumerate(terms)}
-            inc = np.zeros((len(terms), len(q_ids)))
+            inc = np.zeros((len(terms), len(q_ids)), dtype=np.uint8)
             for r in rows:
                 inc[tpos[r["term"]], qpos[r["query_id"]]] = 1.0
             bc = qt.sparkSession.sparkContext.broadcast((np.array(q_ids, dtype=np.int64), tpos, inc))
@@ -201,8 +236,10 @@ def score_weights(qt: DataFrame, w: DataFrame, small: bool, k: int) -> DataFrame
                 qi, tp, m = bc.value
                 return _bm25_block_scorer(qi, tp, m, k)(batches)
 
-            # Hash-partition by document (AQE may coalesce small partitions).
-            return w.repartition("doc_id").mapInPandas(fn, "query_id long, doc_id long, raw double")
+            # Hash-partition by document (AQE may coalesce small partitions),
+            # sorted so each document's rows arrive together.
+            return (w.repartition("doc_id").sortWithinPartitions("doc_id")
+                    .mapInPandas(fn, "query_id long, doc_id long, raw double"))
     hint = F.broadcast if small else (lambda x: x)
     return w.join(hint(qt), "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("raw"))
 

@@ -141,3 +141,21 @@ def test_vector_search_filter_and_field_selection(spark):
     out = R.vector_search(qs, vecs, k=2, docs=docs, doc_filter=F.col("lang") == "en", select_fields=["text"])
     rows = sorted((r["rank"], r.doc_id, r.text) for r in out.collect())
     assert rows == [(1, 1, "a"), (2, 3, "c")]  # doc 2 filtered out before ranking
+
+
+def test_block_scorer_with_tiny_arrow_batches(spark):
+    # Documents straddle Arrow batches: the carried-over tail must join the next batch.
+    docs = [(i, " ".join(["cat", "dog", "mat", "bird"][: 1 + i % 4] * (1 + i % 3))) for i in range(40)]
+    queries = [(1, "cat mat"), (2, "dog bird"), (3, "bird")]
+    qd = spark.createDataFrame(queries, "query_id long, query string")
+    dd = spark.createDataFrame(docs, "doc_id long, text string")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = {(r.query_id, r.doc_id): r.score for r in R.keyword_search(qd, dd, k=40).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    exp = _bm25_brute(queries, docs)
+    assert set(got) == set(exp)
+    for key, v in exp.items():
+        assert got[key] == pytest.approx(round(v, 6), abs=1e-6)
