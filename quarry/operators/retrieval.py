@@ -317,11 +317,35 @@ def keyword_boolean(queries: DataFrame, docs: DataFrame, k: int | None = None,
 QUERY_BLOCK_BYTES = 64 * 1024 * 1024
 
 
+# Similarity-matrix cells (vectors x queries) computed at once.
+SIM_BLOCK_CELLS = 16_000_000
+
+
 def _block_scorer(q_ids: np.ndarray, q_mat: np.ndarray, k: int):
     """Per-batch scorer: cosine of every vector against the query block, then
     a local top-k per query that keeps every row tied with the k-th (to
-    1e-6), so the final exact ranking in Spark never loses a tie."""
+    1e-6), so the final exact ranking in Spark never loses a tie. Batches
+    are cut into row chunks so a similarity block stays under
+    ``SIM_BLOCK_CELLS`` cells."""
     bq = q_mat
+    step = max(1, SIM_BLOCK_CELLS // max(1, bq.shape[0]))
+
+    def chunk_top(m, ids, nrm):
+        sims = (m @ bq.T) / nrm[:, None]  # query rows are unit length
+        out_q, out_d, out_s = [], [], []
+        for j in range(sims.shape[1]):
+            col = sims[:, j]
+            if len(col) > k:
+                kth = np.partition(col, len(col) - k)[len(col) - k]
+                sel = np.nonzero(col >= kth - 1e-6)[0]
+            else:
+                sel = np.arange(len(col))
+            out_q.append(np.full(len(sel), q_ids[j]))
+            out_d.append(ids[sel])
+            out_s.append(col[sel])
+        return pd.DataFrame({"query_id": np.concatenate(out_q).astype(np.int64),
+                             "doc_id": np.concatenate(out_d).astype(np.int64),
+                             "raw": np.concatenate(out_s)})
 
     def score(batches):
         for pdf in batches:
@@ -338,23 +362,8 @@ def _block_scorer(q_ids: np.ndarray, q_mat: np.ndarray, k: int):
             nrm = np.linalg.norm(m, axis=1)
             good = nrm > 0
             m, ids, nrm = m[good], ids[good], nrm[good]
-            if len(ids) == 0:
-                continue
-            sims = (m @ bq.T) / nrm[:, None]  # query rows are unit length
-            out_q, out_d, out_s = [], [], []
-            for j in range(sims.shape[1]):
-                col = sims[:, j]
-                if len(col) > k:
-                    kth = np.partition(col, len(col) - k)[len(col) - k]
-                    sel = np.nonzero(col >= kth - 1e-6)[0]
-                else:
-                    sel = np.arange(len(col))
-                out_q.append(np.full(len(sel), q_ids[j]))
-                out_d.append(ids[sel])
-                out_s.append(col[sel])
-            yield pd.DataFrame({"query_id": np.concatenate(out_q).astype(np.int64),
-                                "doc_id": np.concatenate(out_d).astype(np.int64),
-                                "raw": np.concatenate(out_s)})
+            for lo in range(0, len(ids), step):
+                yield chunk_top(m[lo:lo + step], ids[lo:lo + step], nrm[lo:lo + step])
 
     return score
 
