@@ -46,22 +46,36 @@ def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation cases from conversations: each user turn t with an
     assistant reply at t+1 is a case (question = user text, answer = reply,
     context = text of turn t-1 or '', ground_truth = the assistant text at
-    t+3 or ''). Built with equi-joins on (conv_id, turn), so one very long
-    conversation spreads over many tasks instead of one window partition.
-    case_id = conv_id * 1000000 + turn.
+    t+3 or ''). case_id = conv_id * 1000000 + turn.
+
+    One shuffle instead of three self-joins: every message is emitted under
+    the case keys it serves (as question, answer, context or ground truth)
+    and the cases are assembled by one aggregation on (conv_id, case turn),
+    a fine-grained key, so one very long conversation still spreads over
+    many tasks.
     """
     conv = table(spark, sf_dir, "conversations")
-    u = conv.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
-    a = conv.filter(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
-    p = conv.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("context"))
-    g = conv.filter(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 3).alias("turn"), F.col("text").alias("ground_truth"))
-    j = (u.join(a, ["conv_id", "turn"]).join(p, ["conv_id", "turn"], "left")
-         .join(g, ["conv_id", "turn"], "left"))
-    return j.select((F.col("conv_id") * 1000000 + F.col("turn")).alias("case_id"),
-                    "question", "answer", F.coalesce("context", F.lit("")).alias("context"),
-                    F.coalesce("ground_truth", F.lit("")).alias("ground_truth"))
+    user, asst = F.col("role") == "user", F.col("role") == "assistant"
+
+    def as_(kind, turn, cond=None):
+        s_ = F.struct(turn.alias("t"), F.lit(kind).alias("kind"))
+        return s_ if cond is None else F.when(cond, s_)
+
+    roles = F.filter(F.array(as_("question", F.col("turn"), user),
+                             as_("answer", F.col("turn") - 1, asst),
+                             as_("context", F.col("turn") + 1),
+                             as_("ground_truth", F.col("turn") - 3, asst)), lambda x: x.isNotNull())
+    keyed = conv.select("conv_id", "text", F.inline(roles))
+
+    def pick(kind):
+        return F.max(F.when(F.col("kind") == kind, F.col("text"))).alias(kind)
+
+    cases = keyed.groupBy("conv_id", "t").agg(pick("question"), pick("answer"), pick("context"),
+                                              pick("ground_truth"), F.max((F.col("kind") == "question").cast("int")).alias("hq"),
+                                              F.max((F.col("kind") == "answer").cast("int")).alias("ha"))
+    return cases.filter((F.col("hq") == 1) & (F.col("ha") == 1)).select(
+        (F.col("conv_id") * 1000000 + F.col("t")).alias("case_id"), "question", "answer",
+        F.coalesce("context", F.lit("")).alias("context"), F.coalesce("ground_truth", F.lit("")).alias("ground_truth"))
 
 
 # event_type -> model deployment for usage rows derived from
