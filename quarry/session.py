@@ -26,15 +26,26 @@ DEFAULT_CONF = {
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "quarry", extra: dict | None = None) -> SparkSession:
-    """Create (or reuse) a session with quarry's defaults for unset keys."""
-    builder = SparkSession.builder.appName(app_name)
-    if master:
-        builder = builder.master(master)
+    """Create a session with quarry's defaults, or reuse the active one.
+
+    An existing (cluster) session keeps its settings: only runtime SQL keys
+    that are unset there are filled in. ``extra`` and ``shuffle_partitions``
+    are explicit requests and apply to a new session.
+    """
     conf = dict(DEFAULT_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.setdefault("spark.driver.memory", os.environ.get("QUARRY_DRIVER_MEMORY", "8g"))
     conf.update(extra or {})
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        for k, v in conf.items():
+            if k.startswith("spark.sql.") and active.conf.get(k, None) in (None, ""):
+                active.conf.set(k, v)
+        return active
+    builder = SparkSession.builder.appName(app_name)
+    if master:
+        builder = builder.master(master)
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
