@@ -30,10 +30,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def file_stream(spark: SparkSession, directory: str, file_glob: str | None = None,
-                schema=None) -> DataFrame:
+                schema=None, max_files_per_trigger: int | None = None) -> DataFrame:
     """Parquet file stream over ``directory`` (optionally one file name
     pattern), schema taken from the files when not given."""
     reader = spark.readStream.format("parquet")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     if file_glob:
         reader = reader.option("pathGlobFilter", file_glob)
     if schema is None:
@@ -68,9 +70,11 @@ def moderation(stream: DataFrame, key: str = "doc_id", text_col: str = "text") -
 
 
 def usage_windows(usage: DataFrame, kind: str = "tumbling", delay: str = "1 hour") -> DataFrame:
-    """Tokens and cost per event-time window with a watermark; rows
-    later than the watermark are dropped, and in append mode a window is
-    emitted once the watermark passes its end.
+    """Tokens and cost per event-time window with a watermark. In
+    append mode a window is emitted once the watermark passes its end; rows
+    older than the watermark in force when their micro-batch starts (Spark
+    filters late rows with the previous batch's watermark) are dropped, so a
+    finalised window is never emitted twice.
 
     kind: 'tumbling' (1 h), 'sliding' (24 h every 1 h) or 'session'
     (per user, 30 min gap). Event time must be TIMESTAMP (NTZ is cast)."""

@@ -26,3 +26,28 @@ def test_moderation_stream_matches_batch(spark):
     got = {r.doc_id: (r.hate, r.jailbreak_detected, r.is_safe)
            for r in J.run_available(J.moderation(src), "t1").collect()}
     assert got == {1: (2, False, False), 2: (0, True, False), 3: (0, False, True)}
+
+
+def test_late_usage_rows_are_dropped(spark, tmp_path):
+    """Three micro-batches (one file each). Spark filters late rows with the
+    watermark of the previous batch, so the 09:30 row in the third batch is
+    behind the 11:05 watermark and is dropped; the 09:00 window, already
+    emitted with one call, is not emitted again."""
+    import time
+
+    from pyspark.sql import functions as F
+    t = dt.datetime(2024, 1, 1)
+    schema = "event_id long, ts timestamp_ntz, user_id long, deployment string, input_tokens int, output_tokens int"
+    files = [[(1, t + dt.timedelta(hours=9, minutes=10), 1, "gpt-4o", 100, 10),
+              (2, t + dt.timedelta(hours=12, minutes=5), 1, "gpt-4o", 100, 10)],
+             [(3, t + dt.timedelta(hours=12, minutes=20), 1, "gpt-4o", 100, 10)],
+             [(4, t + dt.timedelta(hours=9, minutes=30), 1, "gpt-4o", 100, 10),   # late
+              (5, t + dt.timedelta(hours=13, minutes=30), 1, "gpt-4o", 100, 10)]]
+    d = str(tmp_path / "usage")
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append" if i else "error").parquet(d)
+        time.sleep(1.1)
+    src = J.file_stream(spark, d, schema=schema, max_files_per_trigger=1)
+    out = J.run_available(J.usage_windows(src, "tumbling"), "late")
+    rows = [(r.start.hour, r.calls) for r in out.select(F.col("w.start").alias("start"), "calls").collect()]
+    assert [c for h, c in rows if h == 9] == [1]
