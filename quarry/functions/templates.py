@@ -49,3 +49,28 @@ def render_sql(template: str, null_as: str = "") -> str:
         else:
             parts.append(f"coalesce(CAST({v} AS VARCHAR), '{null_as}')")
     return "concat(" + ", ".join(parts) + ")" if parts else "''"
+
+
+def register_sql_function(spark, name: str, template: str, null_as: str = "") -> list[str]:
+    """Register ``template`` as a temporary SQL function whose
+    parameters are the template's placeholders, in first-use order, all
+    STRING. It is a SQL UDF (an expression, not Python), so it stays
+    JVM-side. Returns the parameter names."""
+    if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name):
+        raise ValueError(f"bad function name {name!r}")
+    params: list[str] = []
+    for kind, v in pieces(template):
+        if kind == "var" and v not in params:
+            params.append(v)
+    body = []
+    for kind, v in pieces(template):
+        if kind == "lit":
+            # Literal text as UTF-8 hex: no quoting or escape rules to get
+            # wrong, and Catalyst folds it to a constant.
+            body.append(f"decode(unhex('{v.encode('utf-8').hex()}'), 'UTF-8')")
+        else:
+            body.append(f"coalesce({v}, decode(unhex('{null_as.encode('utf-8').hex()}'), 'UTF-8'))")
+    expr = "concat(" + ", ".join(body) + ")" if body else "''"
+    sig = ", ".join(f"{p} STRING" for p in params)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({sig}) RETURNS STRING RETURN {expr}")
+    return params
