@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.plans.sizing import bounded_count, broadcast_if_bounded, fixed_broadcast
+from quarry.plans.sizing import bounded_count, broadcast_if_bounded
 
 CATEGORIES = ("hate", "self_harm", "sexual", "violence")
 

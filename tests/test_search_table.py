@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from quarry.sources import search_table as S
 
 
