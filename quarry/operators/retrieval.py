@@ -66,12 +66,6 @@ def doc_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return T.explode_tokens(docs, ["doc_id"], T.words(text_col), with_len="dl", with_pos="pos")
 
 
-def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row: n_docs and avgdl (mean token count)."""
-    return docs.agg(F.count(F.lit(1)).alias("n_docs"),
-                    F.avg(F.size(T.words(text_col)).cast("double")).alias("avgdl"))
-
-
 def term_frequencies(docs: DataFrame, terms: DataFrame, text_col: str = "text",
                      broadcast_terms: bool = True) -> DataFrame:
     """(doc_id, dl, term, tf) restricted to ``terms`` (distinct term column),

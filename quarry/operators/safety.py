@@ -80,24 +80,19 @@ def lexicon_score(tokens: Column, lexicon: dict, category: str) -> Column:
     return total
 
 
-def severity_columns(text: Column | str, lexicon: dict | None = None) -> list[Column]:
-    """C1 offline scorer: four INT severity columns from one text column.
-
-    Row-local (no shuffle): tokenise once, count lexicon hits per category,
-    bucket to 0/2/4/6. Absent categories are 0.
-    """
+def severity_from_tokens(tokens: Column, lexicon: dict | None = None) -> list[Column]:
+    """C1 offline scorer on a token array: four INT severity columns (hate,
+    self_harm, sexual, violence), lexicon hits per category bucketed to
+    0/2/4/6. Absent categories are 0. Row-local, no shuffle."""
     lex = lexicon or DEFAULT_LEXICON
-    toks = T.words(text)
-    return [_bucket(lexicon_score(toks, lex, c)).alias(c) for c in CATEGORIES]
+    return [_bucket(lexicon_score(tokens, lex, c)).alias(c) for c in CATEGORIES]
 
 
 def severity_lexicon(df: DataFrame, text_col: str = "text", keep=("doc_id",),
                      lexicon: dict | None = None) -> DataFrame:
     """(keep..., hate, self_harm, sexual, violence) per row."""
     staged = df.select(*keep, T.words(text_col).alias("__toks"))
-    lex = lexicon or DEFAULT_LEXICON
-    return staged.select(*keep, *[_bucket(lexicon_score(F.col("__toks"), lex, c)).alias(c)
-                                  for c in CATEGORIES])
+    return staged.select(*keep, *severity_from_tokens(F.col("__toks"), lexicon))
 
 
 def severity_from_lexicon_table(df: DataFrame, lexicon: DataFrame, text_col: str = "text",

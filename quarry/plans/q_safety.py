@@ -101,8 +101,7 @@ def audit(spark, sf_dir):
     docs = corpus(spark, sf_dir)
     staged = docs.select("doc_id", T.words("text").alias("__toks"),
                          S.attack_flag("text").alias("jb"))
-    sev = staged.select("doc_id", "jb", *[S._bucket(S.lexicon_score(F.col("__toks"), S.DEFAULT_LEXICON, c)).alias(c)
-                                          for c in CATS])
+    sev = staged.select("doc_id", "jb", *S.severity_from_tokens(F.col("__toks")))
     out = S.audit(sev, jailbreak=F.col("jb"))
     return out.withColumn("categories_triggered", F.array_join("categories_triggered", ","))
 
@@ -142,7 +141,7 @@ def scan_input(spark, sf_dir):
     staged = conv.select("conv_id", "turn", T.words("text").alias("__toks"),
                          S.attack_flag("text").alias("jailbreak_detected"))
     out = staged.select("conv_id", "turn", "jailbreak_detected",
-                        *[S._bucket(S.lexicon_score(F.col("__toks"), S.DEFAULT_LEXICON, c)).alias(c) for c in CATS])
+                        *S.severity_from_tokens(F.col("__toks")))
     safe = (F.col("hate") == 0) & (F.col("self_harm") == 0) & (F.col("sexual") == 0) & \
            (F.col("violence") == 0) & ~F.col("jailbreak_detected")
     return out.select("conv_id", "turn", *CATS, "jailbreak_detected", safe.alias("is_safe"))
@@ -185,7 +184,7 @@ def scan_output(spark, sf_dir):
                       F.when(has, score).otherwise(F.lit(1.0)).alias("groundedness_score"),
                       F.when(has, grounded).otherwise(F.lit(True)).alias("is_grounded"))
     return staged.select("conv_id", "turn",
-                         *[S._bucket(S.lexicon_score(F.col("__toks"), S.DEFAULT_LEXICON, c)).alias(c) for c in CATS],
+                         *S.severity_from_tokens(F.col("__toks")),
                          "groundedness_score", "is_grounded")
 
 

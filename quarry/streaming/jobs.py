@@ -61,8 +61,7 @@ def moderation(stream: DataFrame, key: str = "doc_id", text_col: str = "text") -
     """Stateless per-row moderation (severities + attack flag + is_safe)."""
     staged = stream.select(key, S.attack_flag(text_col).alias("jailbreak_detected"),
                            T.words(text_col).alias("__toks"))
-    sev = [S._bucket(S.lexicon_score(F.col("__toks"), S.DEFAULT_LEXICON, c)).alias(c) for c in S.CATEGORIES]
-    out = staged.select(key, "jailbreak_detected", *sev)
+    out = staged.select(key, "jailbreak_detected", *S.severity_from_tokens(F.col("__toks")))
     safe = F.lit(True)
     for c in S.CATEGORIES:
         safe = safe & (F.col(c) == 0)
