@@ -48,7 +48,7 @@ def top_k_per_query(scored: DataFrame, k: int, score: str = "score",
     per input partition.
     """
     w = Window.partitionBy(key).orderBy(F.col(score).desc(), F.col(tie).asc())
-    return (scored.withColumn("rank", F.row_number().over(w))
+    return (scored.withColumn("rank", F.row_number().over(w).cast("long"))
             .filter(F.col("rank") <= k))
 
 
@@ -502,7 +502,7 @@ def result_order(results: DataFrame, reranked_first: bool = False,
     if reranked_first:
         order = [(rr > 0).desc()] + order
     w = Window.partitionBy("query_id").orderBy(*order)
-    return results.withColumn("final_rank", F.row_number().over(w))
+    return results.withColumn("final_rank", F.row_number().over(w).cast("long"))
 
 
 # --------------------------------------------------------------------------
@@ -548,7 +548,7 @@ def facets(hits: DataFrame, docs: DataFrame, facet_cols: list[str], top_n: int =
     ])).alias("f")).select("query_id", "f.facet", "f.value")
     counts = longs.groupBy("query_id", "facet", "value").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("query_id", "facet").orderBy(F.col("n").desc(), F.col("value").asc())
-    return counts.withColumn("facet_rank", F.row_number().over(w)).filter(F.col("facet_rank") <= top_n)
+    return counts.withColumn("facet_rank", F.row_number().over(w).cast("long")).filter(F.col("facet_rank") <= top_n)
 
 
 def sorted_listing(docs: DataFrame, sort_cols: list[Column], k: int,

@@ -117,7 +117,7 @@ SELECT case_id, metric_no, metric, md5(prompt) AS prompt_md5, length(prompt) AS
 def judge_prompts(spark, sf_dir):
     p = V.judge_prompts(eval_cases(spark, sf_dir))
     return p.select("case_id", "metric_no", "metric", F.md5("prompt").alias("prompt_md5"),
-                    F.length("prompt").alias("prompt_chars"))
+                    F.length("prompt").cast("long").alias("prompt_chars"))
 
 
 @register("judge_parse", sql=f"""
@@ -157,7 +157,7 @@ def token_f1(spark, sf_dir):
 _SUMMARY_SQL = f"""
 WITH {RESULTS_SQL},
 s AS (
-  SELECT count(*) AS total, coalesce(sum(CAST(overall_score >= 3.0 AS BIGINT)), 0) AS passed,
+  SELECT count(*) AS total, CAST(coalesce(sum(CAST(overall_score >= 3.0 AS BIGINT)), 0) AS BIGINT) AS passed,
          {', '.join(f'coalesce(avg({m}), 0.0) AS avg_{m}' for m in V.METRICS)},
          coalesce(avg(overall_score), 0.0) AS avg_overall
   FROM res2)

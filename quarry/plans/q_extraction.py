@@ -55,7 +55,7 @@ SELECT page_id, title, lang, len(paragraphs) AS n_paragraphs,
 """)
 def page_layout(spark, sf_dir):
     lay = _layout(spark, sf_dir)
-    return lay.select("page_id", "title", "lang", F.size("paragraphs").alias("n_paragraphs"),
+    return lay.select("page_id", "title", "lang", F.size("paragraphs").cast("long").alias("n_paragraphs"),
                       F.md5("text").alias("text_md5"))
 
 
@@ -135,13 +135,14 @@ _CELLS_SQL = """
 tabs AS (SELECT l_orderkey AS doc_id, 0 AS table_no, 1 AS page, CAST(max(l_linenumber) + 1 AS INTEGER) AS rows,
                 4 AS columns FROM lineitem GROUP BY l_orderkey),
 cells AS (
-  SELECT l_orderkey AS doc_id, 0 AS table_no, CAST(l_linenumber AS INTEGER) AS row_index, c AS column_index,
+  SELECT l_orderkey AS doc_id, 0 AS table_no, CAST(l_linenumber AS INTEGER) AS row_index,
+         CAST(c AS INTEGER) AS column_index,
          CASE c WHEN 0 THEN CAST(l_linenumber AS VARCHAR) WHEN 1 THEN CAST(l_partkey AS VARCHAR)
                 WHEN 2 THEN CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) ELSE printf('%.2f', l_extendedprice) END
            AS content
   FROM lineitem CROSS JOIN range(4) t(c)
   UNION ALL
-  SELECT doc_id, 0, 0, c, CASE c WHEN 0 THEN 'Line' WHEN 1 THEN 'Part' WHEN 2 THEN 'Quantity' ELSE 'Amount' END
+  SELECT doc_id, 0, 0, CAST(c AS INTEGER), CASE c WHEN 0 THEN 'Line' WHEN 1 THEN 'Part' WHEN 2 THEN 'Quantity' ELSE 'Amount' END
   FROM tabs CROSS JOIN range(4) t(c)),
 grid AS (SELECT doc_id, table_no, CAST(r AS INTEGER) AS row_index, columns FROM tabs CROSS JOIN LATERAL range(rows) t(r)),
 gc AS (SELECT g.doc_id, g.table_no, g.row_index, CAST(cc AS INTEGER) AS column_index
@@ -184,7 +185,7 @@ SELECT doc_id, table_no, md5(markdown) AS markdown_md5, length(markdown) AS mark
 def table_markdown(spark, sf_dir):
     md = _markdown(spark, sf_dir)
     return md.select("doc_id", "table_no", F.md5("markdown").alias("markdown_md5"),
-                     F.length("markdown").alias("markdown_chars"))
+                     F.length("markdown").cast("long").alias("markdown_chars"))
 
 
 @register("doc_tables_markdown", sql=f"""

@@ -48,8 +48,9 @@ WITH {USAGE_SQL}
 SELECT deployment, strftime(date_trunc('month', ts), '%Y-%m') AS month,
        strftime(date_trunc('day', ts), '%Y-%m-%d') AS day,
        GROUPING(deployment, date_trunc('month', ts), date_trunc('day', ts)) AS grouping_id,
-       count(*) AS calls, sum(input_tokens) AS input_tokens, sum(output_tokens) AS output_tokens,
-       sum(total_tokens) AS total_tokens, round(sum(cost_usd), 8) AS cost_usd
+       count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
+       CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
+       CAST(sum(total_tokens) AS BIGINT) AS total_tokens, round(sum(cost_usd), 8) AS cost_usd
 FROM costed
 GROUP BY ROLLUP (deployment, date_trunc('month', ts), date_trunc('day', ts))
 """)
@@ -122,7 +123,7 @@ def assemble_deltas(spark, sf_dir):
 
 @register("conversation_history", sql="""
 SELECT conv_id, turn, role,
-       count(*) OVER w AS history_messages, sum(length(text)) OVER w AS history_chars
+       count(*) OVER w AS history_messages, CAST(sum(length(text)) OVER w AS BIGINT) AS history_chars
 FROM conversations WHERE role <> 'system' OR turn = 0
 WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 """)
@@ -140,4 +141,4 @@ FROM conversations
 def render_template(spark, sf_dir):
     conv = table(spark, sf_dir, "conversations")
     p = render(TEMPLATE)
-    return conv.select("conv_id", "turn", F.md5(p).alias("prompt_md5"), F.length(p).alias("prompt_chars"))
+    return conv.select("conv_id", "turn", F.md5(p).alias("prompt_md5"), F.length(p).cast("long").alias("prompt_chars"))

@@ -34,8 +34,8 @@ FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id
 """)
 def search_table(spark, sf_dir):
     t = search_docs(spark, sf_dir)
-    return t.select("id", F.length("title").alias("title_chars"), "source", "category",
-                    F.coalesce(F.size("content_vector"), F.lit(0)).alias("vector_dims"), "valid")
+    return t.select("id", F.length("title").cast("long").alias("title_chars"), "source", "category",
+                    F.coalesce(F.size("content_vector"), F.lit(0)).cast("long").alias("vector_dims"), "valid")
 
 
 def _updates(spark, sf_dir):
@@ -232,7 +232,7 @@ def result_metadata(spark, sf_dir):
 @register("rag_context", sql=f"""
 WITH {bm25_cte()}
 SELECT kw.query_id, md5(string_agg(d.text, chr(10) ORDER BY kw.rank)) AS context_md5,
-       sum(length(d.text)) + count(*) - 1 AS context_chars
+       CAST(sum(length(d.text)) + count(*) - 1 AS BIGINT) AS context_chars
 FROM kw JOIN documents d USING (doc_id) WHERE kw.rank <= 5 GROUP BY kw.query_id
 """)
 def rag_context(spark, sf_dir):
@@ -280,7 +280,7 @@ FROM n
 """)
 def embed_reduce(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", VX.reduce_dims("embedding", 16).alias("v"))
-    return e.select("vec_id", F.size("v").alias("dims"), F.round(F.get("v", 0), 6).alias("v1"),
+    return e.select("vec_id", F.size("v").cast("long").alias("dims"), F.round(F.get("v", 0), 6).alias("v1"),
                     F.round(VX.norm("v"), 6).alias("norm"))
 
 
@@ -289,7 +289,7 @@ SELECT vec_id, coalesce(len(embedding), 0) AS dims, coalesce(len(embedding) = 64
 """)
 def embed_dims(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    d = F.coalesce(F.size("embedding"), F.lit(0))
+    d = F.coalesce(F.size("embedding"), F.lit(0)).cast("long")
     return e.select("vec_id", d.alias("dims"), F.coalesce(F.size("embedding") == DIMS, F.lit(False)).alias("valid"))
 
 

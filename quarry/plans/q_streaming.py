@@ -46,7 +46,7 @@ _WM = "mx AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM costed)"
 WITH {QI.USAGE_SQL}, {_WM}
 SELECT strftime(date_trunc('hour', ts), {_SFMT}) AS window_start,
        strftime(date_trunc('hour', ts) + INTERVAL 1 HOUR, {_SFMT}) AS window_end,
-       count(*) AS calls, sum(total_tokens) AS total_tokens, round(sum(cost_usd), 8) AS cost_usd
+       count(*) AS calls, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, round(sum(cost_usd), 8) AS cost_usd
 FROM costed, mx GROUP BY date_trunc('hour', ts), wm
 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= wm
 """)
@@ -62,7 +62,7 @@ WITH {QI.USAGE_SQL}, {_WM},
 x AS (SELECT date_trunc('hour', ts) - to_hours(CAST(i AS BIGINT)) AS ws, total_tokens, cost_usd
       FROM costed CROSS JOIN range(24) t(i))
 SELECT strftime(ws, {_SFMT}) AS window_start, strftime(ws + INTERVAL 24 HOUR, {_SFMT}) AS window_end,
-       count(*) AS calls, sum(total_tokens) AS total_tokens, round(sum(cost_usd), 8) AS cost_usd
+       count(*) AS calls, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, round(sum(cost_usd), 8) AS cost_usd
 FROM x, mx GROUP BY ws, wm HAVING ws + INTERVAL 24 HOUR <= wm
 """)
 def stream_usage_sliding(spark, sf_dir):
@@ -80,7 +80,7 @@ s AS (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NUL
 g AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM s)
 SELECT user_id, strftime(min(ts), {_SFMT}) AS window_start,
        strftime(max(ts) + INTERVAL 30 MINUTE, {_SFMT}) AS window_end,
-       count(*) AS calls, sum(total_tokens) AS total_tokens, round(sum(cost_usd), 8) AS cost_usd
+       count(*) AS calls, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, round(sum(cost_usd), 8) AS cost_usd
 FROM g, mx GROUP BY user_id, sid, wm HAVING max(ts) + INTERVAL 30 MINUTE <= wm
 """)
 def stream_usage_session(spark, sf_dir):
@@ -119,7 +119,7 @@ WITH {QE.RESULTS_SQL},
 r AS (SELECT res2.*, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(case_id // 1000000 AS BIGINT)) AS ts FROM res2),
 mx AS (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM r)
 SELECT strftime(time_bucket(INTERVAL 10 MINUTE, ts), {_SFMT}) AS window_start, count(*) AS total,
-       sum(CAST(overall_score >= 3.0 AS BIGINT)) AS passed, round(avg(overall_score), 6) AS avg_overall
+       CAST(sum(CAST(overall_score >= 3.0 AS BIGINT)) AS BIGINT) AS passed, round(avg(overall_score), 6) AS avg_overall
 FROM r, mx GROUP BY time_bucket(INTERVAL 10 MINUTE, ts), wm
 HAVING time_bucket(INTERVAL 10 MINUTE, ts) + INTERVAL 10 MINUTE <= wm
 """

@@ -11,6 +11,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 import __spark_entry__ as E  # noqa: E402
 from check_oracle import digest  # noqa: E402
+from type_diff import DUCK  # noqa: E402
 from quarry.sources.tables import TABLES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -48,3 +49,6 @@ def test_query_matches_oracle(spark, con, name):
     d_rows = cur.fetchall()
     assert sorted(df.columns) == sorted(d_cols)
     assert digest(df.columns, s_rows)[0] == digest(d_cols, d_rows)[0]
+    s_types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    d_types = {c: DUCK.get(str(t), str(t)) for c, t in zip(d_cols, [d[1] for d in cur.description])}
+    assert s_types == d_types
