@@ -57,14 +57,23 @@ def build_ivf(vectors: DataFrame, n_cells: int | None = None, seed: int = 42, ma
 
 def vector_search_ann(query_vecs: DataFrame, vectors: DataFrame, k: int = 10, nprobe: int = 4,
                       n_cells: int | None = None, seed: int = 42, index=None) -> DataFrame:
-    """R2: approximate cosine top-k per query via the IVF cells."""
+    """R2: approximate cosine top-k per query via the IVF cells.
+
+    Probing reuses the exact blocked scorer with the centroids as the
+    vector table (a DataFrame, so the number of cells can grow with the
+    data without entering the plan as literals); the nprobe best cells per
+    query are then an equi-join key into the cell-assigned vectors, and the
+    candidates are rescored exactly.
+    """
+    from quarry.operators.retrieval import vector_candidates
     cents, cells = index if index is not None else build_ivf(vectors, n_cells, seed)
-    cent_lit = F.array(*[F.array(*[F.lit(x) for x in c]) for c in cents])
+    spark = query_vecs.sparkSession
+    cent_df = spark.createDataFrame([(i, c) for i, c in enumerate(cents)], "doc_id long, embedding array<double>")
     q = query_vecs.select("query_id", "embedding")
-    sims = F.transform(cent_lit, lambda c, i: F.struct(VX.dot(c, "embedding").alias("s"), i.alias("cell")))
-    probes = F.slice(F.sort_array(sims, asc=False), 1, nprobe)
-    qp = q.select("query_id", F.col("embedding").alias("qe"),
-                  F.explode(F.transform(probes, lambda x: x["cell"])).alias("cell"))
+    probes = top_k_per_query(vector_candidates(q, cent_df, nprobe).select(
+        "query_id", "doc_id", F.col("raw").alias("score")), nprobe)
+    qp = (probes.select("query_id", F.col("doc_id").cast("int").alias("cell"))
+          .join(q.select("query_id", F.col("embedding").alias("qe")), "query_id"))
     cand = qp.join(cells, "cell").select("query_id", "doc_id",
                                          F.round(VX.cosine("qe", "embedding"), SCORE_DIGITS).alias("score"))
     return top_k_per_query(cand.filter(F.col("score").isNotNull()), k)
