@@ -65,3 +65,26 @@ def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import jump_shard
     out = jump_shard.assign_shards(table(spark, sf_dir, "documents"), shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+@register("op2_decontamination")
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import decontam
+    return decontam.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op3_license_scan")
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import license_scan
+    out = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    return out.drop("spans")
+
+
+@register("op7_quality")
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import mil_quality
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = mil_quality.fit(docs, table(spark, sf_dir, "labels"))
+    out = mil_quality.score(docs, model)
+    return out.select("doc_id", mil_quality.held_out().alias("held_out"), "score",
+                      F.when(F.col("score") >= mil_quality.THRESHOLD, 1).otherwise(0).alias("predicted"))
