@@ -260,6 +260,12 @@ class Scanner:
         return best
 
 
+def strongest(hits: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
+    """Without the hits whose span meets that of a better covered template:
+    notices that differ in a version number only would label each other."""
+    return sorted(h for h in hits if not any(o[3] > h[3] and o[1] < h[2] and h[1] < o[2] for o in hits))
+
+
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   phrases: dict[str, str] | None = None, templates: dict[str, list[str]] | None = None,
                   min_coverage: float = MIN_COVERAGE) -> DataFrame:
@@ -280,7 +286,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             toks = tokens_of(text)
             places, _, chains = scanner.scan(toks)
             found = {k: (min(1.0, c / scanner.sizes[k]), a, e) for k, (c, a, e) in chains.items()}
-            hits = sorted((scanner.labels[k], a, e, s) for k, (s, a, e) in found.items() if s >= min_coverage)
+            hits = strongest([(scanner.labels[k], a, e, s) for k, (s, a, e) in found.items() if s >= min_coverage])
             base = {lab for _, lab in places}
             out["n_words"].append(len(toks))
             out["n_base"].append(len(places))

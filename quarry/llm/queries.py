@@ -88,3 +88,18 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mil_quality.score(docs, model)
     return out.select("doc_id", mil_quality.held_out().alias("held_out"), "score",
                       F.when(F.col("score") >= mil_quality.THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
+@register("op4_fingerprints")
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import fingerprints
+    out = fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
+                      "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@register("op9_warc")
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import warc
+    out = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
