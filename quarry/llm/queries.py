@@ -103,3 +103,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import warc
     out = warc.archive_pages(table(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+
+
+@register("op5_lattice_lm")
+def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import lattice_lm
+    return lattice_lm.score_texts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
