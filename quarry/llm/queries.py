@@ -109,3 +109,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import lattice_lm
     return lattice_lm.score_texts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@register("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import suffix_dedup
+    out = suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
