@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,14 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def n_parts(spark: SparkSession) -> int:
     """The session's shuffle width: explicit repartitions follow it, so they
     grow with what the cluster is told to use."""
@@ -35,8 +43,8 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dict],
-              schema: T.StructType | str, init: Callable[[], None] | None = None) -> DataFrame:
+def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None],
+              schema: T.StructType | str) -> DataFrame:
     """``mapInArrow`` for a function from a batch to a dict of columns."""
     st = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
     arrow = arrow_schema(st)

@@ -218,12 +218,17 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     common.prepare(spark)
     for rows in benchmark_blocks(benchmark, item_col, item_text, block_bytes):
         shared = spark.sparkContext.broadcast(Block.build(rows, min_tile))
+        docs = docs.filter(covers_none(shared, min_tile, min_coverage)(F.col(text_col).cast("string")))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def clean(s, shared=shared):
-            import pandas as pd
-            return pd.Series([not item_hits(shared.value, tokens_of(b"" if t is None else t.encode()), min_tile, min_coverage)
-                              for t in s], dtype="bool")
 
-        docs = docs.filter(clean(F.col(text_col).cast("string")))
-    return docs
+def covers_none(shared, min_tile: int, min_coverage: float):
+    """Whether a text covers no item of a shipped block."""
+
+    @F.pandas_udf("boolean")
+    def clean(s):
+        import pandas as pd
+        return pd.Series([not item_hits(shared.value, tokens_of(b"" if t is None else t.encode()), min_tile, min_coverage)
+                          for t in s], dtype="bool")
+
+    return clean

@@ -210,5 +210,5 @@ def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                  threshold: float = THRESHOLD, max_train: int = MAX_TRAIN) -> DataFrame:
     """The rows of ``docs`` that score at least the threshold."""
     model = fit(docs, labels, id_col, text_col, max_train=max_train)
-    name = "__score"
+    name = common.fresh(docs, "score")
     return score(docs, model, text_col, name).filter(F.col(name) >= threshold).drop(name)

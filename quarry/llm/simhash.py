@@ -138,7 +138,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **ho
     smallest id (null ids last, ties by row key; equal rows collapse)."""
     dup = near_duplicates(df, id_col, text_col, **how)
     first = dup.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key")).alias("f"))
-    kept = materialize(first.select(F.col("f.row_key").alias("__key")), "kept")
+    key = common.fresh(df, "row_key")
+    kept = materialize(first.select(F.col("f.row_key").alias(key)), "kept")
     # the semi join has dealt the rows by key already, so collapsing equal rows moves nothing
-    return df.withColumn("__key", row_key(id_col, text_col)).join(kept, "__key", "left_semi") \
-        .dropDuplicates(["__key"]).drop("__key")
+    return df.withColumn(key, row_key(id_col, text_col)).join(kept, key, "left_semi") \
+        .dropDuplicates([key]).drop(key)

@@ -280,7 +280,7 @@ def segment_rows(joined: DataFrame, min_len: int, hot: int) -> DataFrame:
     hash) of every text; rows without bytes are spans already known to go."""
 
     def run(batches):
-        seen: set[bytes] = set()
+        seen: dict[bytes, tuple] = {}  # earliest place of a string among those met
         for b in batches:
             cols: list[list] = [[] for _ in range(6)]
 
@@ -305,13 +305,16 @@ def segment_rows(joined: DataFrame, min_len: int, hot: int) -> DataFrame:
                     s = int(first[k])
                     gone = np.zeros(int(count[k]), dtype=bool)
                     for i in range(int(count[k])):
-                        one = text[s + i:s + i + min_len]
-                        if one in seen:  # rows come by ascending id: an earlier one is out already
+                        one, here = text[s + i:s + i + min_len], (kid, rid, s + i)
+                        met = seen.get(one, here)
+                        if met < here:
                             gone[i] = True
                             continue
+                        if met == here and one in seen:
+                            continue  # a repeated row: this place is out already
                         if len(seen) >= SEEN:
                             seen.clear()
-                        seen.add(one)
+                        seen[one] = here
                         put(text_key(one), kid, rid, s + i, 1, one)
                     for i, j in runs_of(gone):
                         put(kid, kid, rid, s + i, j - i, None)
