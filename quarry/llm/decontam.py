@@ -39,8 +39,9 @@ TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
 HASH_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def tokens_of(text: bytes) -> list[bytes]:
-    return TOKEN.findall(text.lower())
+def tokens_of(text: str | None) -> list[bytes]:
+    """Lower-cased words: runs of digits, letters and characters beyond ASCII."""
+    return TOKEN.findall((text or "").lower().encode())
 
 
 def rolling_hash(ids: np.ndarray, width: int) -> np.ndarray:
@@ -168,7 +169,7 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_byt
     """Rows of the benchmark in blocks of bounded bytes, one partition at a time."""
     rows, size = [], 0
     for r in benchmark.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).toLocalIterator():
-        text = (r["t"] or "").encode()
+        text = r["t"] or ""
         if rows and size + len(text) > block_bytes:
             yield rows
             rows, size = [], 0
@@ -198,7 +199,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
             block = shared.value
             ids = b.column(0).to_pylist()
             cols: list[list] = [[] for _ in range(7)]
-            for doc, text in zip(ids, common.text_bytes(b.column(1))):
+            for doc, text in zip(ids, b.column(1).to_pylist()):
                 for k, covered, share, tiles, longest in item_hits(block, tokens_of(text), min_tile, min_coverage):
                     for c, v in zip(cols, (doc, block.names[k], len(block.items[k]), covered, share, tiles, longest)):
                         c.append(v)
@@ -228,7 +229,7 @@ def covers_none(shared, min_tile: int, min_coverage: float):
     @F.pandas_udf("boolean")
     def clean(s):
         import pandas as pd
-        return pd.Series([not item_hits(shared.value, tokens_of(b"" if t is None else t.encode()), min_tile, min_coverage)
+        return pd.Series([not item_hits(shared.value, tokens_of(t), min_tile, min_coverage)
                           for t in s], dtype="bool")
 
     return clean
