@@ -58,6 +58,12 @@ def decode_entities(c: Column) -> Column:
     return c
 
 
+def count_of(array) -> Column:
+    """Elements of an array, 0 for NULL (whatever size(NULL) is set to give)."""
+    a = F.col(array) if isinstance(array, str) else array
+    return F.when(a.isNull(), F.lit(0)).otherwise(F.size(a))
+
+
 def _clean_text(c: Column) -> Column:
     c = F.regexp_replace(c, ANY_TAG, "")
     c = decode_entities(c)
@@ -131,7 +137,7 @@ def parse_response(df: DataFrame, model_id: str, resp: str = "response", keep=("
     langs = F.filter(F.transform(F.coalesce(r["languages"], F.array()), lambda x: x["locale"]),
                      lambda s: s.isNotNull() & (s != ""))
     return df.select(*keep, F.lit(model_id).alias("model_used"),
-                     F.coalesce(F.size(r["pages"]), F.lit(0)).alias("page_count"),
+                     count_of(r["pages"]).alias("page_count"),
                      F.coalesce(r["content"], F.lit("")).alias("raw_text"),
                      tables.alias("tables"), fields.alias("fields"), paragraphs.alias("paragraphs"),
                      marks.alias("selection_marks"), langs.alias("languages"))
@@ -140,8 +146,8 @@ def parse_response(df: DataFrame, model_id: str, resp: str = "response", keep=("
 def doc_counts(result: DataFrame, keep=("doc_id",)) -> DataFrame:
     """Page, table and field counts (NULL -> 0)."""
     return result.select(*keep, "page_count",
-                         F.coalesce(F.size("tables"), F.lit(0)).alias("table_count"),
-                         F.coalesce(F.size("fields"), F.lit(0)).alias("field_count"))
+                         count_of("tables").alias("table_count"),
+                         count_of("fields").alias("field_count"))
 
 
 def table_cells(result: DataFrame, keep=("doc_id",)) -> DataFrame:
@@ -155,6 +161,11 @@ def table_cells(result: DataFrame, keep=("doc_id",)) -> DataFrame:
         "c.content", "c.is_header")
 
 
+def up_to(n: str) -> Column:
+    """0 .. n - 1, empty for n <= 0 (a bare sequence(0, -1) counts down)."""
+    return F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+
+
 def table_markdown(cells: DataFrame, tables: DataFrame, keys=("doc_id", "table_no")) -> DataFrame:
     """D4 on long forms. ``tables``: keys + rows, columns; ``cells``: keys +
     ordinal, row_index, column_index, content.
@@ -177,12 +188,12 @@ def table_markdown(cells: DataFrame, tables: DataFrame, keys=("doc_id", "table_n
                          F.struct("ordinal", F.coalesce(F.col("content"), F.lit("")))).alias("content")))
     by_row = win.groupBy(*keys, "row_index").agg(
         F.map_from_entries(F.collect_list(F.struct("column_index", "content"))).alias("m"))
-    grid = t.select(*keys, "columns", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row_index"))
+    grid = t.select(*keys, "columns", F.explode(up_to("rows")).alias("row_index"))
     line = F.concat(F.lit("| "), F.array_join(F.transform(
-        F.sequence(F.lit(0), F.col("columns") - 1),
+        up_to("columns"),
         lambda c: F.coalesce(F.try_element_at(F.coalesce(F.col("m"), F.create_map().cast("map<int,string>")), c),
                              F.lit(""))), " | "), F.lit(" |"))
-    sep = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.col("columns")), " | "), F.lit(" |"))
+    sep = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.greatest(F.col("columns"), F.lit(0))), " | "), F.lit(" |"))
     lines = (grid.join(by_row, [*keys, "row_index"], "left")
              .select(*keys, "row_index",
                      F.when(F.col("row_index") == 0, F.concat(line, F.lit("\n"), sep)).otherwise(line).alias("line")))
@@ -192,14 +203,18 @@ def table_markdown(cells: DataFrame, tables: DataFrame, keys=("doc_id", "table_n
     return t.join(out, keys, "left").select(*keys, F.coalesce("markdown", F.lit("")).alias("markdown"))
 
 
-def doc_tables_markdown(md: DataFrame, tables: DataFrame, key: str = "doc_id") -> DataFrame:
+def doc_tables_markdown(md: DataFrame, tables: DataFrame, key: str = "doc_id", docs: DataFrame | None = None) -> DataFrame:
     """D5: '### Table i (Page p)' + newline + markdown per table (i from 1
-    in table order), blank line between tables, one row per document."""
+    in table order), blank line between tables, one row per document; with
+    ``docs``, a document without tables gives ''."""
     j = md.join(tables.select(key, "table_no", "page"), [key, "table_no"])
     part = F.concat(F.lit("### Table "), (F.col("table_no") + 1).cast("string"), F.lit(" (Page "),
                     F.col("page").cast("string"), F.lit(")\n"), F.col("markdown"))
     g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("table_no", part.alias("p")))).alias("ps"))
-    return g.select(key, F.array_join(F.transform("ps", lambda x: x["p"]), "\n\n").alias("tables_markdown"))
+    out = g.select(key, F.array_join(F.transform("ps", lambda x: x["p"]), "\n\n").alias("tables_markdown"))
+    if docs is not None:
+        out = docs.select(key).join(out, key, "left").select(key, F.coalesce("tables_markdown", F.lit("")).alias("tables_markdown"))
+    return out
 
 
 def doc_fields(result: DataFrame, keep=("doc_id",)) -> DataFrame:

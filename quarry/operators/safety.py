@@ -17,20 +17,19 @@ from quarry.plans.sizing import bounded_count, broadcast_if_bounded
 
 CATEGORIES = ("hate", "self_harm", "sexual", "violence")
 
-# Offline default lexicon (term -> category, weight). Words
-# observed in toxic-labelled English documents of the test corpus.
-DEFAULT_LEXICON = {
-    "idiot": ("hate", 1.0),
-    "moron": ("hate", 1.0),
-    "scum": ("hate", 1.0),
-    "clown": ("hate", 1.0),
-    "loser": ("hate", 1.0),
-    "stupid": ("hate", 1.0),
-    "worthless": ("self_harm", 1.0),
-    "pathetic": ("self_harm", 1.0),
-    "trash": ("violence", 1.0),
-    "disgusting": ("violence", 1.0),
+# Offline default lexicon (category -> terms, each of weight 1),
+# everyday words of the four categories in English, German, Spanish and French.
+LEXICON_TERMS = {
+    "hate": ["idiot", "moron", "scum", "clown", "loser", "stupid", "worthless", "pathetic", "trash", "disgusting",
+             "idiota", "imbécil", "estúpido", "basura", "escoria", "dummkopf", "abschaum", "dumm", "widerlich",
+             "imbécile", "stupide", "ordure", "racaille", "dégoûtant"],
+    "self_harm": ["suicide", "suicidal", "suicidio", "selbstmord", "suizid", "suicidaire"],
+    "sexual": ["porn", "pornography", "nude", "naked", "pornografía", "desnudo", "pornografie", "nackt",
+               "pornographie", "nu"],
+    "violence": ["kill", "murder", "stab", "shoot", "bomb", "matar", "asesinar", "bomba", "töten", "ermorden", "bombe",
+                 "tuer", "assassiner", "poignarder"],
 }
+DEFAULT_LEXICON = {term: (category, 1.0) for category, terms in LEXICON_TERMS.items() for term in terms}
 
 # Weighted-hit cut points for severities 2, 4 and 6.
 SEVERITY_CUTS = (1.0, 3.0, 6.0)
@@ -199,23 +198,25 @@ def groundedness(answer: Column | str, sources_text: Column | str,
 
 
 def blocklist_match(df: DataFrame, blocklist: DataFrame, key: str = "doc_id",
-                    text_col: str = "text", max_ngram: int = 3) -> DataFrame:
+                    text_col: str = "text") -> DataFrame:
     """One row per (row, list, term, position) where a blocklist entry
-    occurs; single words by token join, phrases by joining n-grams of the
-    same length. The blocklist (list_name, term) is size-checked before it
-    is broadcast."""
+    occurs: n-grams of the lengths that the blocklist has (one number per
+    distinct length goes to the driver) joined to the entries. The blocklist
+    (list_name, term) is size-checked before it is broadcast."""
     bl = blocklist.select("list_name", F.lower("term").alias("term"))
-    bl = bl.withColumn("n", F.size(T.words("term"))).withColumn("term", F.array_join(T.words("term"), " "))
+    bl = bl.withColumn("n", F.size(T.words("term"))).withColumn("term", F.array_join(T.words("term"), " ")) \
+        .filter("n > 0")
+    lengths = sorted(r["n"] for r in bl.select("n").distinct().collect())
     staged = df.select(key, T.words(text_col).alias("__toks"))
-    grams = []
-    for n in range(1, max_ngram + 1):
-        g = staged.select(key, F.lit(n).alias("n"),
-                          F.posexplode_outer(T.shingles(F.col("__toks"), n)).alias("pos", "term"))
-        grams.append(g.filter(F.col("term").isNotNull()))
-    allg = grams[0]
-    for g in grams[1:]:
-        allg = allg.unionByName(g)
-    return allg.join(broadcast_if_bounded(bl), ["n", "term"]).select(key, "list_name", "term", "pos")
+
+    def grams_of(n):
+        return F.transform(T.shingles(F.col("__toks"), n),
+                           lambda s, i: F.struct(F.lit(n).alias("n"), i.alias("pos"), s.alias("term")))
+
+    grams = F.flatten(F.array(*[grams_of(n) for n in lengths])) if lengths else \
+        F.array().cast("array<struct<n:int,pos:int,term:string>>")
+    hits = staged.select(key, F.explode_outer(grams).alias("__g")).select(key, "__g.*").filter(F.col("term").isNotNull())
+    return hits.join(broadcast_if_bounded(bl), ["n", "term"]).select(key, "list_name", "term", "pos")
 
 
 def _shingle_scan(n: int, prot_hashes=None):
@@ -320,13 +321,26 @@ def protected_material(docs: DataFrame, protected: DataFrame, n: int = 8,
 
 def segment_max_severity(df: DataFrame, text_col: str = "text", keep=("doc_id",),
                          seg_chars: int = SEGMENT_CHARS, lexicon: dict | None = None) -> DataFrame:
-    """Split text into <= seg_chars segments, score each, keep the max
-    severity per category. Row-local: segments never leave their row."""
+    """Split text into segments of about seg_chars characters, score
+    each, keep the max severity per category. Row-local: segments never leave
+    their row. A word that stands across an edge belongs to the segment it
+    begins in: that segment is read on by one character more than the longest
+    term (a longer word is no term), and the next one starts after the word."""
     lex = lexicon or DEFAULT_LEXICON
+    more = max((len(t) for t in lex), default=0) + 1
     t = F.coalesce(_c(text_col), F.lit(""))
     nseg = F.greatest(F.lit(1), F.ceil(F.length(t) / F.lit(seg_chars)).cast("int"))
-    segs = F.transform(F.sequence(F.lit(0), nseg - 1),
-                       lambda i: F.substr(t, i * seg_chars + 1, F.lit(seg_chars)))
+    word = T.WORD_PATTERN
+
+    def segment(i):
+        body = F.substr(t, i * seg_chars + 1, F.lit(seg_chars))
+        inside = (i > 0) & F.substr(t, i * seg_chars, F.lit(1)).rlike(word) & F.substr(body, F.lit(1), F.lit(1)).rlike(word)
+        rest = F.substr(t, (i + 1) * seg_chars + 1, F.lit(more))
+        tail = F.when(F.right(body, F.lit(1)).rlike(word), F.regexp_extract(rest, "^" + word, 0)).otherwise(F.lit(""))
+        begun = F.when(inside, F.regexp_replace(body, "^" + word, "")).otherwise(body)
+        return F.when(inside & (F.length(begun) == 0), F.lit("")).otherwise(F.concat(begun, tail))
+
+    segs = F.transform(F.sequence(F.lit(0), nseg - 1), segment)
     staged = df.select(*keep, F.transform(segs, lambda s: T.words(s)).alias("__segtoks"),
                        nseg.alias("segments"))
     def scorer(c):

@@ -194,13 +194,15 @@ BLOCKLISTS = [
     ("licenses", "apache license"),
     ("licenses", "general public license"),
     ("licenses", "licensed"),
+    ("licenses", "under the mit license"),
+    ("licenses", "apache license version 2 0"),
     ("contacts", "example com"),
 ]
 
 
 def _blocklist_sql() -> str:
     parts = []
-    for n in (1, 2, 3):
+    for n in sorted({len(t.split()) for _, t in BLOCKLISTS}):
         grams = (f"list_transform(range(1, len(toks) - {n - 2}), lambda i: array_to_string(toks[i:i + {n - 1}], ' '))"
                  if n > 1 else "toks")
         parts.append(f"SELECT doc_id, {n} AS n, UNNEST({grams}) AS term, "
@@ -235,11 +237,21 @@ def protected_material(spark, sf_dir):
     return S.protected_material(corpus(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+_SEG_MORE = max(map(len, S.DEFAULT_LEXICON)) + 1
+
+
 @register("segment_max_severity", sql=f"""
 WITH t AS (
   SELECT doc_id, greatest(1, CAST(ceil(length(text) / 10000.0) AS INTEGER)) AS segments, text FROM documents),
-s AS (SELECT doc_id, segments, list_transform(range(0, segments),
-        lambda i: {Q.words('substr(text, i * 10000 + 1, 10000)')}) AS segtoks FROM t)
+p AS (SELECT doc_id, segments, UNNEST(range(0, segments)) AS i, text FROM t),
+q AS (SELECT doc_id, segments, i, substr(text, i * 10000 + 1, 10000) AS body, substr(text, (i + 1) * 10000 + 1, {_SEG_MORE}) AS rest,
+             i > 0 AND regexp_matches(substr(text, i * 10000, 1), '[\\p{{L}}\\p{{N}}]')
+                   AND regexp_matches(substr(text, i * 10000 + 1, 1), '[\\p{{L}}\\p{{N}}]') AS inside FROM p),
+r AS (SELECT *, CASE WHEN inside THEN regexp_replace(body, '^[\\p{{L}}\\p{{N}}]+', '') ELSE body END AS begun,
+             CASE WHEN regexp_matches(right(body, 1), '[\\p{{L}}\\p{{N}}]')
+                  THEN regexp_extract(rest, '^[\\p{{L}}\\p{{N}}]+') ELSE '' END AS tail FROM q),
+s AS (SELECT doc_id, segments, list({Q.words("CASE WHEN inside AND begun = '' THEN '' ELSE begun || tail END")}) AS segtoks
+      FROM r GROUP BY doc_id, segments)
 SELECT doc_id, segments,
        {', '.join(f"list_max(list_transform(segtoks, lambda tk: {_sev_sql('tk', c)})) AS {c}" for c in CATS)}
 FROM s

@@ -1,9 +1,10 @@
 """Size checks that guard every broadcast and driver-side block.
 
-A broadcast is only requested for a side whose row count has been measured
-(with a LIMIT, so the check itself is cheap) to be under a bound. Above the
-bound the plain DataFrame is returned and Spark shuffles both sides, so a
-query set that grows with the data still runs, only through a shuffle join.
+A broadcast is only requested for a side whose rows and bytes have been
+measured to be under a bound. Above it the plain DataFrame is returned and
+Spark shuffles both sides, so a query set that grows with the data still runs,
+only through a shuffle join. The measure is a map-side combined aggregate:
+every task sends one row.
 """
 
 from __future__ import annotations
@@ -11,19 +12,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Default row bound for broadcasting a query-side table (query terms, query
+# Default bounds for broadcasting a query-side table (query terms, query
 # ids, shingle sets of a protected-passage list, lexicons).
 BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 256 << 20
 
 
 def bounded_count(df: DataFrame, bound: int) -> int:
-    """Row count, stopping early: returns bound + 1 when the table is larger."""
-    return df.limit(bound + 1).count()
+    """Row count (no rows move: tasks send partial counts); the bound is what
+    callers compare with."""
+    return df.count()
 
 
-def broadcast_if_bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only when ``df`` has at most ``max_rows`` rows."""
-    if bounded_count(df, max_rows) <= max_rows:
+def measured(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes): bytes as the text length of all values, 8 at least for each."""
+    width = sum((F.greatest(F.lit(8), F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)))
+                 for c in df.columns), F.lit(0).cast("long"))
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).first()
+    return int(row["n"]), int(row["b"] or 0)
+
+
+def broadcast_if_bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                         max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast hint only when ``df`` is within both bounds."""
+    rows, size = measured(df)
+    if rows <= max_rows and size <= max_bytes:
         return F.broadcast(df)
     return df
 

@@ -60,17 +60,24 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+def local_master(master: str) -> bool:
+    """Whether driver and executors are one process (``local[n]``)."""
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and intermediate tables.
 
     Reads ``spark.checkpoint.dir`` from the session (the cluster's shared
-    storage). Only when it is unset (local tests) is a scratch folder created
-    and registered, so a cluster never writes to machine-local disk.
+    storage). Only when it is unset and the master is local (tests) is a
+    scratch folder created and registered; on a cluster an unset folder is an
+    error, since executors would write to disks of their own.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
-        # Only reached when nothing is configured, i.e. in local tests.
+        if not local_master(sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="quarry-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
