@@ -162,18 +162,75 @@ md AS (
 """
 
 
+def invoice_responses(spark, sf_dir) -> DataFrame:
+    """One nested extraction response per order: a line-item table (none for
+    an order without lines), six fields, and order key modulo 3 selection
+    marks. An order's cells and fields are bounded by its few lines."""
+    cells = invoice_cells(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(
+        "ordinal", "row_index", "column_index", "content",
+        F.when(F.col("is_header"), F.lit("columnHeader")).otherwise(F.lit("content")).alias("kind")))).alias("cells"))
+    tabs = invoice_tables(spark, sf_dir).join(cells, "doc_id").select("doc_id", F.array(F.struct(
+        F.col("rows").alias("row_count"), F.col("columns").alias("column_count"),
+        F.array(F.struct(F.col("page").alias("page_number"))).alias("bounding_regions"),
+        F.transform("cells", lambda c: F.struct(c["row_index"].alias("row_index"), c["column_index"].alias("column_index"),
+                                                c["content"].alias("content"), c["kind"].alias("kind"))).alias("cells"))).alias("tables"))
+    f = invoice_fields(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(
+        "field_no", "name", "value", "confidence", "value_type"))).alias("fs"))
+    doc = F.struct(F.map_from_entries(F.transform("fs", lambda x: F.struct(x["name"], F.struct(
+        x["value"].alias("value"), x["value"].alias("content"), x["confidence"].alias("confidence"),
+        x["value_type"].alias("type"))))).alias("fields"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderstatus")
+    n = (F.col("doc_id") % 3).cast("int")
+    marks = F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(
+        F.when((F.col("o_orderstatus") == "F") & (i == 1), F.lit("selected")).otherwise(F.lit("unselected")).alias("state"),
+        F.round(F.lit(0.5) + i / 10, 2).cast("double").alias("confidence")))
+    j = o.join(tabs, "doc_id", "left").join(f, "doc_id", "left")
+    return j.select("doc_id", F.struct(
+        F.concat(F.lit("Order "), F.col("doc_id").cast("string")).alias("content"),
+        F.array(F.struct(F.lit(1).alias("page_number"), marks.alias("selection_marks"))).alias("pages"), "tables",
+        F.array(doc).alias("documents"),
+        F.array(F.struct(F.lit("Order").alias("content"))).alias("paragraphs"),
+        F.array(F.struct(F.lit("en").alias("locale"))).alias("languages")).alias("response"))
+
+
+def _invoice_results(spark, sf_dir) -> DataFrame:
+    return D.parse_response(invoice_responses(spark, sf_dir), "prebuilt-invoice")
+
+
 @register("table_cells", sql=f"""
 WITH {_CELLS_SQL}
 SELECT c.doc_id, c.table_no, t.page, c.row_index, c.column_index, c.content, c.row_index = 0 AS is_header
-FROM cells c JOIN tabs t USING (doc_id, table_no)
+FROM cells c JOIN tabs t USING (doc_id, table_no) JOIN orders o ON o.o_orderkey = c.doc_id
 """)
 def table_cells(spark, sf_dir):
-    c = invoice_cells(spark, sf_dir)
-    t = invoice_tables(spark, sf_dir)
-    return c.join(t.select("doc_id", "table_no", "page"), ["doc_id", "table_no"]).select(
+    return D.table_cells(_invoice_results(spark, sf_dir)).select(
         "doc_id", "table_no", "page", "row_index", "column_index", "content", "is_header")
 
 
+@register("doc_result", sql="""
+WITH l AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey AS doc_id, 'prebuilt-invoice' AS model_used, 'Order ' || CAST(o_orderkey AS VARCHAR) AS raw_text,
+       1 AS page_count, CAST(l.n IS NOT NULL AS INTEGER) AS table_count, 6 AS field_count,
+       CAST(o_orderkey % 3 AS INTEGER) AS mark_count, coalesce(4 * (l.n + 1), 0) AS cell_count
+FROM orders LEFT JOIN l ON l.l_orderkey = o_orderkey
+""")
+def doc_result(spark, sf_dir):
+    r = _invoice_results(spark, sf_dir)
+    counts = D.doc_counts(r, keep=("doc_id", "model_used", "raw_text", "selection_marks", "tables"))
+    return counts.select("doc_id", "model_used", "raw_text", "page_count", "table_count", "field_count",
+                         D.count_of("selection_marks").alias("mark_count"),
+                         F.aggregate("tables", F.lit(0).cast("long"), lambda n, t: n + F.size(t["cells"])).alias("cell_count"))
+
+
+@register("selection_marks", sql="""
+SELECT o_orderkey AS doc_id, CASE WHEN o_orderstatus = 'F' AND i = 1 THEN 'selected' ELSE 'unselected' END AS state,
+       round(0.5 + i / 10.0, 2)::DOUBLE AS confidence, 1 AS page
+FROM orders CROSS JOIN LATERAL range(1, o_orderkey % 3 + 1) t(i)
+""")
+def selection_marks(spark, sf_dir):
+    return D.selection_marks(_invoice_results(spark, sf_dir))
+
+
 def _markdown(spark, sf_dir):
     return D.table_markdown(invoice_cells(spark, sf_dir), invoice_tables(spark, sf_dir))
 
@@ -194,9 +251,12 @@ SELECT doc_id, md5(string_agg('### Table ' || CAST(md.table_no + 1 AS VARCHAR) |
                               || CAST(t.page AS VARCHAR) || ')' || chr(10) || markdown,
                               chr(10) || chr(10) ORDER BY md.table_no)) AS tables_markdown_md5
 FROM md JOIN tabs t USING (doc_id, table_no) GROUP BY doc_id
+UNION ALL
+SELECT o_orderkey, md5('') FROM orders WHERE o_orderkey NOT IN (SELECT doc_id FROM tabs)
 """)
 def doc_tables_markdown(spark, sf_dir):
-    out = D.doc_tables_markdown(_markdown(spark, sf_dir), invoice_tables(spark, sf_dir))
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    out = D.doc_tables_markdown(_markdown(spark, sf_dir), invoice_tables(spark, sf_dir), docs=docs)
     return out.select("doc_id", F.md5("tables_markdown").alias("tables_markdown_md5"))
 
 
@@ -238,7 +298,7 @@ WITH {_FIELDS_SQL}
 SELECT doc_id, CAST(field_no AS INTEGER) AS field_no, name, value, confidence, value_type FROM f
 """)
 def doc_fields(spark, sf_dir):
-    return invoice_fields(spark, sf_dir)
+    return D.doc_fields(_invoice_results(spark, sf_dir))
 
 
 @register("get_field", sql=f"""
@@ -261,12 +321,12 @@ def get_field(spark, sf_dir):
 
 @register("confident_fields", sql=f"""
 WITH {_FIELDS_SQL}
-SELECT doc_id, CAST(field_no AS INTEGER) AS field_no, name, confidence FROM f WHERE confidence >= 0.8
+SELECT doc_id, name, value, confidence FROM f WHERE confidence >= 0.8
 """)
 def confident_fields(spark, sf_dir):
-    f = invoice_fields(spark, sf_dir)
-    return f.filter(F.col("confidence") >= D.CONFIDENCE_THRESHOLD).select("doc_id", "field_no", "name",
-                                                                          "confidence")
+    r = _invoice_results(spark, sf_dir)
+    return r.select("doc_id", F.explode(D.confident_fields(F.col("fields"))).alias("f")).select(
+        "doc_id", "f.name", "f.value", "f.confidence")
 
 
 @register("typed_fields", sql=f"""

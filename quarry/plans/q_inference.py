@@ -99,7 +99,8 @@ def chat_messages(spark, sf_dir):
                        F.md5(F.col("m.content")).alias("content_md5"))
 
 
-_DELTA_RE = r"\S+\s*"
+# A token with the white space after it; white space at the start of a text is a piece too.
+_DELTA_RE = r"\S+\s*|\s+"
 
 
 @register("assemble_deltas", sql=f"""

@@ -97,10 +97,11 @@ def stream_deltas(spark, sf_dir):
     state."""
     conv = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
     rid = (F.col("conv_id") * 1000000 + F.col("turn")).alias("request_id")
-    d = conv.select(rid, F.posexplode(F.regexp_extract_all("text", F.lit(QI._DELTA_RE), 0)).alias("seq", "delta"))
+    pieces = F.regexp_extract_all("text", F.lit(QI._DELTA_RE), 0)
+    d = conv.select(rid, F.posexplode(pieces).alias("seq", "delta"))
     d = d.withColumn("is_final", F.lit(False))
-    fin = conv.select(rid, F.lit(2147483647).alias("seq"), F.lit(None).cast("string").alias("delta"),
-                      F.lit(True).alias("is_final"))
+    fin = conv.select(rid, F.size(pieces).alias("seq"), F.lit(None).cast("string").alias("delta"),
+                      F.lit(True).alias("is_final")).filter("seq > 0")
     src = J.file_stream(spark, write_shared(d.unionByName(fin), "deltas"))
     out = J.run_available(J.assemble_stream(src), "deltas")
     return out.select("request_id", F.md5("content").alias("content_md5"), "n_deltas")

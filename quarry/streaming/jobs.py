@@ -92,9 +92,12 @@ def usage_windows(usage: DataFrame, kind: str = "tumbling", delay: str = "1 hour
 
 def assemble_stream(deltas: DataFrame, key: str = "request_id", timeout: str | None = None,
                     ts_col: str = "ts") -> DataFrame:
-    """Per-request state holding the deltas seen so far; a row with
-    ``is_final`` completes the request (content in seq order, NULL/empty
-    deltas skipped) and clears its state.
+    """Per-request state holding the deltas seen so far. A row with
+    ``is_final`` carries, as its seq, the number of deltas of the request
+    (seq 0 to that number - 1); the request is complete when all of them are
+    in, whatever the order in which they and the marker arrive. Its content
+    (in seq order, NULL/empty deltas skipped, repeated seqs once) is emitted
+    and its state cleared.
 
     With ``timeout`` (e.g. "10 minutes") the stream needs an event-time
     column ``ts_col``: a watermark of that delay is set and each request
@@ -106,7 +109,7 @@ def assemble_stream(deltas: DataFrame, key: str = "request_id", timeout: str | N
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     out_schema = f"{key} long, content string, n_deltas long, abandoned boolean"
-    state_schema = "parts string, last_ms long"
+    state_schema = "parts string, last_ms long, total long"
     timeout_ms = None
     if timeout:
         amount, unit = timeout.split()
@@ -115,33 +118,34 @@ def assemble_stream(deltas: DataFrame, key: str = "request_id", timeout: str | N
         deltas = deltas.withColumn(ts_col, F.col(ts_col).cast("timestamp")).withWatermark(ts_col, timeout)
 
     def emit(k, parts, abandoned):
-        parts.sort(key=lambda x: x[0])
-        return pd.DataFrame({key: [k[0]], "content": ["".join(p[1] for p in parts)],
-                             "n_deltas": [len(parts)], "abandoned": [abandoned]})
+        texts = [t for _, t in sorted(parts.items()) if t]
+        return pd.DataFrame({key: [k[0]], "content": ["".join(texts)],
+                             "n_deltas": [len(texts)], "abandoned": [abandoned]})
+
+    def load(state):
+        return {int(s): t for s, t in json.loads(state.get[0]).items()}, state.get[1], state.get[2]
 
     def fn(k, pdfs, state):
         if state.hasTimedOut:
-            parts = json.loads(state.get[0])
+            parts = load(state)[0]
             state.remove()
             yield emit(k, parts, True)
             return
-        parts = json.loads(state.get[0]) if state.exists else []
-        last = state.get[1] if state.exists else None
-        final = False
+        parts, last, total = load(state) if state.exists else ({}, None, None)
         for pdf in pdfs:
             for row in pdf.itertuples(index=False):
                 if timeout_ms is not None:
                     t = int(pd.Timestamp(getattr(row, ts_col)).value // 1_000_000)
                     last = t if last is None else max(last, t)
                 if row.is_final:
-                    final = True
-                elif row.delta is not None and row.delta != "":
-                    parts.append([int(row.seq), row.delta])
-        if final:
+                    total = int(row.seq)
+                else:
+                    parts[int(row.seq)] = "" if row.delta is None else row.delta
+        if total is not None and len(parts) >= total:
             state.remove()
             yield emit(k, parts, False)
         else:
-            state.update((json.dumps(parts), last))
+            state.update((json.dumps(parts), last, total))
             if timeout_ms is not None and last is not None:
                 state.setTimeoutTimestamp(last + timeout_ms)
 

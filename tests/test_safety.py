@@ -12,11 +12,12 @@ def test_severity_label_all_levels(spark):
 
 def test_lexicon_severity_and_threshold(spark):
     df = spark.createDataFrame([(1, "you idiot"), (2, "Idiot moron scum loser"), (3, "all fine"),
-                                (4, "worthless")], "doc_id long, text string")
+                                (4, "suicidal"), (5, "PORN"), (6, "un meurtre: tuer"), (7, "du Dummkopf")], "doc_id long, text string")
     sev = {r.doc_id: r for r in S.threshold_filter(S.severity_lexicon(df)).collect()}
     assert sev[1].hate == 2 and sev[2].hate == 4 and sev[3].hate == 0
     assert sev[4].self_harm == 2 and sev[4].self_harm_filtered
     assert not sev[3].hate_filtered
+    assert sev[5].sexual == 2 and sev[6].violence == 2 and sev[7].hate == 2
 
 
 def test_lexicon_table_path_matches_literal_path(spark):
