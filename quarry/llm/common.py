@@ -15,7 +15,7 @@ from quarry.plans.sizing import materialize
 
 # Rows per Arrow batch for whole-text columns: texts are kilobytes each, so the
 # engine's default of 10,000 rows would put tens of MB into every batch.
-ARROW_ROWS = 1000
+ARROW_ROWS = 250
 
 
 def prepare(spark: SparkSession) -> None:

@@ -47,6 +47,8 @@ SMOOTH = 0.1
 LONG_WORD = 48
 #: Words of one vectorised block.
 WORD_BLOCK = 20_000
+#: Distinct words that a task counts before it hands them on.
+COUNTER_WORDS = 100_000
 LOG10E = math.log10(math.e)
 MARK = "▁"
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -264,19 +266,25 @@ def count_words(docs: DataFrame, train: Column, text_col: str) -> DataFrame:
     only in other rows). Tasks count their own batches first."""
     src = docs.select(F.col(text_col).cast("string").alias("text"), train.alias("train"))
 
-    def run(b: pa.RecordBatch) -> dict:
+    def rows(seen: Counter) -> pa.RecordBatch:
+        words = pa.array(list(seen), pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays([words, pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
+
+    def run(batches):
         seen: Counter = Counter()
-        other: set[bytes] = set()
-        for text, learn in zip(common.text_bytes(b.column(0)), b.column(1).to_pylist()):
-            if learn:
-                seen.update(words_of(text))
-            else:
-                other.update(words_of(text))
-        for w in other:
-            seen.setdefault(w, 0)
-        return {"word": pa.array(list(seen), pa.binary()).cast(pa.string()), "c": list(seen.values())}
-
-    return common.per_batch(src, run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+        for b in batches:
+            for text, learn in zip(common.text_bytes(b.column(0)), b.column(1).to_pylist()):
+                if learn:
+                    seen.update(words_of(text))
+                else:
+                    for w in words_of(text):
+                        seen[w] += 0
+                if len(seen) >= COUNTER_WORDS:
+                    yield rows(seen)
+                    seen.clear()
+        yield rows(seen)
+
+    return src.mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

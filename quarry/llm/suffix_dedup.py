@@ -61,9 +61,9 @@ HOT = 2000
 SAMPLE = 64
 HOT_SAMPLE = 4096
 #: Segment bytes merged at once, entries of one shard, strings a task remembers.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 SHARD = 1 << 16
-SEEN = 100_000
+SEEN = 50_000
 #: Text bytes hashed at once.
 CHUNK = 4 << 20
 LAST_ID = (1 << 63) - 1
@@ -375,9 +375,10 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN,
-          gram: int = GRAM, hot: int = HOT) -> DataFrame:
+          gram: int = GRAM, hot: int = HOT, as_text: bool = False) -> DataFrame:
     """(row, n_bytes, n_removed, spans, kept): row is a struct of the input's
-    columns but the text, spans the removed byte runs, kept the other bytes."""
+    columns but the text, spans the removed byte runs, kept the other bytes
+    (``as_text``: as a string, without the characters that a cut has split)."""
     if min_len % gram or min_len <= ANCHOR:
         raise ValueError("min_len must be a multiple of gram and longer than an anchor")
     spark = df.sparkSession
@@ -414,7 +415,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len
     joined = home.join(spans, "kid", "left")
     row_type = joined.schema["row"].dataType
     schema = T.StructType([T.StructField("row", row_type), *T._parse_datatype_string(
-        "n_bytes long, n_removed long, spans array<struct<s: long, e: long>>, kept binary").fields])
+        "n_bytes long, n_removed long, spans array<struct<s: long, e: long>>, "
+        f"kept {'string' if as_text else 'binary'}").fields])
     arrow = common.arrow_schema(schema)
 
     def run(batches):
@@ -435,7 +437,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len
                 sizes.append(len(text))
                 gone.append(sum(e - s for s, e in out))
                 cut.append([{"s": s, "e": e} for s, e in out])
-                kept.append(b"".join(rest))
+                kept.append(b"".join(rest).decode("utf-8", "ignore") if as_text else b"".join(rest))
             yield pa.RecordBatch.from_arrays(
                 [common.as_array(b.column("row"), arrow.field(0).type),
                  *(pa.array(v, f.type) for v, f in zip((sizes, gone, cut, kept), list(arrow)[1:]))], schema=arrow)
@@ -447,22 +449,15 @@ def cut_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **h
     """``df`` with the repeated bytes cut out of its texts, columns in their
     order; characters that a cut has split are dropped. A column n_chars
     follows the text where it is its length."""
-    out = dedup(df, id_col, text_col, **how)
-
-    @F.pandas_udf("string")
-    def whole(s):
-        return s.map(lambda b: b.decode("utf-8", "ignore"))
-
+    out = dedup(df, id_col, text_col, as_text=True, **how)
     names = df.columns
     kinds = dict(df.dtypes)
-    text = F.when(F.col("n_removed") > 0, whole("kept")).otherwise(F.decode("kept", "utf-8"))
-    out = out.withColumn("__text", text)
     cols = []
     for c in names:
         if c == text_col:
-            cols.append(F.col("__text").alias(c))
+            cols.append(F.col("kept").alias(c))
         elif c == "n_chars":
-            cols.append(F.when(F.col("n_removed") > 0, F.char_length("__text")).otherwise(F.col("row.n_chars"))
+            cols.append(F.when(F.col("n_removed") > 0, F.char_length("kept")).otherwise(F.col("row.n_chars"))
                         .cast(kinds[c]).alias(c))
         else:
             cols.append(F.col(f"row.`{c}`").alias(c))
