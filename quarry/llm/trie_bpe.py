@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -95,7 +94,9 @@ class TrieEncoder:
         self.ids, self.ranks = vocab["ids"], vocab["ranks"]
         self.longest = max(map(len, self.ids), default=1)
         self.pairs: dict = {}
-        self.memo: dict[bytes, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}
+        self.spelt: dict[str, bytes] = {}
+        self.long: list[str] = []
         # lengths of the tokens that end with a given byte, longest first
         by_end: dict[int, set[int]] = {}
         for t in self.ids:
@@ -146,19 +147,21 @@ class TrieEncoder:
             out[word] = tuple(reversed(codes))
         return out
 
-    def lookup(self, words: set[bytes]) -> dict[bytes, tuple[int, ...]]:
-        new = [w for w in words if w not in self.memo]
+    def remember(self, words: set[str], spelling: list[bytes]) -> None:
+        """See to it that the memo holds the words of a batch: their token ids
+        (packed as 32-bit integers) and the bytes that the ids stand for."""
+        for w in self.long:
+            self.memo.pop(w, None)
+            self.spelt.pop(w, None)
+        new = words.difference(self.memo)
         if len(self.memo) + len(new) > MEMO_WORDS:
-            keep = {w: self.memo[w] for w in words if w in self.memo}
-            self.memo = keep
-        fresh = self.encode(new)
-        if any(len(w) > MEMO_BYTES for w in new):
-            table = dict(self.memo)
-            table.update(fresh)
-            self.memo.update((w, c) for w, c in fresh.items() if len(w) <= MEMO_BYTES)
-            return table
-        self.memo.update(fresh)
-        return self.memo
+            self.memo = {w: c for w, c in self.memo.items() if w in words}
+            self.spelt = {w: c for w, c in self.spelt.items() if w in words}
+        raw = {w.encode(): w for w in new}
+        for r, codes in self.encode(list(raw)).items():
+            self.memo[raw[r]] = np.array(codes, dtype=np.int32).tobytes()
+            self.spelt[raw[r]] = b"".join([spelling[i] for i in codes])
+        self.long = [w for w in new if len(w) > MEMO_BYTES]  # not kept for the next batch
 
 
 _ENCODERS: dict = {}  # per worker process: encoders by vocabulary
@@ -210,26 +213,30 @@ def encode_decode(df: DataFrame, vocab_path: str, text_col: str = "text", keep:
                 pieces += [split(t[at:m.start()]), special[m.group()]]
                 at = m.end()
             docs.append([*pieces, split(t[at:])])
-        words = set(chain.from_iterable(p for d in docs for p in d if not isinstance(p, int)))
-        raw = {w: w.encode() for w in words}
-        table = enc.lookup(set(raw.values()))
-        code = {w: table[r] for w, r in raw.items()}
-        flat, offsets, decoded = [], [0], []
         by_id = names.value
-        spell = {c: b"".join([by_id[i] for i in c]) for c in set(code.values())}
+        words: set[str] = set()
+        for d in docs:
+            for p in d:
+                if not isinstance(p, int):
+                    words.update(p)
+        enc.remember(words, by_id)
+        codes_of, bytes_of = enc.memo.__getitem__, enc.spelt.__getitem__
+        flat, offsets, decoded = [], [0], []
         for d in docs:
-            text = []
+            size, text = 0, []
             for p in d:
                 if isinstance(p, int):
-                    flat.append(p)
+                    codes = np.int32(p).tobytes()
                     text.append(by_id[p])
                 else:
-                    codes = list(map(code.__getitem__, p))
-                    flat.extend(chain.from_iterable(codes))
-                    text.extend(map(spell.__getitem__, codes))
-            offsets.append(len(flat))
+                    codes = b"".join(map(codes_of, p))
+                    text.extend(map(bytes_of, p))
+                flat.append(codes)
+                size += len(codes) // 4
+            offsets.append(offsets[-1] + size)
             decoded.append(b"".join(text).decode("utf-8", "replace"))
-        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.array(flat, dtype=np.int32)))
+        packed = np.frombuffer(b"".join(flat), dtype=np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(packed))
         return {c: b.column(i) for i, c in enumerate(keep)} | {"ids": ids, "decoded": decoded}
 
     return common.per_batch(src, run, kinds)

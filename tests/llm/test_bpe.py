@@ -45,11 +45,14 @@ def test_trie_equals_merging(words):
 
 def test_memo_is_bounded(monkeypatch):
     monkeypatch.setattr(trie_bpe, "MEMO_WORDS", 10)
-    enc = trie_bpe.TrieEncoder(trie_bpe.load_vocabulary(PATH))
+    vocab = trie_bpe.load_vocabulary(PATH)
+    names = [b for b, _ in sorted(vocab["ids"].items(), key=lambda x: x[1])]
+    enc = trie_bpe.TrieEncoder(vocab)
     for k in range(20):
-        words = {f" w{k}{j}".encode() for j in range(5)}
-        assert words <= set(enc.lookup(words))
-        assert len(enc.memo) <= 10
+        words = {f" w{k}{j}" for j in range(5)} | {"x" * (100 + k)}
+        enc.remember(words, names)
+        assert all(enc.spelt[w] == w.encode() for w in words)
+        assert len(enc.memo) <= 11
 
 
 def test_query_digest(spark, library):
