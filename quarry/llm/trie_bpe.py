@@ -34,7 +34,7 @@ from quarry.llm import common
 # Fixed value: the public pre-tokenizer pattern of byte-level BPE files.
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct words whose encodings a worker keeps, and the longest kept word.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 500_000
 MEMO_BYTES = 64
 #: Token pairs whose compatibility a worker keeps.
 PAIR_MEMO = 500_000
