@@ -88,38 +88,90 @@ def merge_pieces(data: bytes, ranks: dict) -> list[bytes]:
 
 
 class TrieEncoder:
-    """Encodes sets of distinct words (bytes) by walking their trie."""
+    """Encodes sets of distinct words (bytes) by walking their trie.
+
+    The tokens that end a prefix are read off an automaton over the token
+    strings, built state by state as the words need it (at most one state for
+    each prefix of a token)."""
 
     def __init__(self, vocab: dict):
         self.ids, self.ranks = vocab["ids"], vocab["ranks"]
-        self.longest = max(map(len, self.ids), default=1)
-        self.pairs: dict = {}
+        self.bytes_of = {i: t for t, i in self.ids.items()}
+        self.base = max(self.bytes_of, default=0) + 2
+        self.pairs: dict[int, bool] = {}
         self.memo: dict[str, bytes] = {}
         self.spelt: dict[str, bytes] = {}
         self.long: list[str] = []
-        # lengths of the tokens that end with a given byte, longest first
-        by_end: dict[int, set[int]] = {}
-        for t in self.ids:
-            by_end.setdefault(t[-1], set()).add(len(t))
-        self.lengths = {b: sorted(v, reverse=True) for b, v in by_end.items()}
-
-    def fits(self, left: bytes, right: bytes) -> bool:
-        """Whether left and right stand side by side in the encoding of their bytes."""
-        key = (left, right)
-        ok = self.pairs.get(key)
-        if ok is None:
-            if len(self.pairs) >= PAIR_MEMO:
-                self.pairs.clear()
-            want = [left, right] if left else [right]
-            ok = self.pairs[key] = merge_pieces(left + right, self.ranks) == want
-        return ok
-
-    def encode(self, words: list[bytes]) -> dict[bytes, tuple[int, ...]]:
+        self.prefixes = {t[:k] for t in self.ids for k in range(len(t) + 1)}
+        self.state_of: dict[bytes, int] = {}
+        self.strings: list[bytes] = []
+        self.ends: list[list[tuple[int, int]]] = []  # (token, length) that end a state's string, longest first
+        self.goto: dict[int, int] = {}
+        self.state(b"")
+        # how a token comes about: its two parts and the rank of their merge
+        made = {a + b: (a, b, r) for (a, b), r in self.ranks.items()}
+        self.made = {self.ids[t]: (self.ids[a], self.ids[b], r) for t, (a, b, r) in made.items()}
+        self.rank = {self.ids[a] * self.base + self.ids[b]: r for (a, b), r in self.ranks.items()}
+        made_at = {t: r for t, (_, _, r) in made.items()}
+        #: Each token has one merge, of a later rank than those of its parts.
+        self.ordered = len(made) == len(self.ranks) and all(
+            r > max(made_at.get(a, -1), made_at.get(b, -1)) for (a, b), r in self.ranks.items())
+        self.edges: tuple[dict, dict] = ({}, {})
+
+    def state(self, string: bytes) -> int:
+        """The state whose string is the longest suffix of ``string`` that begins a token."""
+        while string not in self.prefixes:
+            string = string[1:]
+        n = self.state_of.get(string)
+        if n is None:
+            n = self.state_of[string] = len(self.strings)
+            self.strings.append(string)
+            tails = [string[k:] for k in range(len(string))]
+            self.ends.append([(self.ids[t], len(t)) for t in tails
+                              if t in self.ids and merge_pieces(t, self.ranks) == [t]])
+        return n
+
+    def edge(self, token: int, side: int) -> list[tuple[int, float]]:
+        """The pieces that stand at an edge of a token (0: left, 1: right)
+        while it is merged, each with the rank of the merge that absorbs it."""
+        out = self.edges[side].get(token)
+        if out is None:
+            out, at = [(token, float("inf"))], token
+            while at in self.made:
+                step = self.made[at]
+                at = step[side]
+                out.append((at, step[2]))
+            self.edges[side][token] = out
+        return out
+
+    def fits(self, left: int, right: int) -> bool:
+        """Whether two tokens stand side by side in the encoding of their bytes
+        (left -1: the start of a word).
+
+        Merges run in ascending rank, so the two part company only if a piece
+        at the right edge of one and a piece at the left edge of the other
+        merge before either is absorbed by its own token; of equal ranks the
+        leftmost merge comes first."""
+        if left < 0:
+            return True
+        if not self.ordered:
+            a, b = self.bytes_of[left], self.bytes_of[right]
+            return merge_pieces(a + b, self.ranks) == [a, b]
+        rank, starts = self.rank, self.edge(right, 0)
+        for a, gone_a in self.edge(left, 1):
+            for b, gone_b in starts:
+                r = rank.get(a * self.base + b)
+                if r is not None and r < gone_a and r <= gone_b:
+                    return False
+        return True
+
+    def encode(self, words: list[bytes]) -> dict[bytes, list[int]]:
         """Encodings of distinct words, by a depth-first walk of their trie."""
         out = {}
-        last: list[bytes] = [b""]  # last[d]: last token of the branch's prefix of length d
+        # of the branch's prefix of length d: last token, its length, automaton state
+        last, sizes, states = [-1], [0], [0]
         branch = b""
-        ids, fits, lengths = self.ids, self.fits, self.lengths
+        goto, ends, pairs, base = self.goto, self.ends, self.pairs, self.base
         for word in sorted(words):
             shared = 0
             top = min(len(word), len(branch))
@@ -128,23 +180,35 @@ class TrieEncoder:
             else:
                 while word[shared] == branch[shared]:
                     shared += 1
-            del last[shared + 1:]
+            del last[shared + 1:], sizes[shared + 1:], states[shared + 1:]
+            at = states[shared]
             for d in range(shared + 1, len(word) + 1):
-                for size in lengths[word[d - 1]]:
-                    if size <= d:
-                        tok = word[d - size:d]
-                        if tok in ids and fits(last[d - size], tok):
-                            last.append(tok)
-                            break
+                way = at << 8 | word[d - 1]
+                at = goto.get(way, -1)
+                if at < 0:
+                    at = goto[way] = self.state(self.strings[way >> 8] + word[d - 1:d])
+                for tok, size in ends[at]:
+                    left = last[d - size]
+                    key = left * base + tok
+                    ok = pairs.get(key)
+                    if ok is None:
+                        if len(pairs) >= PAIR_MEMO:
+                            pairs.clear()
+                        ok = pairs[key] = self.fits(left, tok)
+                    if ok:
+                        last.append(tok)
+                        sizes.append(size)
+                        states.append(at)
+                        break
                 else:
                     raise ValueError("the vocabulary lacks a byte")
             branch = word
             codes, d = [], len(word)
             while d:
-                tok = last[d]
-                codes.append(ids[tok])
-                d -= len(tok)
-            out[word] = tuple(reversed(codes))
+                codes.append(last[d])
+                d -= sizes[d]
+            codes.reverse()
+            out[word] = codes
         return out
 
     def remember(self, words: set[str], spelling: list[bytes]) -> None:

@@ -36,13 +36,37 @@ def test_special_as_text(spark, library):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.binary(min_size=1, max_size=24), min_size=1, max_size=6, unique=True))
 def test_trie_equals_merging(words):
-    vocab = test_trie_equals_merging.__dict__.setdefault("vocab", trie_bpe.load_vocabulary(PATH))
-    enc = trie_bpe.TrieEncoder(vocab)
-    got = enc.encode(words)
+    known = test_trie_equals_merging.__dict__
+    if "vocab" not in known:
+        known["vocab"] = trie_bpe.load_vocabulary(PATH)
+        known["enc"] = trie_bpe.TrieEncoder(known["vocab"])
+    vocab = known["vocab"]
+    got = known["enc"].encode(words)
     for w in words:
         assert list(got[w]) == [vocab["ids"][p] for p in trie_bpe.merge_pieces(w, vocab["ranks"])]
 
 
+def test_side_by_side_equals_merging():
+    vocab = trie_bpe.load_vocabulary(PATH)
+    enc = trie_bpe.TrieEncoder(vocab)
+    assert enc.ordered
+    whole = [t for t in sorted(vocab["ids"])[::97] if trie_bpe.merge_pieces(t, vocab["ranks"]) == [t]]
+    whole += [b"a", b"aa", b"-", b"--", b"---", b"----", b" ", b"  ", b"   ", b"    ", b"00", b"000", b"0000"]
+    whole = [t for t in whole if t in vocab["ids"]]
+    for a in whole[::3] + whole[-13:]:
+        for b in whole[::5] + whole[-13:]:
+            want = trie_bpe.merge_pieces(a + b, vocab["ranks"]) == [a, b]
+            assert enc.fits(vocab["ids"][a], vocab["ids"][b]) == want, (a, b)
+
+
+def test_unordered_merges():
+    ids = {b"a": 0, b"b": 1, b"c": 2, b"bc": 3, b"abc": 4}
+    vocab = {"ids": ids, "ranks": {(b"a", b"bc"): 0, (b"b", b"c"): 1}}
+    enc = trie_bpe.TrieEncoder(vocab)
+    assert not enc.ordered
+    assert enc.encode([b"abc", b"aabcb"]) == {b"abc": [4], b"aabcb": [0, 4, 1]}
+
+
 def test_memo_is_bounded(monkeypatch):
     monkeypatch.setattr(trie_bpe, "MEMO_WORDS", 10)
     vocab = trie_bpe.load_vocabulary(PATH)
