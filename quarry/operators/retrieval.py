@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from quarry.functions import text as T
 from quarry.plans.sizing import (BROADCAST_MAX_ROWS, bounded_count, broadcast_if_bounded,
@@ -133,6 +134,22 @@ BLOCK_MAX_CELLS = 50_000_000
 BLOCK_SCORE_CELLS = 32_000_000
 
 
+def _candidate_schema(queries: DataFrame, docs: DataFrame) -> ST.StructType:
+    """(query_id, doc_id, raw) with the key types of the two sides."""
+    return ST.StructType([ST.StructField("query_id", queries.schema["query_id"].dataType),
+                          ST.StructField("doc_id", docs.schema["doc_id"].dataType),
+                          ST.StructField("raw", ST.DoubleType())])
+
+
+def _key_array(keys: list) -> np.ndarray:
+    """Keys as a numpy array: integers as they are, any other type as objects."""
+    if keys and isinstance(keys[0], int):
+        return np.array(keys, dtype=np.int64)
+    out = np.empty(len(keys), dtype=object)
+    out[:] = keys
+    return out
+
+
 def _bm25_block_scorer(q_ids, term_index, inc, k: int):
     """Per partition (rows hash-partitioned and sorted by doc): dense
     doc-block x query scores = sum of w * incidence[term], then a local
@@ -171,8 +188,8 @@ def _bm25_block_scorer(q_ids, term_index, inc, k: int):
                 if len(nz) > k:
                     kth = np.partition(col[nz], len(nz) - k)[len(nz) - k]
                     nz = nz[col[nz] >= kth - 1e-6]
-                out_q.append(np.full(len(nz), q_ids[j], dtype=np.int64))
-                out_d.append(docs[base + nz].astype(np.int64))
+                out_q.append(np.full(len(nz), q_ids[j], dtype=q_ids.dtype))
+                out_d.append(docs[base + nz])
                 out_s.append(col[nz])
             yield pd.DataFrame({"query_id": np.concatenate(out_q), "doc_id": np.concatenate(out_d),
                                 "raw": np.concatenate(out_s)})
@@ -224,7 +241,7 @@ def score_weights(qt: DataFrame, w: DataFrame, small: bool, k: int) -> DataFrame
             inc = np.zeros((len(terms), len(q_ids)), dtype=np.uint8)
             for r in rows:
                 inc[tpos[r["term"]], qpos[r["query_id"]]] = 1.0
-            bc = qt.sparkSession.sparkContext.broadcast((np.array(q_ids, dtype=np.int64), tpos, inc))
+            bc = qt.sparkSession.sparkContext.broadcast((_key_array(q_ids), tpos, inc))
 
             def fn(batches, bc=bc):
                 qi, tp, m = bc.value
@@ -233,7 +250,7 @@ def score_weights(qt: DataFrame, w: DataFrame, small: bool, k: int) -> DataFrame
             # Hash-partition by document (AQE may coalesce small partitions),
             # sorted so each document's rows arrive together.
             return (w.repartition("doc_id").sortWithinPartitions("doc_id")
-                    .mapInPandas(fn, "query_id long, doc_id long, raw double"))
+                    .mapInPandas(fn, _candidate_schema(qt, w)))
     hint = F.broadcast if small else (lambda x: x)
     return w.join(hint(qt), "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("raw"))
 
@@ -262,15 +279,17 @@ def keyword_boolean(queries: DataFrame, docs: DataFrame, k: int | None = None,
     k = _check_k(k)
     cols = set(queries.columns)
     scored = bm25_scores(queries, docs, query_col=query_col, text_col=text_col)
-    occ = None
-
-    def _occ():
-        return doc_terms(docs, text_col).select("doc_id", "pos", "term")
-
+    used = [c for c in (must, must_not, phrase) if c and c in cols]
+    if used:
+        # Occurrences of the constraints' words only, written once for all of them.
+        words = F.array_distinct(F.flatten(F.array(*[F.coalesce(T.words(c), F.array().cast("array<string>"))
+                                                     for c in used])))
+        needed = T.explode_tokens(queries, ["query_id"], words).select("term").distinct()
+        occ = materialize(doc_terms(docs, text_col).select("doc_id", "pos", "term")
+                          .join(broadcast_if_bounded(needed), "term", "left_semi"), "boolean-occ")
     if must and must in cols:
         req = T.explode_tokens(queries, ["query_id"], F.array_distinct(T.words(must)))
         n_req = req.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_req"))
-        occ = _occ()
         have = (occ.select("doc_id", "term").distinct()
                 .join(broadcast_if_bounded(req), "term")
                 .groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n_have"))
@@ -281,7 +300,6 @@ def keyword_boolean(queries: DataFrame, docs: DataFrame, k: int | None = None,
             scored.join(no_req, "query_id", "left_anti"))
     if must_not and must_not in cols:
         bad = T.explode_tokens(queries, ["query_id"], F.array_distinct(T.words(must_not)))
-        occ = occ if occ is not None else _occ()
         hit = (occ.select("doc_id", "term").join(broadcast_if_bounded(bad), "term")
                .select("query_id", "doc_id").distinct())
         scored = scored.join(hit, ["query_id", "doc_id"], "left_anti")
@@ -289,7 +307,6 @@ def keyword_boolean(queries: DataFrame, docs: DataFrame, k: int | None = None,
         ph = queries.select("query_id", T.words(phrase).alias("ptoks")).filter(F.size("ptoks") > 0)
         ph_terms = ph.select("query_id", F.posexplode("ptoks").alias("off", "term"))
         n_ph = ph.select("query_id", F.size("ptoks").alias("n_ph"))
-        occ = occ if occ is not None else _occ()
         # A phrase occurs at start s when token s+off equals phrase term off
         # for every off; count matches per (query, doc, start).
         starts = (occ.join(broadcast_if_bounded(ph_terms), "term")
@@ -334,11 +351,10 @@ def _block_scorer(q_ids: np.ndarray, q_mat: np.ndarray, k: int):
                 sel = np.nonzero(col >= kth - 1e-6)[0]
             else:
                 sel = np.arange(len(col))
-            out_q.append(np.full(len(sel), q_ids[j]))
+            out_q.append(np.full(len(sel), q_ids[j], dtype=q_ids.dtype))
             out_d.append(ids[sel])
             out_s.append(col[sel])
-        return pd.DataFrame({"query_id": np.concatenate(out_q).astype(np.int64),
-                             "doc_id": np.concatenate(out_d).astype(np.int64),
+        return pd.DataFrame({"query_id": np.concatenate(out_q), "doc_id": np.concatenate(out_d),
                              "raw": np.concatenate(out_s)})
 
     def score(batches):
@@ -372,22 +388,22 @@ def vector_candidates(queries: DataFrame, vectors: DataFrame, k: int,
     table is scanned once per block and never shuffled before the top-k.
     """
     spark = queries.sparkSession
-    qv = queries.select(F.col("query_id").cast("long"), "embedding").filter(F.col("embedding").isNotNull())
+    qv = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
     meta = qv.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
     n, d = int(meta["n"] or 0), int(meta["d"] or 0)
-    schema = "query_id long, doc_id long, raw double"
+    schema = _candidate_schema(queries, vectors)
     if n == 0:
         return spark.createDataFrame([], schema)
     per_block = max(1, block_bytes // (8 * max(d, 1)))
     n_blocks = max(1, math.ceil(n / per_block))
-    vec = vectors.select(F.col("doc_id").cast("long"), "embedding")
+    vec = vectors.select("doc_id", "embedding")
     parts = []
     for blk in range(n_blocks):
         part = qv if n_blocks == 1 else qv.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == blk)
         rows = part.collect()  # bounded by block_bytes
         if not rows:
             continue
-        ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
+        ids = _key_array([r["query_id"] for r in rows])
         mat = np.array([np.asarray(r["embedding"], dtype=np.float64)
                         if r["embedding"] is not None and len(r["embedding"]) == d
                         else np.zeros(d) for r in rows])
@@ -467,6 +483,13 @@ def hybrid_search(queries: DataFrame, query_vecs: DataFrame, docs: DataFrame,
                         F.col("rank_0").alias("vector_rank"), F.col("rank_1").alias("keyword_rank"))
 
 
+def hit_side(hits: DataFrame) -> DataFrame:
+    """Hits ready to be joined to the documents: written once, and broadcast
+    when their measured rows and bytes allow, so that the documents (and their
+    texts) stay in their scan partitions."""
+    return broadcast_if_bounded(materialize(hits, "hits"))
+
+
 def rerank(candidates: DataFrame, queries: DataFrame, docs: DataFrame,
            title_col: str | None = "title", content_col: str = "text",
            category_col: str | None = "category",
@@ -480,13 +503,16 @@ def rerank(candidates: DataFrame, queries: DataFrame, docs: DataFrame,
     for name, w in zip((title_col, content_col, category_col), weights):
         if name and name in cols:
             fields.append((name, w))
-    d = docs.select("doc_id", *[F.array_distinct(T.words(n)).alias(f"w_{n}") for n, _ in fields])
+    d = docs.select("doc_id", *[F.col(n).alias(f"w_{n}") for n, _ in fields])
     total_w = sum(w for _, w in fields)
     expr = sum((F.lit(w) * T.coverage("qw", f"w_{n}") for n, w in fields), F.lit(0.0))
-    out = (candidates.join(broadcast_if_bounded(q), "query_id")
-           .join(d, "doc_id")
-           .withColumn("reranker_score", F.round(F.lit(4.0) * expr / F.lit(total_w), SCORE_DIGITS)))
-    return out.drop("qw", *[f"w_{n}" for n, _ in fields])
+    hits = hit_side(candidates.join(broadcast_if_bounded(q), "query_id"))
+    out = d.join(hits, "doc_id")
+    for n, _ in fields:
+        out = out.withColumn(f"w_{n}", F.array_distinct(T.words(f"w_{n}")))
+    out = out.withColumn("reranker_score", F.round(F.lit(4.0) * expr / F.lit(total_w), SCORE_DIGITS))
+    return out.select("query_id", "doc_id", *[c for c in candidates.columns if c not in ("query_id", "doc_id")],
+                      "reranker_score")
 
 
 def result_order(results: DataFrame, reranked_first: bool = False,
@@ -519,9 +545,9 @@ def captions(hits: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
     query words in the sentence); ties by earliest sentence; hits with no
     overlapping sentence get no caption."""
     q = queries.select("query_id", F.array_distinct(T.words("query")).alias("qw"))
-    sents = passages(docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi"))
-    scored = (hits.select("query_id", "doc_id").join(broadcast_if_bounded(q), "query_id")
-              .join(sents, "doc_id")
+    h = hit_side(hits.select("query_id", "doc_id").join(broadcast_if_bounded(q), "query_id"))
+    scored = (docs.select("doc_id", "text").join(h, "doc_id")
+              .select("query_id", "doc_id", "qw", F.posexplode(T.sentences("text")).alias("sent_no", "sentence"))
               .withColumn("overlap", F.size(F.array_intersect("qw", F.array_distinct(T.words("sentence")))))
               .filter(F.col("overlap") > 0))
     # Best sentence per hit as an aggregate (partial aggregation map-side),
@@ -539,6 +565,14 @@ def answers(caps: DataFrame) -> DataFrame:
             .select("query_id", F.col("caption").alias("answer"), F.col("doc_id").alias("answer_doc_id")))
 
 
+def matched_set(queries: DataFrame, docs: DataFrame, query_col: str = "query",
+                text_col: str = "text") -> DataFrame:
+    """(query_id, doc_id) of every document that shares a term with a query."""
+    qt = query_terms(queries, query_col)
+    occ = T.explode_tokens(docs, ["doc_id"], F.array_distinct(T.words(text_col)))
+    return occ.join(broadcast_if_bounded(qt), "term").select("query_id", "doc_id").distinct()
+
+
 def facets(hits: DataFrame, docs: DataFrame, facet_cols: list[str], top_n: int = 10) -> DataFrame:
     """Per query and facet field, counts of each value over the matched
     set; top_n values by count desc then value asc."""
@@ -564,7 +598,7 @@ def rag_context(hits: DataFrame, docs: DataFrame, sep: str = "\n",
                 rank_col: str = "rank") -> DataFrame:
     """Hit contents joined in rank order, one row per query. Only the k
     hits per query are gathered, so the array is bounded by k."""
-    j = hits.select("query_id", "doc_id", rank_col).join(docs.select("doc_id", "text"), "doc_id")
+    j = docs.select("doc_id", "text").join(hit_side(hits.select("query_id", "doc_id", rank_col)), "doc_id")
     agg = j.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct(F.col(rank_col).alias("r"), F.col("text").alias("t")))).alias("xs"))
     return agg.select("query_id", F.array_join(F.transform("xs", lambda x: x["t"]), sep).alias("context"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.plans.sizing import bounded_count, broadcast_if_bounded
+from quarry.plans.sizing import bounded_count, broadcast_if_bounded, materialize
 
 CATEGORIES = ("hate", "self_harm", "sexual", "violence")
 
@@ -288,9 +288,12 @@ def protected_material(docs: DataFrame, protected: DataFrame, n: int = 8,
     def toks(df, k):
         return df.select(F.col(k), F.array_join(T.words("text"), " ").alias("__toks"))
 
-    schema_p = f"{item} long, pos int, h long, s string"
-    prot = (toks(protected, item).mapInPandas(_shingle_scan(n), schema_p)
-            .select(item, "h", F.col("s").alias("ps")).distinct())
+    def kind(df, k):
+        return f"`{k}` {df.schema[k].dataType.simpleString()}, pos int, h long, s string"
+
+    # Written once: counted, collected as hashes, joined and sized from there.
+    prot = materialize(toks(protected, item).mapInPandas(_shingle_scan(n), kind(protected, item))
+                       .select(item, "h", F.col("s").alias("ps")).distinct(), "protected")
     sizes = prot.groupBy(item).agg(F.count(F.lit(1)).alias("item_shingles"))
     n_prot = bounded_count(prot, PROTECTED_HASH_MAX)
     if method == "spark" or (method == "auto" and n_prot > PROTECTED_HASH_MAX):
@@ -304,15 +307,14 @@ def protected_material(docs: DataFrame, protected: DataFrame, n: int = 8,
         hashes = np.unique(np.array([r.h for r in prot.select("h").distinct().collect()],
                                     dtype=np.int64).view(np.uint64))
         bc = docs.sparkSession.sparkContext.broadcast(hashes)
-        schema_d = f"{key} long, pos int, h long, s string"
 
         def scan(batches, bc=bc):
             return _shingle_scan(n, bc.value)(batches)
 
-        cand = toks(docs, key).mapInPandas(scan, schema_d).select(key, "h", "s")
+        cand = toks(docs, key).mapInPandas(scan, kind(docs, key)).select(key, "h", "s")
     hits = (cand.join(broadcast_if_bounded(prot), "h")
             .filter(F.col("s") == F.col("ps"))
-            .select(key, item, "h").distinct()
+            .select(key, item, "s").distinct()
             .groupBy(key, item).agg(F.count(F.lit(1)).alias("matched")))
     return (hits.join(broadcast_if_bounded(sizes), item)
             .select(key, item, "matched", "item_shingles",

@@ -12,7 +12,7 @@ from quarry.sources.tables import eval_cases
 
 CASES_SQL = """
 cases AS (
-  SELECT u.conv_id * 1000000 + u.turn AS case_id, u.text AS question, a.text AS answer,
+  SELECT CAST(u.conv_id AS VARCHAR) || ':' || CAST(u.turn AS VARCHAR) AS case_id, u.text AS question, a.text AS answer,
          coalesce(p.text, '') AS context, coalesce(g.text, '') AS ground_truth
   FROM conversations u
   JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'

@@ -105,7 +105,7 @@ _DELTA_RE = r"\S+\s*|\s+"
 
 @register("assemble_deltas", sql=f"""
 WITH d AS (
-  SELECT conv_id * 1000000 + turn AS request_id, UNNEST(regexp_extract_all(text, '{_DELTA_RE}', 0)) AS delta,
+  SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS request_id, UNNEST(regexp_extract_all(text, '{_DELTA_RE}', 0)) AS delta,
          UNNEST(range(0, len(regexp_extract_all(text, '{_DELTA_RE}', 0)))) AS seq
   FROM conversations WHERE role = 'assistant')
 SELECT request_id, md5(string_agg(delta, '' ORDER BY seq)) AS content_md5, count(*) AS n_deltas
@@ -115,7 +115,7 @@ def assemble_deltas(spark, sf_dir):
     """M9 over assistant turns split into streamed deltas (each token with
     its trailing whitespace), then reassembled in order."""
     conv = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
-    d = conv.select((F.col("conv_id") * 1000000 + F.col("turn")).alias("request_id"),
+    d = conv.select(F.concat_ws(":", "conv_id", "turn").alias("request_id"),
                     F.posexplode(F.regexp_extract_all("text", F.lit(_DELTA_RE), 0)).alias("seq", "delta"))
     out = M.assemble_deltas(d)
     return out.select("request_id", F.md5("content").alias("content_md5"),

@@ -127,7 +127,7 @@ def prompt_shield(spark, sf_dir):
     qs = search_queries(spark, sf_dir)
     docs = corpus(spark, sf_dir)
     # every 5th prompt and every 23rd document end in an attack phrase, so that both flags occur
-    hits = R.keyword_search(qs, docs, k=10).join(docs.select("doc_id", "text"), "doc_id").withColumn(
+    hits = docs.select("doc_id", "text").join(R.hit_side(R.keyword_search(qs, docs, k=10)), "doc_id").withColumn(
         "text", F.when(F.col("doc_id") % 23 == 0, F.concat("text", F.lit(" " + _ATTACK_DOC))).otherwise(F.col("text")))
     prompts = qs.withColumn("query", F.when(F.col("query_id") % 5 == 0, F.concat("query", F.lit(" " + _ATTACK_PROMPT)))
                             .otherwise(F.col("query")))

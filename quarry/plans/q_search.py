@@ -190,7 +190,7 @@ def answers(spark, sf_dir):
 
 @register("facets", sql=f"""
 WITH {bm25_cte()},
-hits AS (SELECT query_id, doc_id FROM kw WHERE rank <= 20),
+hits AS (SELECT query_id, doc_id FROM kw_raw),
 l AS (SELECT h.query_id, 'source' AS facet, d.source AS value FROM hits h JOIN documents d USING (doc_id)
       UNION ALL
       SELECT h.query_id, 'lang', d.lang FROM hits h JOIN documents d USING (doc_id)),
@@ -200,7 +200,30 @@ WHERE facet_rank <= 10
 """)
 def facets(spark, sf_dir):
     qs, docs = search_queries(spark, sf_dir), corpus(spark, sf_dir)
-    return R.facets(R.keyword_search(qs, docs, k=20), docs, ["source", "lang"])
+    return R.facets(R.matched_set(qs, docs), docs, ["source", "lang"])
+
+
+@register("search_table_hybrid", sql=f"""
+WITH {bm25_cte()}, {vec_cte()},
+v AS (SELECT query_id, CAST(doc_id AS VARCHAR) AS id, row_number() OVER (
+        PARTITION BY query_id ORDER BY round(raw, 6) DESC, CAST(doc_id AS VARCHAR)) AS vr FROM vs_raw),
+k AS (SELECT query_id, CAST(doc_id AS VARCHAR) AS id, row_number() OVER (
+        PARTITION BY query_id ORDER BY round(raw, 6) DESC, CAST(doc_id AS VARCHAR)) AS kr FROM kw_raw),
+legs AS (SELECT query_id, id, vr, NULL AS kr FROM v WHERE vr <= 20
+         UNION ALL SELECT query_id, id, NULL, kr FROM k WHERE kr <= 20),
+g AS (SELECT query_id, id, coalesce(1.0 / (60.0 + max(vr)), 0.0) + coalesce(1.0 / (60.0 + max(kr)), 0.0) AS fused
+      FROM legs GROUP BY query_id, id)
+SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, id) AS rank FROM g)
+WHERE rank <= 10
+""")
+def search_table_hybrid(spark, sf_dir):
+    """R6 over the search table itself, whose ids are strings."""
+    t = search_docs(spark, sf_dir)
+    docs = t.select(F.col("id").alias("doc_id"), F.col("content").alias("text"))
+    vecs = t.filter(F.col("content_vector").isNotNull()).select(F.col("id").alias("doc_id"),
+                                                               F.col("content_vector").alias("embedding"))
+    hits = R.hybrid_search(search_queries(spark, sf_dir), query_vectors(spark, sf_dir), docs, vecs, k=10)
+    return hits.select("query_id", F.col("doc_id").alias("id"), "rank")
 
 
 @register("sorted_listing", sql="""
@@ -222,7 +245,7 @@ SELECT query_id, id, 'n_chars', CAST(n_chars AS VARCHAR) FROM hits
 """)
 def result_metadata(spark, sf_dir):
     qs, docs = search_queries(spark, sf_dir), corpus(spark, sf_dir)
-    hits = R.keyword_search(qs, docs, k=10).join(docs, "doc_id").select(
+    hits = docs.join(R.hit_side(R.keyword_search(qs, docs, k=10).select("query_id", "doc_id")), "doc_id").select(
         "query_id", F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"),
         "source", "lang", "n_chars")
     m = R.result_metadata(hits)

@@ -96,7 +96,7 @@ def stream_deltas(spark, sf_dir):
     request, staged as a parquet stream and assembled with per-request
     state."""
     conv = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
-    rid = (F.col("conv_id") * 1000000 + F.col("turn")).alias("request_id")
+    rid = F.concat_ws(":", "conv_id", "turn").alias("request_id")
     pieces = F.regexp_extract_all("text", F.lit(QI._DELTA_RE), 0)
     d = conv.select(rid, F.posexplode(pieces).alias("seq", "delta"))
     d = d.withColumn("is_final", F.lit(False))
@@ -117,7 +117,7 @@ def stream_upsert(spark, sf_dir):
 
 _EVAL_TS_SQL = f"""
 WITH {QE.RESULTS_SQL},
-r AS (SELECT res2.*, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(case_id // 1000000 AS BIGINT)) AS ts FROM res2),
+r AS (SELECT res2.*, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(split_part(case_id, ':', 1) AS BIGINT)) AS ts FROM res2),
 mx AS (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM r)
 SELECT strftime(time_bucket(INTERVAL 10 MINUTE, ts), {_SFMT}) AS window_start, count(*) AS total,
        CAST(sum(CAST(overall_score >= 3.0 AS BIGINT)) AS BIGINT) AS passed, round(avg(overall_score), 6) AS avg_overall
@@ -133,7 +133,7 @@ def stream_pass_rate(spark, sf_dir):
     minutes with a 10-minute watermark delay."""
     res = V.evaluate(eval_cases(spark, sf_dir)).select(
         "case_id", "overall_score", "passed",
-        F.timestamp_seconds(F.lit(1704067200) + F.floor(F.col("case_id") / 1000000) * 60).alias("ts"))
+        F.timestamp_seconds(F.lit(1704067200) + F.substring_index("case_id", ":", 1).cast("bigint") * 60).alias("ts"))
     src = J.file_stream(spark, write_shared(res, "eval-results"))
     out = J.run_available(J.pass_rate_windows(src, delay="10 minutes", size="10 minutes"), "pass-rate")
     return out.select(F.date_format("w.start", _FMT).alias("window_start"), "total", "passed",

@@ -46,7 +46,7 @@ def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation cases from conversations: each user turn t with an
     assistant reply at t+1 is a case (question = user text, answer = reply,
     context = text of turn t-1 or '', ground_truth = the assistant text at
-    t+3 or ''). case_id = conv_id * 1000000 + turn.
+    t+3 or ''). case_id = "conv_id:turn".
 
     One shuffle instead of three self-joins: every message is emitted under
     the case keys it serves (as question, answer, context or ground truth)
@@ -74,7 +74,7 @@ def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
                                               pick("ground_truth"), F.max((F.col("kind") == "question").cast("int")).alias("hq"),
                                               F.max((F.col("kind") == "answer").cast("int")).alias("ha"))
     return cases.filter((F.col("hq") == 1) & (F.col("ha") == 1)).select(
-        (F.col("conv_id") * 1000000 + F.col("t")).alias("case_id"), "question", "answer",
+        F.concat_ws(":", "conv_id", "t").alias("case_id"), "question", "answer",
         F.coalesce("context", F.lit("")).alias("context"), F.coalesce("ground_truth", F.lit("")).alias("ground_truth"))
 
 

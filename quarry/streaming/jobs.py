@@ -108,7 +108,7 @@ def assemble_stream(deltas: DataFrame, key: str = "request_id", timeout: str | N
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    out_schema = f"{key} long, content string, n_deltas long, abandoned boolean"
+    out_schema = f"{key} {deltas.schema[key].dataType.simpleString()}, content string, n_deltas long, abandoned boolean"
     state_schema = "parts string, last_ms long, total long"
     timeout_ms = None
     if timeout:

@@ -38,3 +38,20 @@ def test_exact_vector_search_has_no_cartesian_product(spark):
 def test_lexicon_severity_is_row_local(spark):
     p = _plan(S.severity_lexicon(corpus(spark, SF)))
     assert "Exchange" not in p  # no shuffle: one projection over the scan
+
+
+def test_document_texts_stay_in_their_scan(spark):
+    """Hits are broadcast to the documents; no exchange carries a document text."""
+    docs, qs = corpus(spark, SF), search_queries(spark, SF)
+    hits = R.keyword_search(qs, docs, k=3)
+    for out in (R.captions(hits, qs, docs), R.rerank(hits, qs, docs, title_col=None, category_col=None)):
+        p = _plan(out)
+        assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
+        scan = [x for x in p.splitlines() if "text" in x and "Exchange" in x]
+        assert not [x for x in scan if "hashpartitioning" in x and "text#" in x]
+
+
+def test_boolean_search_reads_the_documents_twice(spark):
+    qs = search_queries(spark, SF).withColumn("must", F.lit("the")).withColumn("must_not", F.lit("zebra"))
+    p = _plan(R.keyword_boolean(qs.withColumn("phrase", F.lit(None).cast("string")), corpus(spark, SF), k=3))
+    assert p.count("documents.parquet") == 0  # only the written (doc, term) tables are left

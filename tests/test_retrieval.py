@@ -159,3 +159,27 @@ def test_block_scorer_with_tiny_arrow_batches(spark):
     assert set(got) == set(exp)
     for key, v in exp.items():
         assert got[key] == pytest.approx(round(v, 6), abs=1e-6)
+
+
+def test_string_keys_on_both_bm25_paths(spark, monkeypatch):
+    q = spark.createDataFrame([("qa", "red fox"), ("qb", "blue")], "query_id string, query string")
+    d = spark.createDataFrame([("d1", "red fox runs"), ("d2", "blue sky"), ("d3", "red"), ("d4", None)],
+                              "doc_id string, text string")
+    small = sorted(map(tuple, R.keyword_search(q, d, k=2).collect()))
+    assert [r[:2] for r in small] == [("qa", "d1"), ("qa", "d3"), ("qb", "d2")]
+    monkeypatch.setattr(R, "BLOCK_MAX_CELLS", 0)
+    assert sorted(map(tuple, R.keyword_search(q, d, k=2).collect())) == small
+
+
+def test_string_keys_in_vector_search(spark):
+    q = spark.createDataFrame([("qa", [1.0, 0.0])], "query_id string, embedding array<double>")
+    v = spark.createDataFrame([("x", [2.0, 0.0]), ("y", [0.0, 1.0])], "doc_id string, embedding array<double>")
+    assert [r["doc_id"] for r in R.vector_search(q, v, k=2).orderBy("rank").collect()] == ["x", "y"]
+
+
+def test_matched_set_is_not_cut(spark):
+    q = spark.createDataFrame([(1, "common")], "query_id long, query string")
+    d = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("common word").alias("text"),
+                                F.when(F.col("id") < 400, "a").otherwise("b").alias("source"))
+    got = R.facets(R.matched_set(q, d), d, ["source"]).collect()
+    assert sorted((r["value"], r["n"]) for r in got) == [("a", 400), ("b", 100)]
