@@ -34,6 +34,13 @@ def embed_corpus(docs: DataFrame, dims: int = 256, text_col: str = "text", key:
     return out.select(key, vector_to_array("vec").alias("embedding"), F.size("tokens").alias("input_tokens"))
 
 
+# Share of the cells a query probes by default. Embeddings without cluster
+# structure need most of them: on 2,000 such vectors in 44 cells, half the
+# cells gave a mean recall at 10 of 0.88 and three quarters 0.97. Vectors that
+# do cluster need far fewer; pass ``nprobe`` there.
+PROBE_SHARE = 0.65
+
+
 def build_ivf(vectors: DataFrame, n_cells: int | None = None, seed: int = 42, max_iter: int = 20):
     """Fit KMeans cells on unit vectors; returns (centroids as a list of
     unit arrays, vectors with their cell). Centroids are model parameters,
@@ -55,18 +62,19 @@ def build_ivf(vectors: DataFrame, n_cells: int | None = None, seed: int = 42, ma
     return cents, cells
 
 
-def vector_search_ann(query_vecs: DataFrame, vectors: DataFrame, k: int = 10, nprobe: int = 4,
+def vector_search_ann(query_vecs: DataFrame, vectors: DataFrame, k: int = 10, nprobe: int | None = None,
                       n_cells: int | None = None, seed: int = 42, index=None) -> DataFrame:
     """R2: approximate cosine top-k per query via the IVF cells.
 
     Probing reuses the exact blocked scorer with the centroids as the
     vector table (a DataFrame, so the number of cells can grow with the
     data without entering the plan as literals); the nprobe best cells per
-    query are then an equi-join key into the cell-assigned vectors, and the
-    candidates are rescored exactly.
+    query (default: ``PROBE_SHARE`` of the cells) are then an equi-join key
+    into the cell-assigned vectors, and the candidates are rescored exactly.
     """
     from quarry.operators.retrieval import vector_candidates
     cents, cells = index if index is not None else build_ivf(vectors, n_cells, seed)
+    nprobe = nprobe or max(1, math.ceil(PROBE_SHARE * len(cents)))
     spark = query_vecs.sparkSession
     cent_df = spark.createDataFrame([(i, c) for i, c in enumerate(cents)], "doc_id long, embedding array<double>")
     q = query_vecs.select("query_id", "embedding")

@@ -15,6 +15,7 @@ the rows-only queries; they never claim to equal a hosted model.
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pandas as pd
@@ -58,17 +59,23 @@ def fake_embedder(dims: int = 64, text_col: str = "text"):
 
 def fake_completer(model: str = "fake-chat"):
     """Client factory for ``batch_complete``: a deterministic echo model.
-    Prompts containing 'FAIL' raise, to exercise retries and error rows."""
+    Prompts containing 'FAIL' raise, to exercise retries and error rows; a
+    request with tools is answered with one call of the first tool."""
     def factory():
-        def client(prompts):
+        def client(requests):
+            prompts = [r["messages"][-1].get("content", "") for r in requests]
             if any("FAIL" in p for p in prompts):
                 raise RuntimeError("simulated service failure")
             out = []
-            for p in prompts:
+            for r, p in zip(requests, prompts):
                 words = p.split()
-                reply = " ".join(reversed(words[:8]))
-                out.append({"content": reply, "model": model, "input_tokens": len(words),
-                            "output_tokens": len(reply.split()), "finish_reason": "stop"})
+                reply = " ".join(list(reversed(words[:8]))[:r["max_tokens"]])
+                calls = [{"id": "call_0", "function": t["name"], "arguments": json.dumps({"text": reply})}
+                         for t in r.get("tools", [])[:1]]
+                out.append({"content": reply, "model": model, "tool_calls": calls,
+                            "input_tokens": sum(len(m.get("content", "").split()) for m in r["messages"]),
+                            "output_tokens": len(reply.split()),
+                            "finish_reason": "tool_calls" if calls else "stop"})
             return out
         return client
     return factory

@@ -132,6 +132,26 @@ def conversation_history(spark, sf_dir):
     return M.conversation_history(table(spark, sf_dir, "conversations"))
 
 
+@register("tool_calls", sql="""
+SELECT l_orderkey AS request_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, lower(l_returnflag),
+                                                            CAST(l_partkey AS VARCHAR) || '}') - 1 AS call_no,
+       'call_' || CAST(l_linenumber AS VARCHAR) AS id, 'ship_' || lower(l_returnflag) AS function,
+       '{"partkey":' || CAST(l_partkey AS VARCHAR) || '}' AS arguments
+FROM lineitem
+""")
+def tool_calls(spark, sf_dir):
+    """M7 over replies built from orders: one call per line, in line order
+    (an order has a handful of lines, so its list is small)."""
+    call = F.struct(F.col("l_linenumber").alias("no"),
+                    F.concat(F.lit("call_"), F.col("l_linenumber").cast("string")).alias("id"),
+                    F.concat(F.lit("ship_"), F.lower("l_returnflag")).alias("function"),
+                    F.to_json(F.struct(F.col("l_partkey").alias("partkey"))).alias("arguments"))
+    replies = (table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("request_id"))
+               .agg(F.array_sort(F.collect_list(call)).alias("tool_calls")))
+    out = M.tool_calls(replies, ["request_id"])
+    return out.withColumn("call_no", F.col("call_no").cast("long"))
+
+
 TEMPLATE = "[{{$role}} #{{$turn}} of conversation {{$conv_id}}] {{$text}}"
 
 

@@ -20,14 +20,14 @@ def _vectors(spark, sf_dir):
 
 @register("vector_search_ann")
 def vector_search_ann(spark, sf_dir):
-    return EM.vector_search_ann(query_vectors(spark, sf_dir), _vectors(spark, sf_dir), k=10, nprobe=4)
+    return EM.vector_search_ann(query_vectors(spark, sf_dir), _vectors(spark, sf_dir), k=10)
 
 
 @register("ann_recall")
 def ann_recall(spark, sf_dir):
     qv, vec = query_vectors(spark, sf_dir), _vectors(spark, sf_dir)
     idx = EM.build_ivf(vec)
-    approx = EM.vector_search_ann(qv, vec, k=10, nprobe=4, index=idx)
+    approx = EM.vector_search_ann(qv, vec, k=10, index=idx)
     exact = R.vector_search(qv, vec, k=10)
     return EM.ann_recall(approx, exact)
 

@@ -27,6 +27,14 @@ def test_ann_recall_full_probe_is_exact(spark, vecs):
     assert part.agg(F.avg("recall")).first()[0] > 0.2  # near-orthogonal vectors: cells separate poorly
 
 
+def test_ann_recall_of_the_default_probes(spark):
+    sf = "/root/testdata/sf0.1"
+    v = doc_vectors(spark, sf).join(corpus(spark, sf).select("doc_id"), "doc_id", "left_semi")
+    qv = query_vectors(spark, sf)
+    got = EM.ann_recall(EM.vector_search_ann(qv, v, k=10), R.vector_search(qv, v, k=10))
+    assert got.agg(F.avg("recall")).first()[0] >= 0.9
+
+
 def test_severity_model_recall_on_english(spark):
     _, scored = P.severity_model(table(spark, SF, "documents"), table(spark, SF, "labels"))
     en = scored.filter((F.col("lang") == "en") & (F.col("label") == 1))
