@@ -106,20 +106,20 @@ def block_of(col: Column, bounds: list[int]) -> Column:
     return F.when(col.isNull(), F.lit(len(bounds) + 1)).otherwise(find(F.coalesce(col, F.lit(0)).cast("long")))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list over long node names.
 
     Alternating large-star and small-star steps: every step is a minimum per
     node (map-side combined) and an equi-join back, so a hot node is split by
     the adaptive skew join and no neighbour list is ever collected. Each round
     is written to the shared folder, which cuts lineage and survives the loss
-    of executors. Returns (node, root) with root the smallest node reachable,
-    for nodes that have an edge.
+    of executors, until a round changes nothing. Returns (node, root) with root
+    the smallest node reachable, for nodes that have an edge.
     """
     cur = materialize(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "cc")
     before = None
-    for _ in range(max_rounds):
+    while True:
         # large star: neighbours above a node move to the smallest of its neighbours
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

@@ -68,7 +68,7 @@ def majority_bits(hashes: list[int]) -> int:
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
     """(doc_id, row_key, fp): the fingerprint as a signed long, one row per
-    input row; row_key is a hash of id and text that finds the row again."""
+    input row; row_key is a 128-bit hash of id and text that finds the row again."""
     common.prepare(df.sparkSession)
     src = df.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row_key"),
                     F.col(text_col).cast("string").alias("text"))
@@ -78,11 +78,13 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return {"doc_id": b.column(0), "row_key": b.column(1), "fp": np.array(fps, dtype=np.uint64).view(np.int64)}
 
     kind = dict(src.dtypes)["doc_id"]
-    return common.per_batch(src, run, f"doc_id {kind}, row_key long, fp long")
+    return common.per_batch(src, run, f"doc_id {kind}, row_key binary, fp long")
 
 
 def row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
+    parts = [c for x in (F.col(id_col).cast("string"), F.col(text_col).cast("string"))
+             for c in (F.coalesce(F.char_length(x), F.lit(-1)).cast("string"), F.coalesce(x, F.lit("")))]
+    return F.unhex(F.md5(F.concat_ws(" ", *parts)))
 
 
 def ball_masks(radius: int, bits: int = 64) -> list[int]:
