@@ -34,6 +34,8 @@ MIN_TILE = 5
 MIN_COVERAGE = 0.5
 #: Bytes of benchmark text in one block.
 BLOCK_BYTES = 8 << 20
+#: Seeds joined at once: a text that repeats a word may have many with one item.
+SEED_BLOCK = 1 << 20
 
 TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
 HASH_BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -56,6 +58,17 @@ def rolling_hash(ids: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
+def diagonals(k: np.ndarray, doc: np.ndarray, pos: np.ndarray, seeds: np.ndarray):
+    """Join runs of seeds (item, document start, item start, number of seeds)
+    that follow each other on a diagonal of one item."""
+    order = np.lexsort((doc, doc - pos, k))
+    k, doc, pos, seeds = k[order], doc[order], pos[order], seeds[order]
+    new = np.ones(len(k), dtype=bool)
+    new[1:] = (k[1:] != k[:-1]) | (doc[1:] - pos[1:] != doc[:-1] - pos[:-1]) | (doc[1:] != doc[:-1] + seeds[:-1])
+    first = np.flatnonzero(new)
+    return k[first], doc[first], pos[first], np.add.reduceat(seeds, first) if len(first) else seeds
+
+
 @dataclass
 class Block:
     """Items of one benchmark block with their seed table."""
@@ -101,20 +114,20 @@ class Block:
             reps = hi - lo
             if not reps.any():
                 continue
-            doc = np.repeat(at, reps)
-            pick = np.repeat(lo - np.concatenate(([0], np.cumsum(reps)[:-1])), reps) + np.arange(reps.sum())
-            k, pos = item[pick], place[pick]
-            # join seeds that follow each other on a diagonal of one item
-            order = np.lexsort((doc, doc - pos, k))
-            k, pos, doc = k[order], pos[order], doc[order]
-            new = np.ones(len(k), dtype=bool)
-            new[1:] = (k[1:] != k[:-1]) | (doc[1:] != doc[:-1] + 1) | (pos[1:] != pos[:-1] + 1)
-            first = np.flatnonzero(new)
-            size = np.diff(np.append(first, len(k))) + width - 1
-            for f, n in zip(first.tolist(), size.tolist()):
-                a, p, n = int(doc[f]), int(pos[f]), int(n)
-                if np.array_equal(ids[a:a + n], self.items[k[f]][p:p + n]):  # confirm on tokens
-                    found.setdefault(int(k[f]), []).append((a, p, n))
+            # seeds of a stretch of the document at a time, then the stretches' runs
+            ends = np.cumsum(reps)
+            cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] + SEED_BLOCK, SEED_BLOCK), "left"))
+            runs = []
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)]):
+                r = reps[a:b]
+                doc = np.repeat(at[a:b], r)
+                pick = np.repeat(lo[a:b] - np.concatenate(([0], np.cumsum(r)[:-1])), r) + np.arange(r.sum())
+                runs.append(diagonals(item[pick], doc, place[pick], np.ones(len(doc), dtype=np.int64)))
+            k, doc, pos, size = diagonals(*(np.concatenate(x) for x in zip(*runs))) if len(runs) > 1 else runs[0]
+            size = size + width - 1
+            for name, a, p, n in zip(k.tolist(), doc.tolist(), pos.tolist(), size.tolist()):
+                if np.array_equal(ids[a:a + n], self.items[name][p:p + n]):  # confirm on tokens
+                    found.setdefault(name, []).append((a, p, n))
         return found
 
     def encode(self, toks: list[bytes]) -> np.ndarray:
@@ -139,6 +152,8 @@ def tile(matches: list[tuple[int, int, int]], item_len: int, min_tile: int) -> t
             covered += n
             tiles += 1
             longest = max(longest, n)
+            if covered == item_len:
+                break  # no token of the item is left to mark
             continue
         # cut back to the unmarked stretches that are still long enough
         i = 0

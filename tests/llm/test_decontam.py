@@ -42,6 +42,21 @@ def test_tiling_matches_brute_force():
         assert abs(covered - want) <= least
 
 
+def test_seeds_in_stretches_give_the_same(monkeypatch):
+    rng = random.Random(8)
+    items = [(1, "a " * 30), (2, "a b a b a b a b c d e f g"), (3, prose(rng, 25))]
+    docs = [("a " * 200).split(), ("a b " * 60 + "c d e f g").split(), prose(rng, 50).split()]
+    block = decontam.Block.build(items, 5)
+    ids = [block.encode([t.encode() for t in d]) for d in docs + [sum(docs, []) + tokens for tokens in docs]]
+    whole = [block.matches(i) for i in ids]
+    assert any(whole)
+    for size in (1, 7, 100):
+        monkeypatch.setattr(decontam, "SEED_BLOCK", size)
+        for i, want in zip(ids, whole):
+            got = block.matches(i)
+            assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
 def cases(rng):
     item = prose(rng, 40).split()
     other = prose(rng, 30).split()
