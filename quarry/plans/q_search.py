@@ -64,6 +64,22 @@ def upsert_documents(spark, sf_dir):
     return new.select("id", "version", "category")
 
 
+@register("upsert_counts", sql="""
+WITH upd AS (SELECT 'page-' || CAST(page_id AS VARCHAR) AS id FROM pages
+             UNION ALL SELECT CAST(d.doc_id AS VARCHAR) FROM documents d WHERE d.doc_id IN (SELECT vec_id FROM embeddings)
+             UNION ALL SELECT CASE WHEN c_acctbal >= 0 THEN 'customer-' || CAST(c_custkey AS VARCHAR) END FROM customer)
+SELECT count(DISTINCT id) AS succeeded, count(*) FILTER (id IS NULL) AS failed FROM upd
+""")
+def upsert_counts(spark, sf_dir):
+    """S3 counts: the update batch with customers beside it, of whom those in
+    debt have no id and fail."""
+    owners = S.conform(table(spark, sf_dir, "customer").select(
+        F.when(F.col("c_acctbal") >= 0, F.concat(F.lit("customer-"), F.col("c_custkey").cast("string"))).alias("id"),
+        F.col("c_name").alias("content"), F.lit("crm").alias("source"), F.lit(1).alias("version")), DIMS)
+    _, counts = S.upsert(search_docs(spark, sf_dir), _updates(spark, sf_dir).unionByName(owners))
+    return counts
+
+
 @register("delete_documents", sql="""
 WITH ids AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id FROM labels WHERE toxic = 1),
 t AS (SELECT CAST(doc_id AS VARCHAR) AS id FROM documents)

@@ -102,8 +102,10 @@ def stream_deltas(spark, sf_dir):
     d = d.withColumn("is_final", F.lit(False))
     fin = conv.select(rid, F.size(pieces).alias("seq"), F.lit(None).cast("string").alias("delta"),
                       F.lit(True).alias("is_final")).filter("seq > 0")
-    src = J.file_stream(spark, write_shared(d.unionByName(fin), "deltas"))
-    out = J.run_available(J.assemble_stream(src), "deltas")
+    # event time: the conversations stand a minute apart
+    at = F.timestamp_seconds(F.lit(1704067200) + F.substring_index("request_id", ":", 1).cast("bigint") * 60).alias("ts")
+    src = J.file_stream(spark, write_shared(d.unionByName(fin).select("*", at), "deltas"))
+    out = J.run_available(J.assemble_stream(src, timeout="1 hour"), "deltas")
     return out.select("request_id", F.md5("content").alias("content_md5"), "n_deltas")
 
 
@@ -111,8 +113,8 @@ def stream_deltas(spark, sf_dir):
 def stream_upsert(spark, sf_dir):
     """T4: the S3 update batch arriving as a stream, merged by foreachBatch."""
     src = J.file_stream(spark, write_shared(QR._updates(spark, sf_dir), "updates"))
-    root = J.upsert_stream(src, QR.search_docs(spark, sf_dir))
-    return spark.read.parquet(J.current_version(spark, root)).select("id", "version", "category")
+    path = J.upsert_stream(src, QR.search_docs(spark, sf_dir), n_buckets=16)
+    return spark.read.parquet(path).select("id", "version", "category")
 
 
 _EVAL_TS_SQL = f"""

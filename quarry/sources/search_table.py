@@ -68,11 +68,18 @@ def latest_per_id(updates: DataFrame) -> DataFrame:
 
 def upsert(base: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """S3: returns (new table, counts). Valid update rows replace base rows
-    with the same id (anti join + union); invalid rows are counted as
-    failed and never written. counts = (succeeded, failed) over the batch,
-    after collapsing duplicate ids."""
+    with the same id (anti join + union) unless the base row has a higher
+    version (an older version that arrives later changes nothing; a NULL
+    version always replaces); invalid rows are counted as failed and never
+    written. counts = (succeeded, failed) over the batch, after collapsing
+    duplicate ids."""
     good = latest_per_id(updates.filter("valid"))
-    new = base.join(good.select("id"), "id", "left_anti").unionByName(good)
+    fresh = good
+    if "version" in base.columns and "version" in good.columns:
+        newer = base.select("id", F.col("version").alias("__v")).join(good.select("id", "version"), "id") \
+            .filter(F.col("__v") > F.col("version")).select("id")
+        fresh = good.join(newer, "id", "left_anti")
+    new = base.join(fresh.select("id"), "id", "left_anti").unionByName(fresh)
     counts = updates.agg(F.sum(F.col("valid").cast("long")).alias("attempted_valid"),
                          F.sum((~F.col("valid")).cast("long")).alias("failed"))
     counts = counts.crossJoin(good.agg(F.count(F.lit(1)).alias("succeeded")))

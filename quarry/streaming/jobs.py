@@ -11,12 +11,12 @@ available (Trigger.AvailableNow) and returns the sink as a batch frame.
 
 from __future__ import annotations
 
-import json
 import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quarry.functions import text as T
 from quarry.operators import inference as M
@@ -24,6 +24,10 @@ from quarry.operators import safety as S
 from quarry.session import checkpoint_dir
 from quarry.sources import search_table as ST
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Hash buckets of a continuously upserted table.
+UPSERT_BUCKETS = 256
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/quarry/stream-{name}-{uuid.uuid4().hex}"
@@ -90,6 +94,63 @@ def usage_windows(usage: DataFrame, kind: str = "tumbling", delay: str = "1 hour
     raise ValueError(kind)
 
 
+class DeltaAssembly(StatefulProcessor):
+    """State of one request: the list of its deltas, appended to by every
+    micro-batch and read when the request can be complete, and (deltas listed,
+    latest event time, number of deltas that the final marker names)."""
+
+    def __init__(self, key: str, ts_col: str, timeout_ms: int | None):
+        self.key, self.ts_col, self.timeout_ms = key, ts_col, timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.deltas = handle.getListState("deltas", "seq long, delta string")
+        self.facts = handle.getValueState("facts", "n long, last_ms long, total long")
+
+    def finish(self, key, parts: dict[int, str], abandoned: bool) -> pd.DataFrame:
+        self.deltas.clear()
+        self.facts.clear()
+        texts = [t for _, t in sorted(parts.items()) if t]
+        return pd.DataFrame({self.key: [key[0]], "content": ["".join(texts)], "n_deltas": [len(texts)],
+                             "abandoned": [abandoned]})
+
+    def handleInputRows(self, key, rows, timerValues):
+        n, last, total = self.facts.get() if self.facts.exists() else (0, None, None)
+        before, new = last, {}
+        for pdf in rows:
+            final = pdf["is_final"].astype(bool)
+            if final.any():
+                total = int(pdf.loc[final, "seq"].iloc[-1])
+            body = pdf.loc[~final]
+            new.update((int(s), t if isinstance(t, str) else "") for s, t in zip(body["seq"], body["delta"]))
+            if self.timeout_ms is not None:
+                late = int(pdf[self.ts_col].max().timestamp() * 1000)
+                last = late if last is None else max(last, late)
+        n += len(new)
+        if total is not None and n >= total:
+            parts = {s: t for s, t in self.deltas.get()} | new
+            if len(parts) >= total:
+                if before is not None:
+                    self.handle.deleteTimer(before + self.timeout_ms)
+                yield self.finish(key, parts, False)
+                return
+            self.deltas.put(list(parts.items()))  # some came twice
+            n = len(parts)
+        elif new:
+            self.deltas.appendList(list(new.items()))
+        self.facts.update((n, last, total))
+        if last is not None and last != before:
+            if before is not None:
+                self.handle.deleteTimer(before + self.timeout_ms)
+            self.handle.registerTimer(last + self.timeout_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield self.finish(key, {s: t for s, t in self.deltas.get()}, True)
+
+    def close(self) -> None:
+        pass
+
+
 def assemble_stream(deltas: DataFrame, key: str = "request_id", timeout: str | None = None,
                     ts_col: str = "ts") -> DataFrame:
     """Per-request state holding the deltas seen so far. A row with
@@ -97,92 +158,61 @@ def assemble_stream(deltas: DataFrame, key: str = "request_id", timeout: str | N
     (seq 0 to that number - 1); the request is complete when all of them are
     in, whatever the order in which they and the marker arrive. Its content
     (in seq order, NULL/empty deltas skipped, repeated seqs once) is emitted
-    and its state cleared.
+    and its state cleared. A micro-batch appends its deltas to a list state;
+    earlier ones are not read again until the request can be complete.
 
     With ``timeout`` (e.g. "10 minutes") the stream needs an event-time
     column ``ts_col``: a watermark of that delay is set and each request
     gets an event-time timer at its latest delta + timeout; a request whose
-    final marker has not arrived when the watermark passes the timer is
+    deltas have not all arrived when the watermark passes the timer is
     emitted with what it has and ``abandoned`` = true, and its state is
     dropped. Without a timeout, unfinished requests wait in state.
-    """
-    from pyspark.sql.streaming.state import GroupStateTimeout
 
+    List state needs the RocksDB state store, which is set for the session.
+    """
+    deltas.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     out_schema = f"{key} {deltas.schema[key].dataType.simpleString()}, content string, n_deltas long, abandoned boolean"
-    state_schema = "parts string, last_ms long, total long"
     timeout_ms = None
     if timeout:
         amount, unit = timeout.split()
         per = {"second": 1000, "minute": 60_000, "hour": 3_600_000}[unit.rstrip("s")]
         timeout_ms = int(amount) * per
         deltas = deltas.withColumn(ts_col, F.col(ts_col).cast("timestamp")).withWatermark(ts_col, timeout)
-
-    def emit(k, parts, abandoned):
-        texts = [t for _, t in sorted(parts.items()) if t]
-        return pd.DataFrame({key: [k[0]], "content": ["".join(texts)],
-                             "n_deltas": [len(texts)], "abandoned": [abandoned]})
-
-    def load(state):
-        return {int(s): t for s, t in json.loads(state.get[0]).items()}, state.get[1], state.get[2]
-
-    def fn(k, pdfs, state):
-        if state.hasTimedOut:
-            parts = load(state)[0]
-            state.remove()
-            yield emit(k, parts, True)
-            return
-        parts, last, total = load(state) if state.exists else ({}, None, None)
-        for pdf in pdfs:
-            for row in pdf.itertuples(index=False):
-                if timeout_ms is not None:
-                    t = int(pd.Timestamp(getattr(row, ts_col)).value // 1_000_000)
-                    last = t if last is None else max(last, t)
-                if row.is_final:
-                    total = int(row.seq)
-                else:
-                    parts[int(row.seq)] = "" if row.delta is None else row.delta
-        if total is not None and len(parts) >= total:
-            state.remove()
-            yield emit(k, parts, False)
-        else:
-            state.update((json.dumps(parts), last, total))
-            if timeout_ms is not None and last is not None:
-                state.setTimeoutTimestamp(last + timeout_ms)
-
-    mode = GroupStateTimeout.EventTimeTimeout if timeout_ms is not None else GroupStateTimeout.NoTimeout
-    return deltas.groupBy(key).applyInPandasWithState(fn, out_schema, state_schema, "append", mode)
-
-
-def upsert_stream(updates: DataFrame, base: DataFrame, name: str = "search") -> str:
-    """T4: continuous upsert. Each micro-batch merges into the current table
-    version and writes version ``v<batch_id>``; only then is the batch id
-    appended to a commit log (a parquet table). A batch already in the log
-    is skipped, so a replayed batch id is idempotent, and a version whose
-    commit never reached the log is simply rewritten. Returns the folder."""
+    return deltas.groupBy(key).transformWithStateInPandas(
+        DeltaAssembly(key, ts_col, timeout_ms), outputStructType=out_schema, outputMode="Append",
+        timeMode="None" if timeout_ms is None else "EventTime")
+
+
+def upsert_stream(updates: DataFrame, base: DataFrame, name: str = "search", n_buckets: int = UPSERT_BUCKETS) -> str:
+    """T4: continuous upsert into a table partitioned by a hash bucket of the
+    id. A micro-batch reads and overwrites only the buckets that its valid
+    rows fall into (dynamic partition overwrite). Merging a batch again
+    changes nothing, since the higher version wins, so a replayed batch is
+    idempotent. Overwritten buckets are swapped in when the write commits,
+    one after the other: readers may see some buckets before others. Returns
+    the table's path."""
     spark = updates.sparkSession
     root = scratch(spark, name)
-    base.write.mode("overwrite").parquet(f"{root}/table/v-1")
-    spark.createDataFrame([(-1,)], "batch_id long").write.mode("append").parquet(f"{root}/log")
+    path = f"{root}/table"
+    in_bucket = F.pmod(F.xxhash64("id"), F.lit(n_buckets)).cast("int")
+    dealt = base.withColumn("bucket", in_bucket)
+    dealt.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
+    schema = dealt.schema
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        log = spark.read.parquet(f"{root}/log")
-        if log.filter(F.col("batch_id") == batch_id).limit(1).count():
-            return  # already committed
-        cur = spark.read.parquet(current_version(spark, root))
-        new, _ = ST.upsert(cur, batch)
-        new.write.mode("overwrite").parquet(f"{root}/table/v{batch_id}")
-        spark.createDataFrame([(batch_id,)], "batch_id long").write.mode("append").parquet(f"{root}/log")
+        batch = batch.withColumn("bucket", in_bucket)
+        touched = [r["bucket"] for r in batch.filter("valid").select("bucket").distinct().collect()]  # <= n_buckets
+        if not touched:
+            return
+        current = spark.read.schema(schema).parquet(path).filter(F.col("bucket").isin(touched))
+        new, _ = ST.upsert(current, batch)
+        new.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+            .partitionBy("bucket").parquet(path)
 
     q = (updates.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/chk")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return root
-
-
-def current_version(spark: SparkSession, root: str) -> str:
-    """Path of the newest committed version (highest batch id in the log)."""
-    last = spark.read.parquet(f"{root}/log").agg(F.max("batch_id")).first()[0]
-    return f"{root}/table/v{last}"
+    return path
 
 
 def pass_rate_windows(results: DataFrame, delay: str = "1 hour", size: str = "1 hour") -> DataFrame:

@@ -44,3 +44,11 @@ def test_schema_roles():
     sch = S.index_schema(64)
     assert sch["id"].metadata["key"] and sch["content_vector"].metadata["dimensions"] == 64
     assert sch["source"].metadata["facetable"]
+
+
+def test_older_version_that_arrives_later_changes_nothing(spark):
+    base = _rows(spark, [("1", "v5", None, 5), ("2", "v1", None, 1), ("3", "v2", None, 2)])
+    upd = _rows(spark, [("1", "v3", None, 3), ("2", "v2", None, 2), ("3", "unversioned", None, None)])
+    new, counts = S.upsert(base, upd)
+    assert {r.id: r.content for r in new.collect()} == {"1": "v5", "2": "v2", "3": "unversioned"}
+    assert counts.first().succeeded == 3

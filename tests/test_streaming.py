@@ -50,3 +50,38 @@ def test_late_usage_rows_are_dropped(spark, tmp_path):
     out = J.run_available(J.usage_windows(src, "tumbling"), "late")
     rows = [(r.start.hour, r.calls) for r in out.select(F.col("w.start").alias("start"), "calls").collect()]
     assert [c for h, c in rows if h == 9] == [1]
+
+
+def test_upsert_stream_touches_only_its_buckets(spark):
+    """Three micro-batches: a new version, an older one that arrives later, a
+    batch sent again; buckets without updates keep their files."""
+    import os
+
+    from quarry.plans import sizing
+    from quarry.sources import search_table as S
+    cols = "id string, content string, content_vector array<float>, version int"
+    conform = lambda rows: S.conform(spark.createDataFrame(rows, cols), 3)
+    base = conform([(str(i), "old", None, 1) for i in range(200)])
+    feed = sizing.shared_path(spark, "feed")
+    batches = [[("7", "v5", None, 5), ("new", "n", None, 1), (None, "no id", None, 9)], [("7", "v3", None, 3)],
+               [("7", "v5", None, 5)]]
+    for rows in batches:
+        conform(rows).coalesce(1).write.mode("append").parquet(feed)
+    path = J.upsert_stream(J.file_stream(spark, feed, max_files_per_trigger=1), base, n_buckets=32)
+    got = {r.id: r.content for r in spark.read.parquet(path).collect()}
+    assert got == {**{str(i): "old" for i in range(200)}, "7": "v5", "new": "n"}
+    names = {d: set(os.listdir(f"{path}/{d}")) for d in os.listdir(path) if d.startswith("bucket=")}
+    first = min(os.path.getmtime(f"{path}/{d}/{f}") for d in names for f in names[d])
+    touched = [d for d in names if any(os.path.getmtime(f"{path}/{d}/{f}") > first + 1 for f in names[d] if f.endswith(".parquet"))]
+    assert len(names) > 20 and len(touched) <= 2
+
+
+def test_repeated_deltas_do_not_complete_a_request(spark):
+    from quarry.plans import sizing
+    path = sizing.shared_path(spark, "repeats")
+    schema = "request_id string, seq int, delta string, is_final boolean"
+    for rows in ([("r", 0, "a", False), ("r", 3, None, True)], [("r", 0, "a", False), ("r", 1, None, False)],
+                 [("r", 0, "a", False)], [("r", 2, "z", False), ("s", 1, None, True), ("s", 0, "", False)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    out = J.run_available(J.assemble_stream(J.file_stream(spark, path, max_files_per_trigger=1)), "repeats")
+    assert sorted((r.request_id, r.content, r.n_deltas) for r in out.collect()) == [("r", "az", 2), ("s", "", 0)]
