@@ -152,8 +152,9 @@ def _key_array(keys: list) -> np.ndarray:
 
 def _bm25_block_scorer(q_ids, term_index, inc, k: int):
     """Per partition (rows hash-partitioned and sorted by doc): dense
-    doc-block x query scores = sum of w * incidence[term], then a local
-    top-k per query that keeps every row tied with the k-th (to 1e-6).
+    doc-block x query scores = sum of w * incidence[term], rounded as the
+    result is, then a local top-k per query in the final order (score, then
+    id): k rows, however many documents tie.
 
     Arrow batches are streamed: the rows of the last document of a batch
     (which may continue in the next one) are carried over, so memory holds
@@ -183,11 +184,13 @@ def _bm25_block_scorer(q_ids, term_index, inc, k: int):
                 np.add.at(scores, d_idx[lo:hi] - base, wv[lo:hi, None] * inc[t_idx[lo:hi]])
             out_q, out_d, out_s = [], [], []
             for j in range(nq):
-                col = scores[:, j]
-                nz = np.nonzero(col > 0)[0]
+                nz = np.nonzero(scores[:, j] > 0)[0]
+                col = np.round(scores[:, j], SCORE_DIGITS)
                 if len(nz) > k:
+                    # documents stand in order of their ids: ties go to the first
                     kth = np.partition(col[nz], len(nz) - k)[len(nz) - k]
-                    nz = nz[col[nz] >= kth - 1e-6]
+                    above = nz[col[nz] > kth]
+                    nz = np.concatenate((above, nz[col[nz] == kth][:k - len(above)]))
                 out_q.append(np.full(len(nz), q_ids[j], dtype=q_ids.dtype))
                 out_d.append(docs[base + nz])
                 out_s.append(col[nz])
@@ -332,48 +335,61 @@ QUERY_BLOCK_BYTES = 64 * 1024 * 1024
 SIM_BLOCK_CELLS = 16_000_000
 
 
+def _best(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best rows of each query in the final order (score, then id)."""
+    ranked = found.sort_values(["q", "raw", "doc_id"], ascending=[True, False, True], na_position="first")
+    return ranked.groupby("q", sort=False).head(k)
+
+
 def _block_scorer(q_ids: np.ndarray, q_mat: np.ndarray, k: int):
-    """Per-batch scorer: cosine of every vector against the query block, then
-    a local top-k per query that keeps every row tied with the k-th (to
-    1e-6), so the final exact ranking in Spark never loses a tie. Batches
-    are cut into row chunks so a similarity block stays under
+    """Per-task scorer: cosine (rounded as the result is) of every vector
+    against the query block, and one running top-k per query over all batches
+    of the task. Ranking is the final one, by score and then id, so a task
+    holds and hands on k rows a query, however many vectors tie. Batches are
+    cut into row chunks so a similarity block stays under
     ``SIM_BLOCK_CELLS`` cells."""
-    bq = q_mat
-    step = max(1, SIM_BLOCK_CELLS // max(1, bq.shape[0]))
+    step = max(1, SIM_BLOCK_CELLS // max(1, q_mat.shape[0]))
 
     def chunk_top(m, ids, nrm):
-        sims = (m @ bq.T) / nrm[:, None]  # query rows are unit length
-        out_q, out_d, out_s = [], [], []
-        for j in range(sims.shape[1]):
-            col = sims[:, j]
-            if len(col) > k:
-                kth = np.partition(col, len(col) - k)[len(col) - k]
-                sel = np.nonzero(col >= kth - 1e-6)[0]
-            else:
-                sel = np.arange(len(col))
-            out_q.append(np.full(len(sel), q_ids[j], dtype=q_ids.dtype))
-            out_d.append(ids[sel])
-            out_s.append(col[sel])
-        return pd.DataFrame({"query_id": np.concatenate(out_q), "doc_id": np.concatenate(out_d),
-                             "raw": np.concatenate(out_s)})
+        order = pd.Series(ids).sort_values(na_position="first").index.to_numpy()
+        m, ids, nrm = m[order], ids[order], nrm[order]
+        sims = np.round((m @ q_mat.T) / nrm[:, None], SCORE_DIGITS)  # query rows are unit length
+        if len(ids) > k:
+            kth = np.partition(sims, len(ids) - k, axis=0)[len(ids) - k]
+            ties = sims == kth
+            # rows stand in order of their ids: of those that tie, k are enough
+            picked = (sims > kth) | (ties & (np.cumsum(ties, axis=0, dtype=np.int32) <= k))
+        else:
+            picked = np.ones(sims.shape, dtype=bool)
+        row, q = np.nonzero(picked)
+        return pd.DataFrame({"q": q, "doc_id": ids[row], "raw": sims[row, q]})
 
     def score(batches):
+        held, size = [], 0
         for pdf in batches:
             if pdf.empty:
                 continue
             vecs = pdf["embedding"].tolist()
             dims = np.fromiter((len(v) if v is not None else -1 for v in vecs), dtype=np.int64,
                                count=len(vecs))
-            ok = dims == bq.shape[1]
+            ok = dims == q_mat.shape[1]
             if not ok.any():
                 continue
             m = np.stack([np.asarray(v, dtype=np.float64) for v, g in zip(vecs, ok) if g])
             ids = pdf["doc_id"].to_numpy()[ok]
             nrm = np.linalg.norm(m, axis=1)
-            good = nrm > 0
+            good = (nrm > 0) & np.isfinite(nrm)
             m, ids, nrm = m[good], ids[good], nrm[good]
             for lo in range(0, len(ids), step):
-                yield chunk_top(m[lo:lo + step], ids[lo:lo + step], nrm[lo:lo + step])
+                held.append(chunk_top(m[lo:lo + step], ids[lo:lo + step], nrm[lo:lo + step]))
+                size += len(held[-1])
+                if len(held) > 1 and size > 4 * k * len(q_ids):
+                    held = [_best(pd.concat(held, ignore_index=True), k)]
+                    size = len(held[0])
+        if held:
+            best = _best(pd.concat(held, ignore_index=True), k)
+            yield pd.DataFrame({"query_id": q_ids[best["q"].to_numpy()], "doc_id": best["doc_id"].to_numpy(),
+                                "raw": best["raw"].to_numpy()})
 
     return score
 
@@ -384,8 +400,9 @@ def vector_candidates(queries: DataFrame, vectors: DataFrame, k: int,
 
     The query set is split into blocks whose matrix fits ``block_bytes``;
     each block is collected (bounded), broadcast and scored against the
-    vector table with one BLAS matrix product per Arrow batch. The vector
-    table is scanned once per block and never shuffled before the top-k.
+    vector table with one BLAS matrix product per Arrow batch. A task keeps
+    one running top-k per query over all its batches. The vector table is
+    scanned once per block and never shuffled before the top-k.
     """
     spark = queries.sparkSession
     qv = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())

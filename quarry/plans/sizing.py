@@ -57,11 +57,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def shared_path(spark, name: str) -> str:
-    """A fresh folder name under the session's shared checkpoint folder."""
+    """A fresh folder name under the application's part of the shared
+    checkpoint folder."""
     import uuid
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
+
+def scratch_root(spark) -> str:
+    """Where this application's intermediate tables stand."""
     from quarry.session import checkpoint_dir
-    return f"{checkpoint_dir(spark).rstrip('/')}/quarry/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark).rstrip('/')}/quarry/{spark.sparkContext.applicationId}"
+
+
+def clean_scratch(spark) -> bool:
+    """Delete the application's intermediate tables. For the end of a job:
+    results are lazy and read these tables until they are written elsewhere.
+    Streams and their checkpoints stand apart and stay."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def write_shared(df: DataFrame, name: str) -> str:

@@ -19,17 +19,29 @@ from quarry.functions import text as T
 from quarry.operators import retrieval as R
 from quarry.plans.sizing import BROADCAST_MAX_ROWS, bounded_count, fixed_broadcast
 
-N_BUCKETS = 64
+#: Term buckets at least, and text bytes from which there is one more.
+MIN_BUCKETS = 64
+BUCKET_BYTES = 1 << 30
 
 
 def _bucket(col, n: int):
     return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
 
 
-def build_index(docs: DataFrame, path: str, n_buckets: int = N_BUCKETS, text_col: str = "text") -> str:
+def buckets_for(docs: DataFrame, text_col: str = "text") -> int:
+    """Term buckets for a corpus: one for every ``BUCKET_BYTES`` of text, so a
+    bucket's size does not grow with the corpus."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
+    return max(MIN_BUCKETS, -(-size // BUCKET_BYTES))
+
+
+def build_index(docs: DataFrame, path: str, n_buckets: int | None = None, text_col: str = "text") -> str:
     """Tokenise once, aggregate (doc, term) counts map-side, write postings
-    by term bucket, then derive df and corpus statistics from the written
-    postings (one row per document with term NULL carries its length)."""
+    by term bucket (``n_buckets`` of them, by default sized from the corpus; a
+    bucket with a frequent term is split over files), then derive df and corpus
+    statistics from the written postings (one row per document with term NULL
+    carries its length)."""
+    n_buckets = n_buckets or buckets_for(docs, text_col)
     staged = docs.select("doc_id", F.coalesce(T.words(text_col), F.array().cast("array<string>")).alias("__t"))
     staged = staged.select("doc_id", F.size("__t").alias("dl"),
                            F.concat("__t", F.array(F.lit(None).cast("string"))).alias("__t"))
@@ -37,7 +49,7 @@ def build_index(docs: DataFrame, path: str, n_buckets: int = N_BUCKETS, text_col
     agg = occ.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     agg = agg.withColumn("bucket", F.when(F.col("term").isNotNull(), _bucket(F.col("term"), n_buckets))
                          .otherwise(F.lit(-1)))
-    agg.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    agg.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     spark = docs.sparkSession
     post = spark.read.parquet(f"{path}/postings")
     (post.filter(F.col("bucket") >= 0).groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))

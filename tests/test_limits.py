@@ -145,3 +145,46 @@ def test_shared_folder_rule():
 
     with pytest.raises(RuntimeError):
         session.checkpoint_dir(Session())
+
+
+def test_vector_candidates_are_k_rows_a_task_despite_ties(spark, monkeypatch):
+    import numpy as np
+
+    from quarry.operators import retrieval as R
+    rng = np.random.default_rng(3)
+    rows = [(f"d{i:04d}", [1.0, 0.0, 0.0] if i % 3 else rng.normal(size=3).tolist()) for i in range(900)]
+    rows += [("bad", [float("nan"), 0.0, 0.0]), ("zero", [0.0, 0.0, 0.0]), ("short", [1.0]), ("none", None)]
+    vec = spark.createDataFrame(rows, "doc_id string, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([(1, [2.0, 0.0, 0.0]), (2, [0.3, 1.0, -0.5])], "query_id long, embedding array<double>")
+    monkeypatch.setattr(R, "SIM_BLOCK_CELLS", 40)  # set before the scorer is built: many chunks a batch
+    cand = R.vector_candidates(q, vec, 5)
+    assert cand.count() <= 3 * 2 * 5
+    want = []
+    for qid, qv in ((1, [2.0, 0.0, 0.0]), (2, [0.3, 1.0, -0.5])):
+        qv = np.array(qv) / np.linalg.norm(qv)
+        sims = [(-round(float(np.dot(v, qv) / np.linalg.norm(v)), 6), d) for d, v in rows[:900]]
+        want += [(qid, d, rank + 1) for rank, (_, d) in enumerate(sorted(sims)[:5])]
+    got = [(r.query_id, r.doc_id, r["rank"]) for r in R.vector_search(q, vec, k=5).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_clean_scratch_deletes_own_tables_only(spark, tmp_path):
+    import os
+    old = spark.sparkContext.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    try:
+        path = sizing.write_shared(spark.range(3), "x").removeprefix("file:")
+        other = os.path.join(os.path.dirname(os.path.dirname(path)), "other-app")
+        os.makedirs(other)
+        assert os.path.isdir(path) and sizing.clean_scratch(spark)
+        assert not os.path.exists(path) and os.path.isdir(other)
+    finally:
+        spark.sparkContext.setCheckpointDir(os.path.dirname(old))
+
+
+def test_index_buckets_follow_the_corpus(spark, monkeypatch):
+    from quarry.sources import search_index as SI
+    docs = spark.createDataFrame([(i, "alpha beta " * 20) for i in range(50)], "doc_id long, text string")
+    assert SI.buckets_for(docs) == SI.MIN_BUCKETS and SI.buckets_for(docs.limit(0)) == SI.MIN_BUCKETS
+    monkeypatch.setattr(SI, "BUCKET_BYTES", 100)
+    assert SI.buckets_for(docs) == 50 * 220 // 100
