@@ -41,19 +41,28 @@ def embed_corpus(docs: DataFrame, dims: int = 256, text_col: str = "text", key:
 PROBE_SHARE = 0.65
 
 
-def build_ivf(vectors: DataFrame, n_cells: int | None = None, seed: int = 42, max_iter: int = 20):
-    """Fit KMeans cells on unit vectors; returns (centroids as a list of
-    unit arrays, vectors with their cell). Centroids are model parameters,
-    bounded by n_cells x dims."""
+# Vectors that the cells are fitted on at most (about: a share chosen by a
+# hash of the id). Every vector is then assigned to its cell.
+MAX_FIT = 200_000
+
+
+def build_ivf(vectors: DataFrame, n_cells: int | None = None, seed: int = 42, max_iter: int = 20,
+              max_fit: int = MAX_FIT):
+    """Fit KMeans cells on unit vectors (on a sample of about ``max_fit``);
+    returns (centroids as a list of unit arrays, all vectors with their cell).
+    Centroids are model parameters, bounded by n_cells x dims."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
     unit = vectors.select("doc_id", "embedding", VX.l2_normalize("embedding").alias("u")) \
         .filter(F.col("u").isNotNull() & ~F.exists("u", lambda x: x.isNull()))
+    n = unit.count()
     if n_cells is None:
-        n = unit.count()
         n_cells = max(2, int(math.sqrt(max(n, 1))))
     feats = unit.select("doc_id", "embedding", array_to_vector("u").alias("features"))
-    model = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="features").fit(feats)
+    parts = 1 << 20
+    share = math.ceil(parts * max(max_fit, 50 * n_cells) / max(n, 1))
+    fit_on = feats if share >= parts else feats.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < share)
+    model = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="features").fit(fit_on)
     cents = []
     for c in model.clusterCenters():
         norm = float(math.sqrt(sum(float(x) * float(x) for x in c))) or 1.0
@@ -62,6 +71,23 @@ def build_ivf(vectors: DataFrame, n_cells: int | None = None, seed: int = 42, ma
     return cents, cells
 
 
+def save_ivf(index, path: str) -> str:
+    """Write a built index: centroids, and the vectors partitioned by cell
+    (large cells in several files), so that a search reads its cells only."""
+    cents, cells = index
+    spark = cells.sparkSession
+    spark.createDataFrame(list(enumerate(cents)), "cell int, centroid array<double>") \
+        .write.mode("overwrite").parquet(f"{path}/centroids")
+    cells.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
+    return path
+
+
+def load_ivf(spark, path: str):
+    """A saved index, for ``vector_search_ann(index=...)``."""
+    cents = [r["centroid"] for r in spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()]
+    return cents, spark.read.parquet(f"{path}/cells")
+
+
 def vector_search_ann(query_vecs: DataFrame, vectors: DataFrame, k: int = 10, nprobe: int | None = None,
                       n_cells: int | None = None, seed: int = 42, index=None) -> DataFrame:
     """R2: approximate cosine top-k per query via the IVF cells.

@@ -11,6 +11,7 @@ from quarry.operators import inference as M
 from quarry.operators import retrieval as R
 from quarry.operators import scorers as U
 from quarry.plans.catalog import register
+from quarry.plans.sizing import shared_path
 from quarry.sources.tables import corpus, doc_vectors, query_vectors, table
 
 
@@ -20,7 +21,9 @@ def _vectors(spark, sf_dir):
 
 @register("vector_search_ann")
 def vector_search_ann(spark, sf_dir):
-    return EM.vector_search_ann(query_vectors(spark, sf_dir), _vectors(spark, sf_dir), k=10)
+    """R2: build the index, store it by cell, search the stored one."""
+    path = EM.save_ivf(EM.build_ivf(_vectors(spark, sf_dir)), shared_path(spark, "ivf"))
+    return EM.vector_search_ann(query_vectors(spark, sf_dir), None, k=10, index=EM.load_ivf(spark, path))
 
 
 @register("ann_recall")

@@ -27,6 +27,15 @@ def test_ann_recall_full_probe_is_exact(spark, vecs):
     assert part.agg(F.avg("recall")).first()[0] > 0.2  # near-orthogonal vectors: cells separate poorly
 
 
+def test_saved_index_gives_the_same(spark, vecs, tmp_path):
+    qv, v = vecs
+    idx = EM.build_ivf(v, n_cells=6, max_fit=100)
+    kept = EM.load_ivf(spark, EM.save_ivf(idx, str(tmp_path / "ivf")))
+    assert kept[1].count() == v.count()
+    rows = lambda i: sorted(tuple(r) for r in EM.vector_search_ann(qv, None, k=5, nprobe=3, index=i).collect())
+    assert rows(kept) == rows(idx)
+
+
 def test_ann_recall_of_the_default_probes(spark):
     sf = "/root/testdata/sf0.1"
     v = doc_vectors(spark, sf).join(corpus(spark, sf).select("doc_id"), "doc_id", "left_semi")
