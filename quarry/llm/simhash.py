@@ -135,11 +135,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return fps.join(named, "fp").select("doc_id", "row_key", "fp", "root", "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, seed: int = SEED) -> DataFrame:
     """The rows of ``df`` that stay: of each component the one row with the
-    smallest id (null ids last, ties by row key; equal rows collapse)."""
-    dup = near_duplicates(df, id_col, text_col, **how)
-    first = dup.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key")).alias("f"))
+    smallest id (null ids last, ties by row key; equal rows collapse).
+
+    The first row of each fingerprint is found by a map-side combined minimum,
+    so copies never meet in one task; components join the first rows only."""
+    fps = materialize(fingerprints(df, id_col, text_col, words, seed), "simhash")
+    comp = common.components(near_links(fps, max_bits))
+    first = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key")).alias("f")) \
+        .join(comp, F.col("fp") == F.col("node"), "left") \
+        .groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("f").alias("f"))
     key = common.fresh(df, "row_key")
     kept = materialize(first.select(F.col("f.row_key").alias(key)), "kept")
     # the semi join has dealt the rows by key already, so collapsing equal rows moves nothing
