@@ -7,7 +7,8 @@ some template, and the state that names the run. Runs that cannot be extended
 to the right and are long enough become matches (file span, template span);
 matches of a template that keep their order in file and template are chained,
 and the chain with the most covered template tokens gives the template's
-coverage in the file.
+coverage in the file. Every place with a chain over the threshold that meets
+no better covered one is a notice; the notices give spans and labels.
 
 Tokens outside the templates' vocabulary reset the automaton, so only runs of
 vocabulary tokens are streamed; that is exact and skips ordinary prose.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -233,37 +235,93 @@ class Scanner:
                 here = after
         return sorted(places), matches, self.chain(matches, max_gap)
 
+    def chains_to(self, name: int, ms: list, max_gap: int, repeats: bool = True) -> list[tuple[int, int, int]]:
+        """Best chain of one template up to each of its matches: (covered
+        tokens, file start, file end), of equals the one that starts last.
+        Without ``repeats`` no match follows if more than half of it stands for
+        template tokens that the chain has covered at an earlier place."""
+        ms = sorted(ms, key=lambda m: (m[1], m[2]))
+        total, first = [], []
+        low = 0
+        for j, (_, a, t, n) in enumerate(ms):
+            score, start = n, a
+            # matches that end too far back cannot be followed by later ones either
+            while low < j and ms[low][1] + ms[low][3] + max_gap + self.sizes[name] < a:
+                low += 1
+            for i in range(low, j):
+                _, a0, t0, n0 = ms[i]
+                twice = max(0, a0 + n0 - a)
+                lap = max(twice, t0 + n0 - t)  # overlap counts once
+                if a0 < a and t0 < t and lap < n and a - (a0 + n0) <= max_gap and (repeats or 2 * (lap - twice) <= n):
+                    score, start = max((score, start), (total[i] + n - lap, first[i]))
+            total.append(score)
+            first.append(start)
+        return [(c, f, m[1] + m[3]) for c, f, m in zip(total, first, ms)]
+
     def chain(self, matches, max_gap: int) -> dict[int, tuple[int, int, int]]:
         """Best chain of each template: (covered tokens, file start, file end)."""
-        best: dict[int, tuple[int, int, int]] = {}
         by_name: dict[int, list] = {}
         for m in matches:
             by_name.setdefault(m[0], []).append(m)
-        for name, ms in by_name.items():
-            ms.sort(key=lambda m: (m[1], m[2]))
-            total, first = [], []
-            low = 0
-            for j, (_, a, t, n) in enumerate(ms):
-                score, start = n, a
-                # matches that end too far back cannot be followed by later ones either
-                while low < j and ms[low][1] + ms[low][3] + max_gap + self.sizes[name] < a:
-                    low += 1
-                for i in range(low, j):
-                    _, a0, t0, n0 = ms[i]
-                    lap = max(0, a0 + n0 - a, t0 + n0 - t)  # overlap counts once
-                    if a0 < a and t0 < t and lap < n and a - (a0 + n0) <= max_gap and total[i] + n - lap > score:
-                        score, start = total[i] + n - lap, first[i]
-                total.append(score)
-                first.append(start)
-                if score > best.get(name, (0, 0, 0))[0]:
-                    best[name] = (score, start, a + n)
-        return best
-
-
-def strongest(hits: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
-    """Without the hits whose span meets that of a better covered template:
-    notices that differ in a version number only would label each other."""
-    return sorted(h for h in hits if not any(o[3] > h[3] and o[1] < h[2] and h[1] < o[2] for o in hits))
+        return {name: max(self.chains_to(name, ms, max_gap), key=lambda c: c[0]) for name, ms in by_name.items()}
+
+    def notices(self, matches, n_toks: int, min_coverage: float, min_match: int = MIN_MATCH,
+                max_gap: int = MAX_GAP) -> list[tuple[str, int, int, float]]:
+        """All places of the templates: (label, file start, file end, coverage).
+
+        Of chains over ``min_coverage`` that meet, the better covered one
+        stays (notices that differ in a version number only would label each
+        other); equals of different templates all stay. What the places that
+        stay leave free is chained again, until no chain is left. Chains that
+        may take a repeated notice for one come last."""
+        out = []
+        gone = np.zeros(n_toks, dtype=bool)
+        for repeats in (False, True):
+            while found := self._best_apart(self._free(matches, gone, min_match), n_toks, min_coverage, max_gap, repeats):
+                for _, _, a, e, _ in found:
+                    gone[a:e] = True
+                out += [(self.labels[name], a, e, s) for s, name, a, e, _ in found]
+        return sorted(out)
+
+    @staticmethod
+    def _free(matches, gone: np.ndarray, min_match: int) -> dict[tuple[int, int], list]:
+        """Parts of the matches outside the tokens that are gone, by template
+        and stretch between such tokens."""
+        before = np.cumsum(gone)
+        out: dict[tuple[int, int], list] = {}
+        for name, a, t, n in matches:
+            open_ = np.concatenate(([False], ~gone[a:a + n], [False]))
+            edge = np.flatnonzero(open_[1:] != open_[:-1]).tolist()
+            for i, j in zip(edge[::2], edge[1::2]):
+                if j - i >= min_match:
+                    out.setdefault((name, int(before[a + i])), []).append((name, a + i, t + i, j - i))
+        return out
+
+    def _best_apart(self, groups, n_toks: int, min_coverage: float, max_gap: int, repeats: bool):
+        """Chains (coverage, template, file start, file end, covered tokens)
+        that meet no better one. A chain that meets a better one holds its
+        tokens for the next round, where it is a shorter chain."""
+        hits = []
+        for (name, _), ms in groups.items():
+            size = self.sizes[name]
+            if sum(m[3] for m in ms) >= min_coverage * size:
+                hits += [(min(1.0, c / size), name, a, e, c) for c, a, e in self.chains_to(name, ms, max_gap, repeats)
+                         if c / size >= min_coverage]
+        taken = np.zeros(n_toks, dtype=bool)
+        own: dict[int, np.ndarray] = {}
+        out = []
+        hits.sort(key=lambda h: (-h[0], h[3] - h[2], h[2], h[1]))
+        for _, equals in groupby(hits, key=lambda h: h[0]):
+            equals = list(equals)
+            for h in equals:
+                _, name, a, e, _ = h
+                mine = own.setdefault(name, np.zeros(n_toks, dtype=bool))
+                if not taken[a:e].any() and not mine[a:e].any():
+                    out.append(h)
+                mine[a:e] = True
+            for _, _, a, e, _ in equals:
+                taken[a:e] = True
+        return out
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -271,7 +329,8 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """One row per input row: n_words, n_base, first_word, last_word,
     base_labels, labels, score (largest template coverage, 0 to 1) and spans
-    (label, first word, end word, coverage) of the templates that label it.
+    (label, first word, end word, coverage) of the notices that label it, one
+    for each place.
 
     Row-local: no shuffle; the automaton is built from the fixed templates and
     shipped with the task.
@@ -284,9 +343,9 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         out: dict = {k: [] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")}
         for text in common.text_bytes(b.column(1)):
             toks = tokens_of(text)
-            places, _, chains = scanner.scan(toks)
-            found = {k: (min(1.0, c / scanner.sizes[k]), a, e) for k, (c, a, e) in chains.items()}
-            hits = strongest([(scanner.labels[k], a, e, s) for k, (s, a, e) in found.items() if s >= min_coverage])
+            places, matches, chains = scanner.scan(toks)
+            score = max([0.0, *(min(1.0, c / scanner.sizes[k]) for k, (c, _, _) in chains.items())])
+            hits = scanner.notices(matches, len(toks), min_coverage) if score >= min_coverage else []
             base = {lab for _, lab in places}
             out["n_words"].append(len(toks))
             out["n_base"].append(len(places))
@@ -294,7 +353,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out["last_word"].append(places[-1][0] if places else None)
             out["base_labels"].append(",".join(sorted(base)))
             out["labels"].append(",".join(sorted(base | {h[0] for h in hits})))
-            out["score"].append(max([0.0, *(s for s, _, _ in found.values())]))
+            out["score"].append(score)
             out["spans"].append([{"label": lab, "first_word": a, "end_word": e, "coverage": s} for lab, a, e, s in hits])
         return {"doc_id": b.column(0)} | out
 

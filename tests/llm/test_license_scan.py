@@ -83,5 +83,34 @@ def test_matching_statistics_match_brute_force():
         assert set(matches) == want
 
 
+def notices(text):
+    sc = ls.Scanner.build(ls.BASE_PHRASES, ls.TEMPLATES)
+    toks = ls.tokens_of(text.encode())
+    return sc.notices(sc.scan(toks)[1], len(toks), ls.MIN_COVERAGE)
+
+
+def test_every_place_of_a_notice(spark):
+    gpl3, mit = ls.TEMPLATES["gpl-3"][0], ls.TEMPLATES["mit"][1]
+    gpl2 = "this software is licensed under the GNU General Public License, version 2"
+    rng = random.Random(3)
+    far = prose(rng, 50)
+    n = len(ls.tokens_of(mit.encode()))
+    data = [(1, f"{gpl3} {far} {gpl2}"), (2, f"{gpl3} {gpl2}"), (3, f"{gpl2} {gpl3} {gpl2}"),
+            (4, f"{mit} {mit} {far} {mit.replace('sublicense', 'gizmo')}"), (5, f"{far} {mit} {gpl3} {far} {gpl3}")]
+    got = {r["doc_id"]: r for r in ls.scan_licenses(frame(spark, data)).collect()}
+    spans = {k: sorted((s["first_word"], s["end_word"], s["label"]) for s in r["spans"]) for k, r in got.items()}
+    assert got[1]["labels"] == got[2]["labels"] == got[3]["labels"] == "gpl-2,gpl-3"
+    assert spans[1] == [(0, 12, "gpl-3"), (64, 74, "gpl-2")]
+    assert spans[2] == [(0, 12, "gpl-3"), (14, 24, "gpl-2")]
+    assert spans[3] == [(2, 12, "gpl-2"), (12, 24, "gpl-3"), (26, 36, "gpl-2")]
+    assert spans[4] == [(0, n, "mit"), (n, 2 * n, "mit"), (2 * n + 50, 3 * n + 50, "mit")]
+    assert got[5]["labels"] == "gpl-3,mit" and len(spans[5]) == 3
+
+
+def test_notice_that_stands_many_times():
+    got = notices("Released under the MIT License. " * 3000)
+    assert [h[1:3] for h in got] == [(5 * i, 5 * i + 5) for i in range(3000)]
+
+
 def test_empty(spark):
     assert ls.scan_licenses(empty(spark)).collect() == []
