@@ -271,7 +271,9 @@ class Scanner:
 
         Of chains over ``min_coverage`` that meet, the better covered one
         stays (notices that differ in a version number only would label each
-        other); equals of different templates all stay. What the places that
+        other), of equally covered ones that with more tokens (a notice with
+        one more word covers its shorter sibling over the gap); equals of
+        different templates all stay. What the places that
         stay leave free is chained again, until no chain is left. Chains that
         may take a repeated notice for one come last."""
         out = []
@@ -310,8 +312,8 @@ class Scanner:
         taken = np.zeros(n_toks, dtype=bool)
         own: dict[int, np.ndarray] = {}
         out = []
-        hits.sort(key=lambda h: (-h[0], h[3] - h[2], h[2], h[1]))
-        for _, equals in groupby(hits, key=lambda h: h[0]):
+        hits.sort(key=lambda h: (-h[0], -h[4], h[3] - h[2], h[2], h[1]))
+        for _, equals in groupby(hits, key=lambda h: (h[0], h[4])):
             equals = list(equals)
             for h in equals:
                 _, name, a, e, _ = h

@@ -107,6 +107,17 @@ def test_every_place_of_a_notice(spark):
     assert got[5]["labels"] == "gpl-3,mit" and len(spans[5]) == 3
 
 
+def test_sibling_notices_label_only_themselves():
+    for label, texts in ls.TEMPLATES.items():
+        for text in texts:
+            assert {h[0] for h in notices(text)} == {label}, text
+    nc, by = ls.TEMPLATES["cc-by-nc"][1], ls.TEMPLATES["cc-by"][1]
+    nd = nc.replace("NonCommercial", "NonCommercial-NoDerivatives")
+    assert notices(f"x {nc}") == [("cc-by-nc", 1, 15, 1.0)]
+    assert notices(f"{nc} {by}") == [("cc-by", 14, 27, 1.0), ("cc-by-nc", 0, 14, 1.0)]
+    assert {h[0] for h in notices(nd)} == {"cc-by-nc"}
+
+
 def test_notice_that_stands_many_times():
     got = notices("Released under the MIT License. " * 3000)
     assert [h[1:3] for h in got] == [(5 * i, 5 * i + 5) for i in range(3000)]
