@@ -22,7 +22,7 @@ side; they are built by merging Burrows-Wheeler transforms of shards:
    their common prefix in grams; neighbours that never part within min_len
    bytes form a repeated interval. No suffix is compared or sorted again
    across shards. All entries of a repeated interval but its earliest go.
-4. Spans are gathered by document and cut out.
+4. Spans are gathered by document (id and text) and cut out.
 
 Exact copies of a whole text are found by digest and skip steps 2 and 3.
 Anchors of hot passages (seen more than ``hot`` times) do not meet in one
@@ -229,9 +229,10 @@ def text_key(text: bytes) -> int:
 
 
 _INT = pa.int64()
-OCCURRENCES = pa.schema([("deal", _INT), ("anchor", _INT), ("kid", _INT)])
-SEGMENTS = pa.schema([("deal", _INT), ("kid", _INT), ("rid", _INT), ("start", _INT), ("n", pa.int32()), ("seg", pa.binary())])
-SPANS = pa.schema([("kid", _INT), ("rid", _INT), ("s", _INT), ("e", _INT)])
+OCCURRENCES = pa.schema([("deal", _INT), ("anchor", _INT), ("kid", _INT), ("tid", _INT)])
+SEGMENTS = pa.schema([("deal", _INT), ("kid", _INT), ("rid", _INT), ("start", _INT), ("n", pa.int32()), ("seg", pa.binary()),
+                      ("tid", _INT)])
+SPANS = pa.schema([("kid", _INT), ("tid", _INT), ("rid", _INT), ("s", _INT), ("e", _INT)])
 
 
 def ddl(schema: pa.Schema) -> str:
@@ -244,32 +245,34 @@ def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
 
 
 def anchor_rows(texts: DataFrame, min_len: int, crowded=None) -> DataFrame:
-    """(deal, anchor, kid): every anchor occurrence, dealt by anchor; those known
-    to be crowded are dealt by document and need no counting."""
+    """(deal, anchor, kid, tid): every anchor occurrence, dealt by anchor; those
+    known to be crowded are dealt by document and need no counting."""
 
     def run(batches):
         known = np.array(sorted(crowded.value), dtype=np.int64) if crowded is not None else np.zeros(0, np.int64)
         for b in batches:
-            deals, names, kids = [], [], []
-            for kid, text in zip(b.column(0).to_pylist(), common.text_bytes(b.column(1))):
+            deals, names, kids, tids = [], [], [], []
+            for kid, tid, text in zip(b.column("kid").to_pylist(), b.column("tid").to_pylist(),
+                                      common.text_bytes(b.column("text"))):
                 if len(text) < min_len:
                     continue
                 _, _, a = anchors(np.frombuffer(text, dtype=np.uint8), min_len)
                 deal = a
                 if len(known):
-                    deal = np.where(np.isin(a, known), np.int64(kid ^ 0x5851F42D4C957F2D), a)
+                    deal = np.where(np.isin(a, known), np.int64(kid ^ tid << 31 ^ 0x5851F42D4C957F2D), a)
                 deals.append(deal)
                 names.append(a)
                 kids.append(np.full(len(a), kid, dtype=np.int64))
+                tids.append(np.full(len(a), tid, dtype=np.int64))
             if names:
-                yield batch(OCCURRENCES, [np.concatenate(deals), np.concatenate(names), np.concatenate(kids)])
+                yield batch(OCCURRENCES, [np.concatenate(c) for c in (deals, names, kids, tids)])
 
     return texts.mapInArrow(run, ddl(OCCURRENCES))
 
 
 def crowded_anchors(texts: DataFrame, min_len: int, hot: int) -> set[int]:
     """Anchors seen often in a 64th of the documents: surely repeated."""
-    part = texts.filter(F.pmod(F.xxhash64("kid"), F.lit(SAMPLE)) == 0)
+    part = texts.filter(F.pmod(F.xxhash64("kid", "tid"), F.lit(SAMPLE)) == 0)
     rows = anchor_rows(part, min_len).groupBy("anchor").agg(F.count("*").alias("n")) \
         .filter(F.col("n") >= max(2, hot // SAMPLE)).orderBy(F.col("n").desc(), "anchor").limit(HOT_SAMPLE).collect()
     return {r["anchor"] for r in rows}
@@ -282,14 +285,14 @@ def segment_rows(joined: DataFrame, min_len: int, hot: int) -> DataFrame:
     def run(batches):
         seen: dict[bytes, tuple] = {}  # earliest place of a string among those met
         for b in batches:
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in SEGMENTS]
 
             def put(*values):
                 for c, v in zip(cols, values):
                     c.append(v)
 
-            for kid, text, names, hots, copies in zip(
-                    b.column("kid").to_pylist(), common.text_bytes(b.column("text")),
+            for kid, tid, text, names, hots, copies in zip(
+                    b.column("kid").to_pylist(), b.column("tid").to_pylist(), common.text_bytes(b.column("text")),
                     *(b.column(c).to_pylist() for c in ("anchors", "hots", "copies"))):
                 if len(text) < min_len or not (names or hots):
                     continue
@@ -298,9 +301,11 @@ def segment_rows(joined: DataFrame, min_len: int, hot: int) -> DataFrame:
                 rid = text_key(text)
                 first, count, found = anchors(np.frombuffer(text, dtype=np.uint8), min_len)
                 is_hot = np.isin(found, np.array(hots, dtype=np.int64))
-                for k in np.flatnonzero(np.isin(found, np.array(names, dtype=np.int64)) & ~is_hot).tolist():
-                    s, n = int(first[k]), int(count[k])
-                    put(int(found[k]), kid, rid, s, n, text[s:s + n + min_len - 1])
+                cold = np.flatnonzero(np.isin(found, np.array(names, dtype=np.int64)) & ~is_hot)
+                at, ns, m = first[cold].tolist(), count[cold].tolist(), len(cold)
+                for c, v in zip(cols, (found[cold].tolist(), [kid] * m, [rid] * m, at, ns,
+                                       [text[s:s + n + min_len - 1] for s, n in zip(at, ns)], [tid] * m)):
+                    c += v
                 for k in np.flatnonzero(is_hot).tolist():
                     s = int(first[k])
                     gone = np.zeros(int(count[k]), dtype=bool)
@@ -315,9 +320,9 @@ def segment_rows(joined: DataFrame, min_len: int, hot: int) -> DataFrame:
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen[one] = here
-                        put(text_key(one), kid, rid, s + i, 1, one)
+                        put(text_key(one), kid, rid, s + i, 1, one, tid)
                     for i, j in runs_of(gone):
-                        put(kid, kid, rid, s + i, j - i, None)
+                        put(kid ^ rid, kid, rid, s + i, j - i, None, tid)
             if cols[0]:
                 yield batch(SEGMENTS, cols)
 
@@ -325,40 +330,40 @@ def segment_rows(joined: DataFrame, min_len: int, hot: int) -> DataFrame:
 
 
 def repeated_spans(segments: DataFrame, min_len: int, gram: int) -> DataFrame:
-    """Spans (kid, rid, s, e) of bytes that go, from segments in order of (deal,
+    """Spans (kid, tid, rid, s, e) of bytes that go, from segments in order of (deal,
     kid, rid, start): blocks of whole deal groups are merged at a time."""
 
     def solve(rows: list[tuple]) -> list[tuple]:
         out, classes, where = [], {}, {}
-        for deal, kid, rid, start, n, seg in rows:
+        for deal, kid, rid, start, n, seg, tid in rows:
             if seg is None:
-                out.append((kid, rid, start, start + n + min_len - 1))
+                out.append((kid, tid, rid, start, start + n + min_len - 1))
                 continue
-            same = classes.setdefault((deal, seg), (kid, rid, start, n))
-            if same != (kid, rid, start, n):
-                out.append((kid, rid, start, start + n + min_len - 1))
+            same = classes.setdefault((deal, seg), (kid, rid, start, n, tid))
+            if same != (kid, rid, start, n, tid):
+                out.append((kid, tid, rid, start, start + n + min_len - 1))
             else:
                 where.setdefault(deal, {})[seg] = same
         # an anchor with one class of segments has no other repeats
         todo = [(seg, at) for group in where.values() if len(group) > 1 for seg, at in group.items()]
         if todo:
             flags = repeated_starts([s for s, _ in todo], [at[3] for _, at in todo], min_len, gram)
-            for (_, (kid, rid, start, _)), f in zip(todo, flags):
-                out += [(kid, rid, start + i, start + j + min_len - 1) for i, j in runs_of(f)]
+            for (_, (kid, rid, start, _, tid)), f in zip(todo, flags):
+                out += [(kid, tid, rid, start + i, start + j + min_len - 1) for i, j in runs_of(f)]
         return out
 
     def run(batches):
         rows: list[tuple] = []
         size = 0
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(6))):
+            for row in zip(*(c.to_pylist() if pa.types.is_binary(c.type) else c.to_numpy().tolist() for c in b.columns)):
                 if size >= BLOCK_BYTES and row[0] != rows[-1][0]:
-                    yield batch(SPANS, list(map(list, zip(*solve(rows)))) or [[], [], [], []])
+                    yield batch(SPANS, list(map(list, zip(*solve(rows)))) or [[] for _ in SPANS])
                     rows, size = [], 0
                 rows.append(row)
                 size += len(row[5] or b"")
         if rows:
-            yield batch(SPANS, list(map(list, zip(*solve(rows)))) or [[], [], [], []])
+            yield batch(SPANS, list(map(list, zip(*solve(rows)))) or [[] for _ in SPANS])
 
     return segments.mapInArrow(run, ddl(SPANS))
 
@@ -385,9 +390,12 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len
     common.prepare(spark)
     parts = common.n_parts(spark)
     others = [F.col(f"`{c}`") for c in df.columns if c != text_col]
-    base = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("kid"),
-                     F.col(text_col).cast("string").alias("text"), F.struct(*others).alias("row"))
-    texts = base.select("kid", "text")
+    text = F.col(text_col).cast("string")
+    # tid, half a hash of the text, keeps the texts of one id (or of none) apart in groups and joins
+    base = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("kid"), text.alias("text"),
+                     F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit("")).cast("binary")), 32).alias("tid"),
+                     F.struct(*others).alias("row"))
+    texts = base.select("kid", "tid", "text")
     crowded = spark.sparkContext.broadcast(crowded_anchors(texts, min_len, hot))
     met = anchor_rows(texts, min_len, crowded) \
         .withColumn("c", F.count("*").over(Window.partitionBy("deal"))) \
@@ -395,24 +403,26 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len
         .filter((F.col("c") > 1) | F.col("crowd"))
     big = F.col("crowd") | (F.col("c") > hot)
     # whole copies: every document whose text stands under a smaller id
-    ids = texts.select("kid", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("dig")) \
+    ids = texts.select("kid", "tid", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("dig")) \
         .filter(F.col("text").isNotNull())
     first = ids.groupBy("dig").agg(F.min("kid").alias("low"), F.max("kid").alias("high")).filter("low < high")
-    copies = ids.join(first.select("dig", "low"), "dig").filter("kid > low").select("kid", "dig")
-    notes = met.select("kid", F.when(~big, F.col("anchor")).alias("anchor"), F.when(big, F.col("anchor")).alias("hot"),
+    copies = ids.join(first.select("dig", "low"), "dig").filter("kid > low").select("kid", "tid", "dig")
+    notes = met.select("kid", "tid", F.when(~big, F.col("anchor")).alias("anchor"), F.when(big, F.col("anchor")).alias("hot"),
                        F.lit(None).cast("binary").alias("dig")) \
-        .unionByName(copies.select("kid", F.lit(None).cast("long").alias("anchor"), F.lit(None).cast("long").alias("hot"), "dig"))
-    notes = notes.groupBy("kid").agg(F.collect_set("anchor").alias("anchors"), F.collect_set("hot").alias("hots"),
-                                     F.collect_set("dig").alias("copies"))
-    # one exchange of the texts by id serves both joins below
-    home = base.repartition(parts, "kid")
-    segments = segment_rows(home.join(notes, "kid"), min_len, hot) \
+        .unionByName(copies.select("kid", "tid", F.lit(None).cast("long").alias("anchor"),
+                                   F.lit(None).cast("long").alias("hot"), "dig"))
+    notes = notes.groupBy("kid", "tid").agg(F.collect_set("anchor").alias("anchors"), F.collect_set("hot").alias("hots"),
+                                            F.collect_set("dig").alias("copies"))
+    # one exchange of the texts by id and text serves both joins below
+    home = base.repartition(parts, "kid", "tid")
+    segments = segment_rows(home.join(notes, ["kid", "tid"]), min_len, hot) \
         .repartition(parts, "deal").sortWithinPartitions("deal", "kid", "rid", "start")
-    spans = repeated_spans(segments, min_len, gram).select("kid", F.struct("rid", "s", "e").alias("span"),
+    spans = repeated_spans(segments, min_len, gram).select("kid", "tid", F.struct("rid", "s", "e").alias("span"),
                                                            F.lit(None).cast("binary").alias("dig")) \
-        .unionByName(copies.select("kid", F.lit(None).cast("struct<rid:bigint,s:bigint,e:bigint>").alias("span"), "dig"))
-    spans = spans.groupBy("kid").agg(F.collect_list("span").alias("found"), F.collect_set("dig").alias("copies"))
-    joined = home.join(spans, "kid", "left")
+        .unionByName(copies.select("kid", "tid", F.lit(None).cast("struct<rid:bigint,s:bigint,e:bigint>").alias("span"), "dig"))
+    # a set: repeated rows find the same spans
+    spans = spans.groupBy("kid", "tid").agg(F.collect_set("span").alias("found"), F.collect_set("dig").alias("copies"))
+    joined = home.join(spans, ["kid", "tid"], "left")
     row_type = joined.schema["row"].dataType
     schema = T.StructType([T.StructField("row", row_type), *T._parse_datatype_string(
         "n_bytes long, n_removed long, spans array<struct<s: long, e: long>>, "

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 
@@ -52,6 +53,16 @@ def test_hot_anchors_give_the_same(spark):
     compare(spark, awkward(seed=2), hot=2)
 
 
+def test_texts_of_one_id_are_gathered_apart(spark):
+    # rows without an id, and rows of one id, are no group of their own in any exchange
+    rows = [(None if i % 2 else 7, t) for i, (_, t) in enumerate(awkward(seed=4))]
+    compare(spark, rows)
+    compare(spark, rows, hot=2)
+    plan = sd.dedup(frame(spark, rows))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(kid#\d+L, tid#\d+L, ", plan)
+    assert not re.search(r"hashpartitioning\(kid#\d+L, \d+[,)]", plan)
+
+
 def test_other_grams_give_the_same(spark):
     compare(spark, awkward(seed=3, n=15), gram=50)
 
