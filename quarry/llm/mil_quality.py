@@ -8,8 +8,9 @@ scored by a logistic unit. All parts are learned together from document
 labels.
 
 Training uses at most ``max_train`` labelled rows (a documented bound, chosen
-by a hash of the id) and runs on the driver over their passage histograms;
-scoring is row-local over all rows and whole texts.
+by a hash of the id, then of the text; a repeated row counts once) with at most
+``max_passages`` passages together, and runs on the driver over their passage
+histograms; scoring is row-local over all rows and whole texts.
 
 Defined cases: null text is empty and is scored as one empty passage; rows of
 labels without id or quality are ignored and repeated labels of an id count
@@ -33,6 +34,9 @@ from quarry.llm import common
 PASSAGE = 512
 #: Labelled rows that training takes at most.
 MAX_TRAIN = 6000
+#: Passages that training takes at most; of texts that would go over it, the
+#: rows stay and every one gives an equal number of evenly spaced passages.
+MAX_PASSAGES = 200_000
 HIDDEN, GATE, EPOCHS, BATCH, SEED = 24, 12, 30, 64, 7
 #: Share of positives from which a document is kept.
 THRESHOLD = 0.7
@@ -171,19 +175,50 @@ def held_out(id_col: str = "doc_id") -> Column:
     return common.crc_fold(id_col, 4) == 2
 
 
+def training_rows(rows: DataFrame, max_train: int) -> DataFrame:
+    """At most ``max_train`` rows, one for each id and text: an id may stand in
+    any number of rows. The texts stay in their rows; only hashes are sorted."""
+    rows = rows.withColumn("__h", F.xxhash64("__id")).withColumn("__t", F.xxhash64(F.coalesce("__text", F.lit(""))))
+    picked = rows.groupBy("__h", "__id", "__t").agg(F.max("__y").alias("__y")) \
+        .orderBy("__h", "__id", "__t").limit(max_train).select("__id", "__t")
+    # at most max_train (id, text hash) rows: a bounded broadcast
+    return rows.join(F.broadcast(picked), ["__id", "__t"]).dropDuplicates(["__id", "__t"]).select("__id", "__text", "__y")
+
+
+def per_row(rows: DataFrame, max_passages: int) -> int | None:
+    """Passages that a row may give: the largest number with which all rows
+    together stay within ``max_passages``; None where they do anyway."""
+    n = F.greatest(F.lit(1), F.ceil(F.octet_length(F.coalesce("__text", F.lit(""))) / PASSAGE))
+    sizes = sorted(r["n"] for r in rows.select(n.alias("n")).collect())  # at most max_train numbers
+    if sum(sizes) <= max_passages:
+        return None
+    left = max_passages
+    for i, size in enumerate(sizes):
+        if size * (len(sizes) - i) > left:
+            return max(1, left // (len(sizes) - i))
+        left -= size
+    return None
+
+
+def spaced(bag: np.ndarray, most: int | None) -> np.ndarray:
+    """At most ``most`` passages of the whole text, evenly spaced."""
+    return bag if most is None or len(bag) <= most else bag[np.arange(most) * len(bag) // most]
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "quality", max_train: int = MAX_TRAIN) -> Model:
+        label_col: str = "quality", max_train: int = MAX_TRAIN, max_passages: int = MAX_PASSAGES) -> Model:
     """Model from at most ``max_train`` labelled rows outside the held-out fold."""
     common.prepare(docs.sparkSession)
     ids = (labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).filter(~held_out(id_col))
            .groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__y"))
            .orderBy(F.xxhash64("__id"), "__id").limit(max_train))
     # at most max_train (id, label) rows: a bounded broadcast
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")) \
-        .join(F.broadcast(ids), "__id").select("__id", "__text", "__y")
+    rows = training_rows(docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
+                         .join(F.broadcast(ids), "__id").select("__id", "__text", "__y"), max_train)
+    most = per_row(rows, max_passages)
 
     def run(b: pa.RecordBatch) -> dict:
-        bags = [passages(t) for t in common.text_bytes(b.column(1))]
+        bags = [spaced(passages(t), most) for t in common.text_bytes(b.column(1))]
         return {"id": b.column(0).cast(pa.string()), "y": b.column(2), "n": [len(g) for g in bags],
                 "x": [g.astype(np.float16).tobytes() for g in bags]}
 

@@ -73,3 +73,22 @@ def test_empty_documents(spark):
     _, labels = tables(spark)
     assert mq.fit(empty(spark), labels).flat == 1.0
     assert mq.keep_quality(empty(spark), labels).collect() == []
+
+
+def test_training_rows_and_passages_are_bounded(spark, monkeypatch):
+    import random
+    from tests.llm.data import prose
+    rng = random.Random(2)
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2]
+    # one id in many rows of different and of equal texts, one very long text
+    rows = [(ids[0], prose(rng, 20)) for _ in range(30)] + [(ids[0], "same text")] * 30 + [(ids[1], "word " * 20000)] + \
+        [(i, prose(rng, 30)) for i in ids[2:]]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in ids], "doc_id long, quality int, toxic int")
+    taken = []
+    monkeypatch.setattr(mq, "train", lambda bags, y: taken.append([len(g) for g in bags]))
+    mq.fit(frame(spark, rows), labels)
+    mq.fit(frame(spark, rows), labels, max_train=20)
+    mq.fit(frame(spark, rows), labels, max_passages=100)
+    assert len(taken[0]) == 30 + 1 + 1 + len(ids[2:]) and max(taken[0]) == 196
+    assert len(taken[1]) == 20
+    assert len(taken[2]) == len(taken[0]) and sum(taken[2]) <= 100 < sum(taken[0])
