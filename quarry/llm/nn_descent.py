@@ -237,7 +237,8 @@ def _merge_lists(degree: int, sample: int, seed: int):
             u = packed.long_values(t["u"])
             own_at = packed.long_values(t["kind"]) == 0
             codes, size = packed.unpack(t["code"], np.int8)
-            codes = codes.reshape(int(own_at.sum()), -1)
+            mine = int(own_at.sum())    # none where a long run of offers fills the chunk
+            codes = codes.reshape(mine, -1) if mine else codes.reshape(0, len(carry[1]))
             item, counts = packed.unpack(t["nb"], np.int64)
             score, _ = packed.unpack(t["sc"], np.float32)
             flag, _ = packed.unpack(t["fl"], np.int8)
