@@ -79,6 +79,13 @@ def crc_fold(col: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def integer_ids(df: DataFrame, col: str) -> None:
+    """A clear error for operators that order documents by a number."""
+    kind = df.schema[col].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{col} must be an integer column to order documents by, not {kind.simpleString()}")
+
+
 def split_bounds(df: DataFrame, col: str, parts: int) -> list[int]:
     """At most ``parts - 1`` ascending cut points of an integer column, from
     approximate quantiles of all its values (one aggregation; the driver gets

@@ -19,7 +19,8 @@ an estimate of the Jaccard likeness of the phrase sets.
 Defined cases: null text is empty; empty texts have an empty sketch and are
 alike (1.0), and unlike others (0.0); texts of any length are parsed whole;
 in a table of one document the next document is itself; rows with equal ids
-follow each other in order of their text; null ids come last.
+follow each other in order of their text; null ids come last. Ids are
+integers; another type is a TypeError.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ BINS = 64
 EMPTY = 0xFFFF
 #: Phrases under which the level below is sketched too, so that short texts have some.
 FEW = 16
+#: Characters whose texts a task parses together.
+PARSE_CHARS = 1 << 19
 #: Id blocks per shuffle partition.
 BLOCKS_PER_PART = 4
 
@@ -63,72 +66,112 @@ def toss(x: np.ndarray) -> np.ndarray:
     return (low << np.uint64(1)) | ((x[1:] >> low) & np.uint64(1))
 
 
-def next_level(x: np.ndarray) -> np.ndarray:
-    """Names of the phrases of a sequence of names."""
-    if len(x) <= 1:
-        return x
+def next_levels(x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the phrases of many sequences at once: ``x`` holds them one
+    after the other, ``size`` their lengths. A sequence of one name stays."""
+    start = np.cumsum(size) - size
     # repeats of a name become one name of their count
-    first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-    if len(first) < len(x):
-        counts = np.diff(np.append(first, len(x))).astype(np.uint64)
-        x = np.where(counts > 1, mix(x[first] + counts * _STEP), x[first])
+    first = np.empty(len(x), bool)
+    first[1:] = x[1:] != x[:-1]
+    first[start[size > 0]] = True
+    at = np.flatnonzero(first)
+    if len(at) < len(x):
+        counts = np.diff(np.append(at, len(x))).astype(np.uint64)
+        many = np.flatnonzero(counts > 1)
+        x = x[at]
+        x[many] = mix(x[many] + counts[many] * _STEP)
+        size = np.diff(np.append(np.searchsorted(at, start), len(at)))
+        start = np.cumsum(size) - size
     n = len(x)
-    if n == 1:
-        return x
-    if n < 6:
-        cuts = np.zeros(1, dtype=np.int64)
-    else:
+    if n == 0:
+        return x, size
+    cut = np.zeros(n, bool)
+    if n >= 6:
         labels = toss(toss(x))  # label k belongs to name k + 2
         mid = labels[1:-1]
-        peak = np.flatnonzero((mid > labels[:-2]) & (mid > labels[2:])) + 3
-        cuts = np.concatenate(([0], peak))
-    place = np.arange(n) - np.repeat(cuts, np.diff(np.append(cuts, n)))
+        cut[3:-1] = (mid > labels[:-2]) & (mid > labels[2:])
+        # no phrase begins among the first three names or at the last one
+        real, ends = start[size > 0], (start + size)[size > 0]
+        for k in range(1, 3):
+            near = real + k
+            cut[near[near < ends]] = False
+        cut[ends - 1] = False
+        short = size < 6
+        if short.any():
+            cut[np.repeat(short, size)] = False
+    cut[start[size > 0]] = True
+    cuts = np.flatnonzero(cut)
+    length = np.diff(np.append(cuts, n))
+    place = np.arange(n) - np.repeat(cuts, length)
     terms = mix(x + (place.astype(np.uint64) + np.uint64(1)) * _STEP)
-    return mix(np.add.reduceat(terms, cuts) + np.diff(np.append(cuts, n)).astype(np.uint64))
+    out = mix(np.add.reduceat(terms, cuts) + length.astype(np.uint64))
+    new = np.diff(np.append(np.searchsorted(cuts, start), len(cuts)))
+    alone = start[size == 1]
+    out[np.searchsorted(cuts, alone)] = x[alone]
+    return out, new
+
+
+def parse_all(texts: list[bytes], level: int = LEVEL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name of each whole text, text of each phrase name to sketch, that name).
+    Sketched are the names of ``level``, and of each level below while the one
+    above has under ``FEW`` phrases. The texts are parsed together, level by
+    level; each gets the names that it would get alone."""
+    size = np.array([len(t) for t in texts], np.int64)
+    with np.errstate(over="ignore"):
+        x = BYTE_NAMES[np.frombuffer(b"".join(texts), dtype=np.uint8)]
+        low = []
+        for k in range(level + 1):
+            low.append((x, size))
+            if k < level:
+                x, size = next_levels(x, size)
+        while (size > 1).any():
+            x, size = next_levels(x, size)
+        whole = np.zeros(len(texts), np.uint64)
+        whole[size == 1] = x
+    names, whose, use = [], [], np.ones(len(texts), bool)
+    for x, size in reversed(low):
+        names.append(x if use.all() else x[np.repeat(use, size)])
+        whose.append(np.repeat(np.arange(len(texts)), size * use))
+        use = use & (size < FEW)
+        if not use.any():
+            break
+    return whole, np.concatenate(whose), np.concatenate(names)
+
+
+def sketch_all(n: int, whose: np.ndarray, names: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """(texts x bins): 16 bits of the smallest hash in each bin; EMPTY where no name fell."""
+    top = np.iinfo(np.uint64).max
+    least = np.full(n * bins, top, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        h = mix(names + _M1)
+        np.minimum.at(least, whose * bins + ((h >> np.uint64(16)) % np.uint64(bins)).astype(np.int64), mix(h))
+    out = np.where(least != top, (least % np.uint64(EMPTY)).astype(np.uint16), np.uint16(EMPTY))
+    return out.reshape(n, bins)
 
 
-def parse(text: bytes, level: int = LEVEL) -> tuple[int, np.ndarray]:
-    """(name of the whole text, phrase names to sketch): those of ``level``,
-    and of each level below while the one above has under ``FEW`` phrases."""
-    with np.errstate(over="ignore"):
-        x = BYTE_NAMES[np.frombuffer(text, dtype=np.uint8)]
-        if not len(x):
-            return 0, x
-        levels = [x]
-        while len(levels) <= level or len(levels[-1]) > 1:
-            levels.append(next_level(levels[-1]))
-        names = [levels[level]]
-        for k in range(level - 1, -1, -1):
-            if len(names[-1]) >= FEW:
-                break
-            names.append(levels[k])
-        return int(levels[-1][0]), np.concatenate(names)
-
-
-def sketch(names: np.ndarray, bins: int = BINS) -> np.ndarray:
-    """16 bits of the smallest hash in each bin; EMPTY where no name fell."""
-    out = np.full(bins, EMPTY, dtype=np.uint16)
-    if len(names):
-        with np.errstate(over="ignore"):
-            h = mix(names + _M1)
-        least = np.full(bins, np.iinfo(np.uint64).max, dtype=np.uint64)
-        np.minimum.at(least, (h >> np.uint64(16)) % np.uint64(bins), mix(h))
-        filled = least != np.iinfo(np.uint64).max
-        out[filled] = (least[filled] % np.uint64(EMPTY)).astype(np.uint16)
-    return out
+def fingerprints(texts: list[bytes], level: int = LEVEL, bins: int = BINS) -> tuple[list[str], np.ndarray]:
+    """(fingerprint, sketch) of each text."""
+    whole, whose, names = parse_all(texts, level)
+    s = sketch_all(len(texts), whose, names, bins)
+    text = s.astype(">u2").tobytes().hex()
+    step = 4 * bins
+    return [f"{int(w):016x}-{text[i * step:(i + 1) * step]}" for i, w in enumerate(whole)], s
 
 
 def fingerprint(text: bytes, level: int = LEVEL, bins: int = BINS) -> tuple[str, np.ndarray]:
-    whole, names = parse(text, level)
-    s = sketch(names, bins)
-    return f"{whole:016x}-{s.astype('>u2').tobytes().hex()}", s
+    names, s = fingerprints([text], level, bins)
+    return names[0], s[0]
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of agreeing bins among those filled in either sketch."""
+def likenesses(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, the share of agreeing bins among those filled in either sketch."""
     used = (a != EMPTY) | (b != EMPTY)
-    n = int(used.sum())
-    return float(((a == b) & used).sum() / n) if n else 1.0
+    n = used.sum(1)
+    return np.where(n > 0, ((a == b) & used).sum(1) / np.maximum(n, 1), 1.0)
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    return float(likenesses(a[None, :], b[None, :])[0])
 
 
 def edited(text: str, following: str) -> str:
@@ -148,6 +191,7 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     next of the last one.
     """
     spark = df.sparkSession
+    common.integer_ids(df, id_col)
     common.prepare(spark)
     kind = dict(df.dtypes)[id_col]
     src = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -176,23 +220,36 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     from pyspark.sql import types as T
     arrow = common.arrow_schema(T._parse_datatype_string(schema))
 
+    def flush(pairs):
+        """Rows of (id, text, next text) in turn: own and edited texts parsed together."""
+        new = [edited(t, f) for _, t, f in pairs]
+        encoded = {}
+        for t in (x for _, t, f in pairs for x in (t, f)):
+            encoded.setdefault(t, len(encoded))
+        names, sketches = fingerprints([t.encode() for t in encoded] + [t.encode() for t in new], level, bins)
+        own = np.array([encoded[t] for _, t, _ in pairs], np.int64)
+        following = np.array([encoded[f] for _, _, f in pairs], np.int64)
+        changed = len(encoded) + np.arange(len(pairs))
+        columns = ([d for d, _, _ in pairs], [len(t) for _, t, _ in pairs], new, [names[i] for i in own],
+                   [names[i] for i in changed], likenesses(sketches[own], sketches[changed]),
+                   likenesses(sketches[own], sketches[following]))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
     def run(batches):
-        held = None   # (block, doc_id, text, fingerprint, sketch) waiting for its next document
+        held, pairs, size = None, [], 0   # held: (block, doc_id, text) waiting for its next document
         for b in batches:
-            rows = []
             for block, tail, doc, text in zip(*(b.column(i).to_pylist() for i in range(4))):
                 if held is None or held[0] != block:
-                    if tail:
-                        continue  # further rows with the next block's first id
-                    held = (block, doc, text, *fingerprint(text.encode(), level, bins))
+                    if not tail:          # a tail without a row before it: further rows with the next block's first id
+                        held = (block, doc, text)
                     continue
-                name, own = fingerprint(text.encode(), level, bins)
-                new = edited(held[2], text)
-                new_name, new_own = fingerprint(new.encode(), level, bins)
-                rows.append((held[1], len(held[2]), new, held[3], new_name, likeness(held[4], new_own),
-                             likeness(held[4], own)))
-                held = None if tail else (block, doc, text, name, own)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
+                pairs.append((held[1], held[2], text))
+                size += len(held[2])
+                held = None if tail else (block, doc, text)
+                if size >= PARSE_CHARS:
+                    yield flush(pairs)
+                    pairs, size = [], 0
+        if pairs:
+            yield flush(pairs)
 
     return dealt.mapInArrow(run, schema)
