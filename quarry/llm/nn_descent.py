@@ -176,7 +176,7 @@ def _first_lists(keep: int, degree: int):
             got = _compare(at, u, np.ones(len(u), bool), codes, np.full(len(u), -2, np.float32), keep)
             found.append(got)
             held += len(got[0])
-            if held > 400_000:
+            if held > 200_000:
                 yield _emit(found, degree)
                 found, held = [], 0
         if held:
@@ -299,7 +299,7 @@ def _local_join(keep: int, degree: int):
                 got = _compare(at[i:min(i + 256, len(at) - 1)] - lo, m[lo:hi], new[lo:hi], codes[lo:hi], thr[lo:hi], keep)
                 found.append(got)
                 held += len(got[0])
-            if held > 400_000:
+            if held > 200_000:
                 yield _emit(found, degree)
                 found, held = [], 0
         if held:

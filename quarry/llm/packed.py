@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Rows that a task gathers before it runs a numpy pass over them.
-CHUNK_ROWS = 8192
+CHUNK_ROWS = 4096
 
 
 def unpack(col, dtype) -> tuple[np.ndarray, np.ndarray]:
