@@ -77,3 +77,12 @@ def explode_tokens(df, keep: list[str], tokens: Column, with_len: str | None = N
     else:
         out = staged.select(*names, F.explode_outer("__toks").alias(term))
     return out.filter(F.col(term).isNotNull())
+
+
+def json_object(text: Column | str) -> Column:
+    """Whether the whole trimmed text is one JSON object (false for NULL).
+    Read as the only element of an array, so a second value or any text
+    after the first makes it invalid."""
+    t = F.trim(F.col(text) if isinstance(text, str) else text)
+    one = F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>", {"mode": "PERMISSIVE"})
+    return F.coalesce(t.startswith("{") & t.endswith("}") & (F.size(one) == 1) & F.get_json_object(t, "$").isNotNull(), F.lit(False))

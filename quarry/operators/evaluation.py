@@ -91,15 +91,14 @@ def offline_judge(cases: DataFrame) -> DataFrame:
 def judge_parse(raw: Column | str) -> tuple[Column, Column]:
     """V3: (score DOUBLE, reasoning STRING) from a judge reply.
 
-    Valid replies are JSON objects: the trimmed text must start with '{' and
-    end with '}' and parse. score = float(score) (numbers or numeric
+    Valid replies are JSON objects: the trimmed text must be one object
+    and nothing else. score = float(score) (numbers or numeric
     strings; missing -> 0.0; anything else -> 0.0), never clamped; reasoning
     defaults to "". Invalid replies give (0.0, "Evaluation error: ...").
     """
     r = F.col(raw) if isinstance(raw, str) else raw
     t = F.trim(r)
-    parsed = F.get_json_object(t, "$")
-    valid = t.startswith("{") & t.endswith("}") & parsed.isNotNull()
+    valid = T.json_object(r)
     sval = F.get_json_object(t, "$.score")
     score = F.when(valid, F.coalesce(sval.try_cast("double"), F.lit(0.0))).otherwise(F.lit(0.0))
     reason = F.when(valid, F.coalesce(F.get_json_object(t, "$.reasoning"), F.lit(""))).otherwise(

@@ -40,6 +40,14 @@ def _check_k(k: int | None) -> int:
     return k
 
 
+def filtered(docs: DataFrame, doc_filter: Column | str | None) -> DataFrame:
+    """Documents that meet a filter, given as a Column or as text in
+    Spark SQL (``"lang = 'en' AND n_chars > 500"``). It applies before ranking
+    and reaches the scan; text that is no predicate over the documents'
+    columns raises Spark's error when the search is built."""
+    return docs if doc_filter is None else docs.filter(doc_filter)
+
+
 def top_k_per_query(scored: DataFrame, k: int, score: str = "score",
                     key: str = "query_id", tie: str = "doc_id") -> DataFrame:
     """Keep the k best rows per key (score desc, tie asc), adding ``rank``.
@@ -259,15 +267,17 @@ def score_weights(qt: DataFrame, w: DataFrame, small: bool, k: int) -> DataFrame
 
 
 def keyword_search(queries: DataFrame, docs: DataFrame, k: int | None = None,
-                   doc_filter: Column | None = None, k1: float = BM25_K1, b: float = BM25_B,
+                   doc_filter: Column | str | None = None, k1: float = BM25_K1, b: float = BM25_B,
                    query_col: str = "query", text_col: str = "text") -> DataFrame:
     """BM25 top-k per query. ``doc_filter`` is applied before ranking
-    and before the corpus statistics, like a filtered index search."""
+    and before the corpus statistics, like a filtered index search. A document
+    without an id cannot be named in a result, so it is never a hit (in any
+    search); it still counts in the corpus statistics."""
     k = _check_k(k)
-    if doc_filter is not None:
-        docs = docs.filter(doc_filter)
-    scored = bm25_top_candidates(queries, docs, k, k1, b, query_col, text_col)
-    scored = scored.select("query_id", "doc_id", F.round("raw", SCORE_DIGITS).alias("score"))
+    docs = filtered(docs, doc_filter)
+    scored = bm25_top_candidates(queries, docs, k + 1, k1, b, query_col, text_col)  # one may be of the NULL id
+    scored = scored.filter(F.col("doc_id").isNotNull()).select(
+        "query_id", "doc_id", F.round("raw", SCORE_DIGITS).alias("score"))
     return top_k_per_query(scored, k)
 
 
@@ -403,39 +413,39 @@ def vector_candidates(queries: DataFrame, vectors: DataFrame, k: int,
     vector table with one BLAS matrix product per Arrow batch. A task keeps
     one running top-k per query over all its batches. The vector table is
     scanned once per block and never shuffled before the top-k.
+
+    A query meets vectors of its own length only: one of another length than
+    the table's has no hits, whatever the other queries are. So have queries
+    that are NULL, empty, zero or hold NULL or non-finite components.
     """
     spark = queries.sparkSession
-    qv = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
-    meta = qv.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    n, d = int(meta["n"] or 0), int(meta["d"] or 0)
+    qv = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0))
+    sizes = qv.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row a length
     schema = _candidate_schema(queries, vectors)
-    if n == 0:
-        return spark.createDataFrame([], schema)
-    per_block = max(1, block_bytes // (8 * max(d, 1)))
-    n_blocks = max(1, math.ceil(n / per_block))
     vec = vectors.select("doc_id", "embedding")
     parts = []
-    for blk in range(n_blocks):
-        part = qv if n_blocks == 1 else qv.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == blk)
-        rows = part.collect()  # bounded by block_bytes
-        if not rows:
-            continue
-        ids = _key_array([r["query_id"] for r in rows])
-        mat = np.array([np.asarray(r["embedding"], dtype=np.float64)
-                        if r["embedding"] is not None and len(r["embedding"]) == d
-                        else np.zeros(d) for r in rows])
-        norms = np.linalg.norm(mat, axis=1)
-        keep = norms > 0
-        ids, mat = ids[keep], mat[keep] / norms[keep][:, None]
-        if len(ids) == 0:
-            continue
-        bc = spark.sparkContext.broadcast((ids, mat))
-
-        def fn(batches, bc=bc):
-            i, m = bc.value
-            return _block_scorer(i, m, k)(batches)
-
-        parts.append(vec.mapInPandas(fn, schema))
+    for d, n in sorted((r["d"], r["n"]) for r in sizes):
+        same = qv.filter(F.size("embedding") == d)
+        n_blocks = max(1, math.ceil(n / max(1, block_bytes // (8 * d))))
+        for blk in range(n_blocks):
+            part = same if n_blocks == 1 else same.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == blk)
+            rows = [r for r in part.collect() if None not in r["embedding"]]  # bounded by block_bytes
+            if not rows:
+                continue
+            ids = _key_array([r["query_id"] for r in rows])
+            mat = np.array([np.asarray(r["embedding"], dtype=np.float64) for r in rows])
+            norms = np.linalg.norm(mat, axis=1)
+            keep = (norms > 0) & np.isfinite(norms)
+            ids, mat = ids[keep], mat[keep] / norms[keep][:, None]
+            if len(ids) == 0:
+                continue
+            bc = spark.sparkContext.broadcast((ids, mat))
+
+            def fn(batches, bc=bc):
+                i, m = bc.value
+                return _block_scorer(i, m, k)(batches)
+
+            parts.append(vec.mapInPandas(fn, schema))
     if not parts:
         return spark.createDataFrame([], schema)
     out = parts[0]
@@ -451,7 +461,7 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int | None = None,
     documents table and field selection (R13)."""
     k = _check_k(k)
     if docs is not None:
-        keep = docs.filter(doc_filter) if doc_filter is not None else docs
+        keep = filtered(docs, doc_filter)
         vectors = vectors.join(keep.select("doc_id"), "doc_id", "left_semi")
     cand = vector_candidates(queries, vectors, k)
     ranked = top_k_per_query(
@@ -485,14 +495,14 @@ def rrf_fuse(*legs: DataFrame, k: int, rrf_k: int = RRF_K) -> DataFrame:
 
 
 def hybrid_search(queries: DataFrame, query_vecs: DataFrame, docs: DataFrame,
-                  vectors: DataFrame, k: int | None = None, doc_filter: Column | None = None,
+                  vectors: DataFrame, k: int | None = None, doc_filter: Column | str | None = None,
                   fetch: int | None = None) -> DataFrame:
     """Vector leg (``query_vecs`` against ``vectors``) and BM25 leg
     (``queries`` text against ``docs``), each fetching 2k candidates, fused by
     RRF, top k. Vectors without a document in ``docs`` are ignored."""
     k = _check_k(k)
     fetch = fetch or 2 * k
-    d = docs.filter(doc_filter) if doc_filter is not None else docs
+    d = filtered(docs, doc_filter)
     kw = keyword_search(queries, d, fetch)
     vs = vector_search(query_vecs, vectors, fetch, docs=d)
     fused = rrf_fuse(vs, kw, k=k)

@@ -37,6 +37,7 @@ def register(name: str, sql: str | None = None):
 
 _MODULES = (
     "q_retrieval",
+    "q_fulltext",
     "q_safety",
     "q_evaluation",
     "q_inference",

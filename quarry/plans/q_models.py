@@ -10,6 +10,7 @@ from quarry.operators import embedding as EM
 from quarry.operators import inference as M
 from quarry.operators import retrieval as R
 from quarry.operators import scorers as U
+from quarry.operators import vector_index as VI
 from quarry.plans.catalog import register
 from quarry.plans.sizing import shared_path
 from quarry.sources.tables import corpus, doc_vectors, query_vectors, table
@@ -58,3 +59,17 @@ def batch_complete(spark, sf_dir):
     costed = M.usage_cost(out.withColumn("deployment", F.lit("gpt-4o-mini")))
     return costed.select("conv_id", "turn", "model", "input_tokens", "output_tokens", "total_tokens",
                          "cost_usd", "finish_reason", "error")
+
+
+@register("vector_search_quantised")
+def vector_search_quantised(spark, sf_dir):
+    """R2 by residual product codes: build, store, load and search."""
+    path = VI.save_quantised(VI.build_quantised(_vectors(spark, sf_dir)), shared_path(spark, "pq"))
+    return VI.quantised_search(query_vectors(spark, sf_dir), VI.load_quantised(spark, path), k=10)
+
+
+@register("quantised_recall")
+def quantised_recall(spark, sf_dir):
+    """R3 of the quantised index: recall, and the share of exact vectors read."""
+    qv, vec = query_vectors(spark, sf_dir), _vectors(spark, sf_dir)
+    return VI.recall_and_reads(qv, VI.build_quantised(vec), R.vector_search(qv, vec, k=10), k=10)

@@ -37,7 +37,7 @@ def bm25_cte(where: str = "") -> str:
 
 
 _VEC_CTE = """
-qv AS (SELECT b.item_id AS query_id, CAST(e.embedding AS DOUBLE[]) AS qe
+qv AS (SELECT b.item_id AS query_id, list_reverse(CAST(e.embedding AS DOUBLE[])) AS qe
        FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id),
 dv AS (SELECT e.vec_id AS doc_id, CAST(e.embedding AS DOUBLE[]) AS de
        FROM embeddings e WHERE e.vec_id IN (SELECT doc_id FROM documents {where})),
@@ -95,3 +95,34 @@ SELECT query_id, doc_id, score, rank FROM kw WHERE rank <= 10
 def filtered_search(spark, sf_dir):
     return R.keyword_search(search_queries(spark, sf_dir), corpus(spark, sf_dir), k=10,
                             doc_filter=F.col("lang") == "en")
+
+
+@register("filtered_vector_search", sql=f"""
+WITH {vec_cte("WHERE lang = 'en' AND n_chars > 500")}
+SELECT query_id, v.doc_id, score, rank, d.source, d.lang
+FROM vs v JOIN documents d USING (doc_id) WHERE rank <= 10
+""")
+def filtered_vector_search(spark, sf_dir):
+    """R11 as text and R13: filter, then exact search, then the chosen fields."""
+    return R.vector_search(query_vectors(spark, sf_dir), doc_vectors(spark, sf_dir), k=10,
+                           docs=corpus(spark, sf_dir), doc_filter="lang = 'en' AND n_chars > 500",
+                           select_fields=["source", "lang"])
+
+
+@register("filtered_hybrid_search", sql=f"""
+WITH {bm25_cte("WHERE lang IN ('en', 'de') AND NOT n_chars < 300")}, {vec_cte("WHERE lang IN ('en', 'de') AND NOT n_chars < 300")},
+f AS (
+  SELECT coalesce(v.query_id, k.query_id) AS query_id, coalesce(v.doc_id, k.doc_id) AS doc_id,
+         v.rank AS vector_rank, k.rank AS keyword_rank,
+         coalesce(1.0 / (60.0 + v.rank), 0.0) + coalesce(1.0 / (60.0 + k.rank), 0.0) AS fused
+  FROM (SELECT * FROM vs WHERE rank <= 20) v
+  FULL OUTER JOIN (SELECT * FROM kw WHERE rank <= 20) k
+    ON v.query_id = k.query_id AND v.doc_id = k.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, doc_id) AS rank FROM f)
+SELECT query_id, doc_id, round(fused, 9) AS score, rank, vector_rank, keyword_rank
+FROM r WHERE rank <= 10
+""")
+def filtered_hybrid_search(spark, sf_dir):
+    """R11 as text on both legs of the hybrid search."""
+    return R.hybrid_search(search_queries(spark, sf_dir), query_vectors(spark, sf_dir), corpus(spark, sf_dir),
+                           doc_vectors(spark, sf_dir), k=10, doc_filter="lang IN ('en', 'de') AND NOT n_chars < 300")

@@ -72,16 +72,18 @@ def upsert(base: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
     version (an older version that arrives later changes nothing; a NULL
     version always replaces); invalid rows are counted as failed and never
     written. counts = (succeeded, failed) over the batch, after collapsing
-    duplicate ids."""
+    duplicate ids; an empty batch counts 0 and 0. The result has the columns of
+    ``base``, which need not have ``valid`` or ``version``."""
     good = latest_per_id(updates.filter("valid"))
     fresh = good
     if "version" in base.columns and "version" in good.columns:
         newer = base.select("id", F.col("version").alias("__v")).join(good.select("id", "version"), "id") \
             .filter(F.col("__v") > F.col("version")).select("id")
         fresh = good.join(newer, "id", "left_anti")
-    new = base.join(fresh.select("id"), "id", "left_anti").unionByName(fresh)
+    rows = fresh.select(*[c for c in fresh.columns if c in base.columns])
+    new = base.join(fresh.select("id"), "id", "left_anti").unionByName(rows, allowMissingColumns=True)
     counts = updates.agg(F.sum(F.col("valid").cast("long")).alias("attempted_valid"),
-                         F.sum((~F.col("valid")).cast("long")).alias("failed"))
+                         F.coalesce(F.sum((~F.col("valid")).cast("long")), F.lit(0)).alias("failed"))
     counts = counts.crossJoin(good.agg(F.count(F.lit(1)).alias("succeeded")))
     return new, counts.select("succeeded", "failed")
 

@@ -26,9 +26,10 @@ def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query vectors: (query_id, embedding) for every benchmark item, the
-    vector being embeddings row vec_id = item_id (items without one drop)."""
-    emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+    """Query vectors: (query_id, embedding) for every benchmark item: the
+    components of embeddings row vec_id = item_id in reverse (items without one
+    drop), so that a query has the table's distribution and is no row of it."""
+    emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.reverse("embedding").alias("embedding"))
     return emb.join(search_queries(spark, sf_dir).select("query_id"), "query_id", "left_semi")
 
 

@@ -11,9 +11,11 @@ available (Trigger.AvailableNow) and returns the sink as a batch frame.
 
 from __future__ import annotations
 
+import sys
 import uuid
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -97,7 +99,9 @@ def usage_windows(usage: DataFrame, kind: str = "tumbling", delay: str = "1 hour
 class DeltaAssembly(StatefulProcessor):
     """State of one request: the list of its deltas, appended to by every
     micro-batch and read when the request can be complete, and (deltas listed,
-    latest event time, number of deltas that the final marker names)."""
+    latest event time, number of deltas that the final marker names, answered).
+    An answered request is remembered until its timer, so that redelivered
+    deltas give no second response; without a timeout it is remembered for good."""
 
     def __init__(self, key: str, ts_col: str, timeout_ms: int | None):
         self.key, self.ts_col, self.timeout_ms = key, ts_col, timeout_ms
@@ -105,17 +109,18 @@ class DeltaAssembly(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.deltas = handle.getListState("deltas", "seq long, delta string")
-        self.facts = handle.getValueState("facts", "n long, last_ms long, total long")
+        self.facts = handle.getValueState("facts", "n long, last_ms long, total long, done boolean")
 
     def finish(self, key, parts: dict[int, str], abandoned: bool) -> pd.DataFrame:
         self.deltas.clear()
-        self.facts.clear()
         texts = [t for _, t in sorted(parts.items()) if t]
         return pd.DataFrame({self.key: [key[0]], "content": ["".join(texts)], "n_deltas": [len(texts)],
                              "abandoned": [abandoned]})
 
     def handleInputRows(self, key, rows, timerValues):
-        n, last, total = self.facts.get() if self.facts.exists() else (0, None, None)
+        n, last, total, done = self.facts.get() if self.facts.exists() else (0, None, None, False)
+        if done:
+            return    # answered already: what arrives again changes nothing
         before, new = last, {}
         for pdf in rows:
             final = pdf["is_final"].astype(bool)
@@ -130,22 +135,29 @@ class DeltaAssembly(StatefulProcessor):
         if total is not None and n >= total:
             parts = {s: t for s, t in self.deltas.get()} | new
             if len(parts) >= total:
-                if before is not None:
-                    self.handle.deleteTimer(before + self.timeout_ms)
+                self.wait(before, last)
+                self.facts.update((n, last, total, True))
                 yield self.finish(key, parts, False)
                 return
             self.deltas.put(list(parts.items()))  # some came twice
             n = len(parts)
         elif new:
             self.deltas.appendList(list(new.items()))
-        self.facts.update((n, last, total))
+        self.facts.update((n, last, total, False))
+        self.wait(before, last)
+
+    def wait(self, before: int | None, last: int | None) -> None:
+        """Move the timer to ``timeout`` after the latest event time."""
         if last is not None and last != before:
             if before is not None:
                 self.handle.deleteTimer(before + self.timeout_ms)
             self.handle.registerTimer(last + self.timeout_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        yield self.finish(key, {s: t for s, t in self.deltas.get()}, True)
+        done = self.facts.exists() and self.facts.get()[3]
+        self.facts.clear()
+        if not done:
+            yield self.finish(key, {s: t for s, t in self.deltas.get()}, True)
 
     def close(self) -> None:
         pass
@@ -158,7 +170,8 @@ def assemble_stream(deltas: DataFrame, key: str = "request_id", timeout: str | N
     (seq 0 to that number - 1); the request is complete when all of them are
     in, whatever the order in which they and the marker arrive. Its content
     (in seq order, NULL/empty deltas skipped, repeated seqs once) is emitted
-    and its state cleared. A micro-batch appends its deltas to a list state;
+    and its deltas are dropped; that it was answered is remembered until its
+    timer. A micro-batch appends its deltas to a list state;
     earlier ones are not read again until the request can be complete.
 
     With ``timeout`` (e.g. "10 minutes") the stream needs an event-time
@@ -171,6 +184,8 @@ def assemble_stream(deltas: DataFrame, key: str = "request_id", timeout: str | N
     List state needs the RocksDB state store, which is set for the session.
     """
     deltas.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    # the process that plans the stream does not see files added to the session
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     out_schema = f"{key} {deltas.schema[key].dataType.simpleString()}, content string, n_deltas long, abandoned boolean"
     timeout_ms = None
     if timeout:
