@@ -10,6 +10,8 @@ every operator that aggregates works on them.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,22 +44,42 @@ PREBUILT_FIELDS = {
 }
 
 # HTML clean-up rules for page layout (RE2-compatible).
-DROP_BLOCKS = r"(?is)<(script|style|nav|footer|head)(\s[^>]*)?>.*?</(script|style|nav|footer|head)>"
+DROP_TAGS = ("script", "style", "nav", "footer", "head")
+DROP_BLOCK = r"(?is)<{tag}(\s[^>]*)?>.*?</{tag}\s*>"
 COMMENTS = r"(?s)<!--.*?-->"
 BLOCK_TAGS = r"(?i)</?(p|div|h[1-6]|li|ul|ol|br|article|section|header|main|table|tr|td|th)(\s[^>]*)?/?>"
 ANY_TAG = r"<[^>]*>"
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-            ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+#: Named entities of HTML 4 (from the language's own table) and &apos;.
+ENTITIES = {**name2codepoint, "apos": 39, "nbsp": 32}
 BLOCK_MARK = "\u0001"
 
 
 def decode_entities(c: Column) -> Column:
-    """Named entities in fixed order, &amp; last (single decoding)."""
-    for ent, ch in ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
+    """Named, decimal and hexadecimal entities, each decoded once: what stands
+    for ``&`` comes last, so ``&amp;lt;`` becomes ``&lt;``. Unknown names and
+    numbers that are no character stay as they are."""
+    known = F.create_map(*[x for n, code in sorted(ENTITIES.items()) for x in (F.lit(n), F.lit(chr(code)))])
+
+    def char(code: Column) -> Column:
+        good = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        return F.when(good, F.decode(F.unhex(F.lpad(F.hex(F.when(good, code).otherwise(F.lit(32))), 8, "0")), "UTF-32"))
+
+    def swap(text: Column, pattern: str, value) -> Column:
+        found = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), lambda e: ~e.isin(*_AMPERSANDS))
+        return F.aggregate(found, text, lambda t, e: F.replace(t, e, F.coalesce(value(e), e)))
+
+    c = swap(c, "&[A-Za-z][A-Za-z0-9]*;", lambda e: F.try_element_at(known, F.substring(e, F.lit(2), F.length(e) - 2)))
+    c = swap(c, "&#[0-9]{1,7};", lambda e: char(F.substring(e, F.lit(3), F.length(e) - 3).cast("long")))
+    c = swap(c, "&#[xX][0-9A-Fa-f]{1,6};", lambda e: char(F.conv(F.substring(e, F.lit(4), F.length(e) - 4), 16, 10).cast("long")))
+    for e in _AMPERSANDS:
+        c = F.replace(c, F.lit(e), F.lit("&"))
     return c
 
 
+#: Entities that stand for the ampersand.
+_AMPERSANDS = ("&#38;", "&#x26;", "&#X26;", "&amp;")
+
+
 def count_of(array) -> Column:
     """Elements of an array, 0 for NULL (whatever size(NULL) is set to give)."""
     a = F.col(array) if isinstance(array, str) else array
@@ -77,7 +99,9 @@ def page_layout(pages: DataFrame, html_col: str = "html", key: str = "page_id")
     h = F.col(html_col)
     title = _clean_text(F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1))
     lang = F.regexp_extract(h, r"(?i)<html[^>]*\slang=\"([^\"]*)\"", 1)
-    body = F.regexp_replace(F.regexp_replace(h, COMMENTS, ""), DROP_BLOCKS, "")
+    body = F.regexp_replace(h, COMMENTS, "")
+    for tag in DROP_TAGS:   # each to its own closing tag, inner kinds first
+        body = F.regexp_replace(body, DROP_BLOCK.format(tag=tag), "")
     chunks = F.split(F.regexp_replace(body, BLOCK_TAGS, BLOCK_MARK), BLOCK_MARK)
     paras = F.filter(F.transform(chunks, _clean_text), lambda p: F.length(p) > 0)
     staged = pages.select(key, title.alias("title"), lang.alias("lang"), paras.alias("paragraphs"))

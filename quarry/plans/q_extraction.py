@@ -19,8 +19,7 @@ lay AS (
          trim(regexp_replace({dec_title}, '\s+', ' ', 'g')) AS title,
          regexp_extract(html, '(?i)<html[^>]*\slang="([^"]*)"', 1) AS lang,
          list_filter(list_transform(
-             string_split(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
-                 '(?is)<(script|style|nav|footer|head)(\s[^>]*)?>.*?</(script|style|nav|footer|head)>', '', 'g'),
+             string_split(regexp_replace({body},
                  '(?i)</?(p|div|h[1-6]|li|ul|ol|br|article|section|header|main|table|tr|td|th)(\s[^>]*)?/?>',
                  chr(1), 'g'), chr(1)),
              lambda s: trim(regexp_replace({dec_s}, '\s+', ' ', 'g'))),
@@ -29,14 +28,37 @@ lay AS (
 """
 
 
+def _body() -> str:
+    c = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
+    for tag in D.DROP_TAGS:
+        c = f"regexp_replace({c}, '{D.DROP_BLOCK.format(tag=tag)}', '', 'g')"
+    return c
+
+
+_NAMES = "MAP {" + ", ".join(f"'&{n};': chr({c})" for n, c in sorted(D.ENTITIES.items()) if n != "amp") + "}"
+_LAST = "('&#38;', '&#x26;', '&#X26;', '&amp;')"
+
+
+def _swap(text: str, pattern: str, value: str) -> str:
+    return (f"list_reduce(list_prepend({text}, list_filter(list_distinct(regexp_extract_all({text}, '{pattern}')), lambda e: e NOT IN {_LAST})), "
+            f"lambda t, e: replace(t, e, coalesce({value}, e)))")
+
+
+def _char(code: str) -> str:
+    return f"CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN chr(CAST({code} AS INTEGER)) END"
+
+
 def _dec(x: str) -> str:
     c = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
-    for ent, ch in D.ENTITIES:
-        c = f"replace({c}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
+    c = _swap(c, "&[A-Za-z][A-Za-z0-9]*;", f"{_NAMES}[e]")
+    c = _swap(c, "&#[0-9]{1,7};", _char("TRY_CAST(substr(e, 3, length(e) - 3) AS BIGINT)"))
+    c = _swap(c, "&#[xX][0-9A-Fa-f]{1,6};", _char("TRY_CAST('0x' || substr(e, 4, length(e) - 4) AS BIGINT)"))
+    for e in ("&#38;", "&#x26;", "&#X26;", "&amp;"):
+        c = f"replace({c}, '{e}', '&')"
     return c
 
 
-LAYOUT_SQL = _LAYOUT_SQL.replace(
+LAYOUT_SQL = _LAYOUT_SQL.replace("{body}", _body()).replace(
     "{dec_title}", _dec(r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")).replace("{dec_s}", _dec("s"))
 
 

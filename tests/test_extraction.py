@@ -91,3 +91,15 @@ def test_page_layout(spark):
     assert r.title == "T & U" and r.lang == "de"
     assert r.paragraphs == ["First <b> para", "Second", "Third"]
     assert r.text == "First <b> para\n\nSecond\n\nThird"
+
+
+def test_page_layout_drops_whole_blocks_and_decodes_all_entities(spark):
+    pages = [(1, "<head><style>p {}</style><title>T</title></head><body><p>a</p></body>", "T", ["a"]),
+             (2, "<nav>menu <script>x()</script> more menu</nav><p>b</p><footer>f <style>s</style> g</footer>", "", ["b"]),
+             (3, "<p>it&#8217;s caf&eacute; &#x1F600; &amp;lt; &lt;b&gt; &unknown; &#0; &#xD800; &hellip;&nbsp;&apos;&#38;gt;</p>", "",
+              ["it\u2019s caf\u00e9 \U0001F600 &lt; <b> &unknown; &#0; &#xD800; \u2026 '&gt;"]),
+             (4, None, None, None), (5, "", "", [])]
+    df = spark.createDataFrame([p[:2] for p in pages], "page_id long, html string")
+    got = {r.page_id: r for r in D.page_layout(df).collect()}
+    for i, _, title, paragraphs in pages:
+        assert got[i].title == title and got[i].paragraphs == paragraphs
