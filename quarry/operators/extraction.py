@@ -15,6 +15,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.text import json_object
 from quarry.plans.sizing import broadcast_if_bounded
 
 RESPONSE_SCHEMA = (
@@ -295,9 +296,8 @@ def analyze_batch(df: DataFrame, json_col: str, model_id: str, keep=("doc_id",))
     object yields an empty result carrying model_used and ``error``; row
     order and count are preserved (no filter, no shuffle)."""
     j = F.col(json_col)
-    t = F.trim(j)
-    ok = j.isNotNull() & t.startswith("{") & t.endswith("}") & F.get_json_object(t, "$").isNotNull()
+    ok = json_object(j)
     parsed = df.select(*keep, F.when(ok, F.from_json(j, RESPONSE_SCHEMA)).alias("response"),
-                       F.when(~ok | j.isNull(), F.lit("invalid or empty response")).alias("error"))
+                       F.when(~ok, F.lit("invalid or empty response")).alias("error"))
     res = parse_response(parsed, model_id, keep=(*keep, "error"))
     return res

@@ -43,6 +43,7 @@ _MODULES = (
     "q_inference",
     "q_mlpipe",
     "q_extraction",
+    "q_pages",
     "q_search",
     "q_models",
     "q_streaming",

@@ -362,7 +362,7 @@ SELECT doc_id,
 FROM p GROUP BY doc_id
 """)
 def typed_fields(spark, sf_dir):
-    return D.typed_fields(invoice_fields(spark, sf_dir), "invoice")
+    return D.typed_fields(D.doc_fields(_invoice_results(spark, sf_dir)), "invoice")
 
 
 # Order status -> document type; document type -> spec.
