@@ -16,6 +16,7 @@ from quarry.plans import q_search as QR
 from quarry.plans.catalog import ORACLE, register
 from quarry.plans.sizing import write_shared
 from quarry.sources.tables import eval_cases, table, usage_rows
+from quarry.streaming import drift as G
 from quarry.streaming import jobs as J
 
 _FMT = "yyyy-MM-dd HH:mm:ss"
@@ -140,3 +141,17 @@ def stream_pass_rate(spark, sf_dir):
     out = J.run_available(J.pass_rate_windows(src, delay="10 minutes", size="10 minutes"), "pass-rate")
     return out.select(F.date_format("w.start", _FMT).alias("window_start"), "total", "passed",
                       F.round("avg_overall", 6).alias("avg_overall"))
+
+
+@register("stream_drift")
+def stream_drift(spark, sf_dir):
+    """P10 and P11 as a stream (rows-only: sketches are not exact): hourly sketches
+    of each feature leave the stream as their windows close; merged by day, they
+    are held against the sketch of the first week."""
+    cut = F.lit("2024-01-08").cast("timestamp_ntz")
+    features = {"value": F.col("value"), "k": F.get_json_object("props", "$.k")}
+    live = J.file_stream(spark, sf_dir, "events.parquet").filter(F.col("ts") >= cut)
+    closed = J.run_available(G.window_sketches(G.feature_values(live, features, ["ts"])), "drift")
+    past = table(spark, sf_dir, "events").filter(F.col("ts") < cut)
+    days = G.merge_sketches(closed.withColumn("day", F.date_format("w.start", "yyyy-MM-dd")), ["day", "feature"])
+    return G.sketch_drift(days, G.reference_sketches(G.feature_values(past, features, [])))
