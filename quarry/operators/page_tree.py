@@ -249,8 +249,6 @@ def page_tree(pages: DataFrame, html_col: str = "html", key: str = "page_id") ->
     text is not in the outer cell. Unclosed tables and cells end with the page."""
     import pandas as pd
 
-    kind = pages.schema[key].dataType.simpleString()
-
     def parse(batches):
         for pdf in batches:
             found = pd.DataFrame([parse_page(h) for h in pdf["__html"]],
@@ -258,8 +256,10 @@ def page_tree(pages: DataFrame, html_col: str = "html", key: str = "page_id") ->
             found.insert(0, "__key", pdf["__key"])
             yield found
 
-    tree = pages.select(F.col(key).alias("__key"), F.col(html_col).alias("__html")).mapInPandas(parse, f"__key {kind}, {TREE_FIELDS}")
-    return tree.withColumnRenamed("__key", key)
+    # keys go as text: pandas turns whole numbers beside nulls into floats
+    tree = pages.select(F.col(key).cast("string").alias("__key"), F.col(html_col).alias("__html")) \
+        .mapInPandas(parse, f"__key string, {TREE_FIELDS}")
+    return tree.select(F.col("__key").cast(pages.schema[key].dataType).alias(key), *[c for c in tree.columns if c != "__key"])
 
 
 def tree_cells(tree: DataFrame, key: str = "page_id") -> DataFrame:

@@ -197,26 +197,71 @@ def groundedness(answer: Column | str, sources_text: Column | str,
     return score, (verdict & (score >= F.lit(th)))
 
 
-def blocklist_match(df: DataFrame, blocklist: DataFrame, key: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
+#: Terms and bytes of a blocklist that one automaton holds, about; it takes some
+#: hundred bytes a character.
+AUTOMATON_TERMS = 50_000
+AUTOMATON_BYTES = 1 << 20
+
+
+def blocklist_match(df: DataFrame, blocklist: DataFrame, key: str = "doc_id", text_col: str = "text",
+                    block_terms: int = AUTOMATON_TERMS, block_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """One row per (row, list, term, position) where a blocklist entry
-    occurs: n-grams of the lengths that the blocklist has (one number per
-    distinct length goes to the driver) joined to the entries. The blocklist
-    (list_name, term) is size-checked before it is broadcast."""
-    bl = blocklist.select("list_name", F.lower("term").alias("term"))
-    bl = bl.withColumn("n", F.size(T.words("term"))).withColumn("term", F.array_join(T.words("term"), " ")) \
-        .filter("n > 0")
-    lengths = sorted(r["n"] for r in bl.select("n").distinct().collect())
-    staged = df.select(key, T.words(text_col).alias("__toks"))
-
-    def grams_of(n):
-        return F.transform(T.shingles(F.col("__toks"), n),
-                           lambda s, i: F.struct(F.lit(n).alias("n"), i.alias("pos"), s.alias("term")))
-
-    grams = F.flatten(F.array(*[grams_of(n) for n in lengths])) if lengths else \
-        F.array().cast("array<struct<n:int,pos:int,term:string>>")
-    hits = staged.select(key, F.explode_outer(grams).alias("__g")).select(key, "__g.*").filter(F.col("term").isNotNull())
-    return hits.join(broadcast_if_bounded(bl), ["n", "term"]).select(key, "list_name", "term", "pos")
+    (list_name, term) occurs: its words stand consecutively, from word ``pos``.
+    Overlapping and nested occurrences all count; an entry given twice is found
+    twice. NULL texts and terms without a word match nothing.
+
+    The distinct terms are measured and dealt by hash into blocks of about
+    ``block_terms`` and ``block_bytes``; a block passes the driver and becomes one
+    Aho-Corasick automaton in the tasks, which reads a text once whatever the
+    terms' lengths. So no n-grams are built, a usual list takes one scan, and a
+    list of any size one scan a block."""
+    bl = blocklist.select("list_name", F.array_join(T.words("term"), " ").alias("term")).filter(F.length("term") > 0)
+    terms = bl.select("term").distinct()
+    size = terms.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("b")).first()
+    blocks = max(1, -(-size["n"] // block_terms), -(-size["b"] // block_bytes))
+    toks = df.select(F.col(key).cast("string").alias("__key"), F.array_join(T.words(text_col), " ").alias("__toks")).filter(F.length("__toks") > 0)
+    hits = None
+    for i in range(blocks):
+        block = [r["term"] for r in terms.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == i).collect()]
+        shipped = df.sparkSession.sparkContext.broadcast(block)
+        found = toks.mapInPandas(_automaton_scan(shipped), "__key string, term string, pos int")
+        hits = found if hits is None else hits.unionByName(found)
+    return hits.join(broadcast_if_bounded(bl), "term").select(
+        F.col("__key").cast(df.schema[key].dataType).alias(key), "list_name", "term", "pos")
+
+
+def _automaton_scan(shipped):
+    """mapInPandas body: (key, space-joined words) to (key, term, word position)
+    of every occurrence of the shipped terms. Keys come as text, since pandas turns
+    whole numbers beside nulls into floats. Words are parted by single spaces
+    and hold none, so a term between spaces is found at whole words only."""
+    def scan(batches):
+        from bisect import bisect_left
+        from itertools import accumulate
+
+        import ahocorasick
+        import pandas as pd
+
+        automaton = ahocorasick.Automaton()
+        for term in shipped.value:
+            automaton.add_word(f" {term} ", term)
+        if not len(automaton):
+            return
+        automaton.make_automaton()
+        for pdf in batches:
+            keys, terms, at = [], [], []
+            for key, toks in zip(pdf["__key"], pdf["__toks"]):
+                spaces = None
+                for end, term in automaton.iter(f" {toks} "):
+                    if spaces is None:   # where each word's leading space stands
+                        spaces = [0, *accumulate(len(w) + 1 for w in toks.split(" "))]
+                    keys.append(key)
+                    terms.append(term)
+                    at.append(bisect_left(spaces, end - len(term) - 1))
+            if keys:
+                yield pd.DataFrame({"__key": keys, "term": terms, "pos": at})
+
+    return scan
 
 
 def _shingle_scan(n: int, prot_hashes=None):

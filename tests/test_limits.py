@@ -56,6 +56,14 @@ def test_ks_of_close_values(spark):
     assert P.ks_statistic(a, a, "x").first().ks == 0.0
 
 
+def test_running_counts_beside_an_outlier(spark):
+    values = [float(i % 700) for i in range(2000)] + [1e15, -1e15]
+    c = P.value_counts(spark.createDataFrame([(v,) for v in values], "x double"), "x", "n")
+    got = {r.v: (r.cum_n, r.all_n) for r in P.cumulative_counts(c, ["n"]).collect()}
+    assert got == {v: (sum(x <= v for x in values), len(values)) for v in set(values)}
+    assert P.cumulative_counts(c.filter("false"), ["n"]).collect() == []
+
+
 def test_psi_uses_reference_deciles(spark):
     # a heavy tail puts equal-width bins all in one; deciles still see the shift
     a = spark.createDataFrame([(float(i),) for i in range(1000)] + [(1e9,)], "x double")

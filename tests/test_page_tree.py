@@ -56,6 +56,8 @@ def test_boxes_reach_the_marks_and_rows_keep_their_keys(spark):
                                   "k string, html string")
     tree = T.page_tree(pages, key="k")
     assert {(r.k, r.markdown) for r in tree.collect()} == {("a", "Yes [x] no [ ]"), ("b", ""), (None, "x")}
+    big = spark.createDataFrame([(2 ** 62 + 1, "a"), (None, "b")], "page_id long, html string").coalesce(1)
+    assert {r.page_id for r in T.page_tree(big).collect()} == {2 ** 62 + 1, None}
     parsed = D.parse_response(T.tree_response(tree, "k"), "prebuilt-layout", keep=("k",))
     assert [(r.k, r.state) for r in D.selection_marks(parsed, keep=("k",)).collect()] == [("a", "selected"), ("a", "unselected")]
     assert T.page_tree(pages.filter("false"), key="k").count() == 0

@@ -73,6 +73,32 @@ def test_blocklist_words_and_phrases(spark):
     assert out == [(1, "mit license", 3), (1, "released", 0)]
 
 
+def test_blocklist_against_a_plain_search(spark):
+    import random
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("ab c dé e".split()) for _ in range(rng.randrange(40))) for _ in range(60)] + ["", None, "A, b. AB!"]
+    terms = sorted({" ".join(rng.choice("ab c dé e".split()) for _ in range(rng.randrange(1, 6))) for _ in range(40)} | {"b", "!!", ""})
+    entries = [("l", t) for t in terms] + [("m", terms[-1]), ("m", terms[-1])]
+    want = []
+    for i, text in enumerate(texts):
+        words = ["a", "b", "ab"] if text == "A, b. AB!" else (text or "").split()
+        for name, term in entries:
+            t = term.split() if term != "!!" else []
+            want += [(i, name, term, p) for p in range(len(words) - len(t) + 1) if t and words[p:p + len(t)] == t]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bl = spark.createDataFrame(entries, "list_name string, term string")
+    assert len(want) > 100
+    for sizes in ({}, {"block_terms": 7}, {"block_bytes": 20}):   # one block and many
+        assert sorted(tuple(r) for r in S.blocklist_match(df, bl, **sizes).collect()) == sorted(want)
+    assert S.blocklist_match(df.filter("false"), bl).collect() == []
+
+
+def test_blocklist_rows_without_a_key(spark):
+    df = spark.createDataFrame([(None, "mit license"), ("k", "x mit license"), ("k", "x mit license")], "doc_id string, text string")
+    bl = spark.createDataFrame([("l", "MIT license")], "list_name string, term string")
+    assert sorted((r.doc_id or "", r.pos) for r in S.blocklist_match(df, bl).collect()) == [("", 0), ("k", 1), ("k", 1)]
+
+
 def test_protected_material_brute_force(spark):
     passage = "one two three four five six seven eight nine ten"
     docs = spark.createDataFrame([(1, "intro " + passage + " outro"), (2, "one two three four five six seven"),
