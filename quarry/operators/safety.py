@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.plans.sizing import bounded_count, broadcast_if_bounded, materialize
+from quarry.plans.sizing import broadcast_if_bounded, materialize
 
 CATEGORIES = ("hate", "self_harm", "sexual", "violence")
 
@@ -311,25 +311,27 @@ def _shingle_scan(n: int, prot_hashes=None):
     return fn
 
 
-# Bound on protected shingles shipped to every task as a sorted hash array
-# (8 bytes each: at most 64 MB per executor).
-PROTECTED_HASH_MAX = 8_000_000
+# Protected shingles that go to every task as one sorted hash array (8 bytes
+# each, about: at most 64 MB per executor).
+PROTECTED_BLOCK = 8_000_000
 
 
 def protected_material(docs: DataFrame, protected: DataFrame, n: int = 8,
-                       key: str = "doc_id", item: str = "item_id", method: str = "auto") -> DataFrame:
+                       key: str = "doc_id", item: str = "item_id", block: int = PROTECTED_BLOCK) -> DataFrame:
     """C14: n-token shingles of protected passages matched in documents.
 
     Output per (doc, item): distinct matched shingles, the item's distinct
     shingles, and their ratio. Tokens are built JVM-side. The protected
-    side's shingles (hash and text) come from the same scan; when their
-    count is under ``PROTECTED_HASH_MAX`` (checked), the sorted hash array
-    is broadcast and each document batch keeps only positions whose rolling
-    hash is in it, so shingle text is built for candidates only. Candidates
-    are then joined on hash and confirmed on text, which makes the result
-    exact. Above the bound (or with method="spark") every document shingle
-    is generated as (hash, text) in Spark and joined with the protected set.
+    side's shingles (hash and text) come from the same scan. Their distinct
+    hashes are dealt into blocks of about ``block`` by value; a block passes the
+    driver as one Arrow column, is sorted and broadcast, and each document batch keeps only
+    positions whose rolling hash is in it, so shingle text is built for
+    candidates only. One block takes one scan of the documents, more take one
+    each. Candidates are then joined on hash and confirmed on text, which makes
+    the result exact.
     """
+    import numpy as np
+
     def toks(df, k):
         return df.select(F.col(k), F.array_join(T.words("text"), " ").alias("__toks"))
 
@@ -340,23 +342,18 @@ def protected_material(docs: DataFrame, protected: DataFrame, n: int = 8,
     prot = materialize(toks(protected, item).mapInPandas(_shingle_scan(n), kind(protected, item))
                        .select(item, "h", F.col("s").alias("ps")).distinct(), "protected")
     sizes = prot.groupBy(item).agg(F.count(F.lit(1)).alias("item_shingles"))
-    n_prot = bounded_count(prot, PROTECTED_HASH_MAX)
-    if method == "spark" or (method == "auto" and n_prot > PROTECTED_HASH_MAX):
-        staged = docs.select(key, T.shingles(T.words("text"), n).alias("__sh"))
-        cand = staged.select(key, F.explode_outer(F.transform(
-            "__sh", lambda s_: F.struct(F.xxhash64(s_).alias("h"), s_.alias("s")))).alias("x")) \
-            .filter(F.col("x").isNotNull()).select(key, "x.h", "x.s")
-        prot = prot.select(item, F.xxhash64("ps").alias("h"), "ps")
-    else:
-        import numpy as np
-        hashes = np.unique(np.array([r.h for r in prot.select("h").distinct().collect()],
-                                    dtype=np.int64).view(np.uint64))
-        bc = docs.sparkSession.sparkContext.broadcast(hashes)
+    distinct = prot.select("h").distinct()
+    blocks = max(1, -(-distinct.count() // block))
+    cand = None
+    for i in range(blocks):
+        part = distinct.filter(F.pmod(F.xxhash64("h"), F.lit(blocks)) == i).toArrow()["h"].to_numpy()
+        bc = docs.sparkSession.sparkContext.broadcast(np.sort(part.astype(np.int64).view(np.uint64)))
 
         def scan(batches, bc=bc):
             return _shingle_scan(n, bc.value)(batches)
 
-        cand = toks(docs, key).mapInPandas(scan, kind(docs, key)).select(key, "h", "s")
+        found = toks(docs, key).mapInPandas(scan, kind(docs, key)).select(key, "h", "s")
+        cand = found if cand is None else cand.unionByName(found)
     hits = (cand.join(broadcast_if_bounded(prot), "h")
             .filter(F.col("s") == F.col("ps"))
             .select(key, item, "s").distinct()

@@ -108,6 +108,11 @@ def test_protected_material_brute_force(spark):
     assert set(out) == {1, 3}
     assert out[1].matched == 3 and out[1].item_shingles == 3 and out[1].overlap == 1.0
     assert out[3].matched == 1
+    for block in (1, 2):   # many blocks of hashes, same rows
+        assert {r.doc_id: r for r in S.protected_material(docs, prot, block=block).collect()} == out
+    assert S.protected_material(docs, prot.filter("false")).collect() == []
+    assert S.protected_material(docs.filter("false"), prot).collect() == []
+
 
 
 def test_segment_max_severity(spark):
