@@ -17,7 +17,7 @@ from quarry.sources.tables import TABLES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 ROWS_ONLY = {"train_gbt", "severity_model", "analyze_batch", "vector_search_ann", "ann_recall", "embed_corpus",
-             "embed_remote", "batch_complete", "sweep", "sweep_sequential", "stream_drift", "vector_search_quantised", "quantised_recall", "feature_importances"}
+             "embed_remote", "batch_complete", "sweep", "stream_drift", "vector_search_quantised", "quantised_recall", "feature_importances"}
 
 
 def test_entry_smoke(spark):
