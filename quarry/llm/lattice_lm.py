@@ -37,9 +37,11 @@ from pyspark.sql import functions as F
 from quarry.llm import common
 from quarry.plans.sizing import materialize
 
-#: Most frequent training words whose statistics every task holds; the other
-#: words are joined. The bound fixes the broadcast's size, not the result.
+#: Most frequent training words whose statistics every task holds, and the bytes
+#: that such a word has at most; the other words, long ones among them, are
+#: joined. The two bound the broadcast's size (8 MB of words), not the result.
 HOT_WORDS = 1 << 17
+HOT_WORD_BYTES = 64
 ROUNDS = 2
 #: Expected count that every piece has besides those of the training rows.
 SMOOTH = 0.1
@@ -357,7 +359,8 @@ def score_texts(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_c
 
     scored = materialize(words.mapInArrow(weigh, "word string, c long, logp double"), "lm-scored")
     hot = sc.broadcast({r["word"].encode(): (r["c"], r["logp"]) for r in
-                        scored.orderBy(F.col("c").desc(), "word").limit(hot_words).collect()})
+                        scored.filter(F.octet_length("word") <= HOT_WORD_BYTES)
+                        .orderBy(F.col("c").desc(), "word").limit(hot_words).collect()})
     src = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text"))
 
     def split(b: pa.RecordBatch) -> dict:

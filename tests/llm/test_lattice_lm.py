@@ -82,6 +82,20 @@ def test_base_matches_brute_force_with_and_without_hot_words(spark):
     assert np.allclose(*scores)
 
 
+def test_long_frequent_words_are_joined_not_shipped(spark, monkeypatch):
+    rows = [(i, f"{'q' * 300} a {'日' * 40} b{i % 3}") for i in range(30)] + [(30, "q" * 300), (31, None)]
+    want = sorted(brute(rows))
+    scores = []
+    for most in (1 << 20, lm.HOT_WORD_BYTES, 1):
+        monkeypatch.setattr(lm, "HOT_WORD_BYTES", most)
+        got = sorted(lm.score_texts(frame(spark, rows), PATH).collect(), key=lambda r: r["doc_id"])
+        for g, w in zip(got, want, strict=True):
+            assert (g["doc_id"], g["held_out"], g["n_tokens"], g["n_known"], g["train_tokens"]) == w[:5]
+            assert math.isclose(g["base_score"], w[5], rel_tol=1e-9)
+        scores.append([g["score"] for g in got])
+    assert np.allclose(scores[0], scores[1]) and np.allclose(scores[0], scores[2])
+
+
 def test_training_raises_likelihood(spark, pieces):
     words = spark.createDataFrame([("thation", 50), ("renda", 30), ("selvor", 20)], "word string, c long")
     fitted = lm.fit_pieces(words, pieces, 10, rounds=3)
