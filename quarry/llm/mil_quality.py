@@ -34,8 +34,8 @@ from quarry.llm import common
 PASSAGE = 512
 #: Labelled rows that training takes at most.
 MAX_TRAIN = 6000
-#: Passages that training takes at most; of texts that would go over it, the
-#: rows stay and every one gives an equal number of evenly spaced passages.
+#: Passages that training takes at most: labelled rows that would go over it are
+#: left out whole, a text is never learned from in part.
 MAX_PASSAGES = 200_000
 HIDDEN, GATE, EPOCHS, BATCH, SEED = 24, 12, 30, 64, 7
 #: Share of positives from which a document is kept.
@@ -182,32 +182,32 @@ def training_rows(rows: DataFrame, max_train: int) -> DataFrame:
     picked = rows.groupBy("__h", "__id", "__t").agg(F.max("__y").alias("__y")) \
         .orderBy("__h", "__id", "__t").limit(max_train).select("__id", "__t")
     # at most max_train (id, text hash) rows: a bounded broadcast
-    return rows.join(F.broadcast(picked), ["__id", "__t"]).dropDuplicates(["__id", "__t"]).select("__id", "__text", "__y")
+    return rows.join(F.broadcast(picked), ["__id", "__t"]).dropDuplicates(["__id", "__t"]).select("__id", "__t", "__text", "__y")
 
 
-def per_row(rows: DataFrame, max_passages: int) -> int | None:
-    """Passages that a row may give: the largest number with which all rows
-    together stay within ``max_passages``; None where they do anyway."""
+def whole_rows(rows: DataFrame, max_passages: int) -> DataFrame:
+    """``rows`` without those that would take the passages over ``max_passages``:
+    rows are taken in order of a hash, each with all its passages or not at all,
+    so a text longer than what is left is passed over."""
     n = F.greatest(F.lit(1), F.ceil(F.octet_length(F.coalesce("__text", F.lit(""))) / PASSAGE))
-    sizes = sorted(r["n"] for r in rows.select(n.alias("n")).collect())  # at most max_train numbers
-    if sum(sizes) <= max_passages:
-        return None
-    left = max_passages
-    for i, size in enumerate(sizes):
-        if size * (len(sizes) - i) > left:
-            return max(1, left // (len(sizes) - i))
-        left -= size
-    return None
-
-
-def spaced(bag: np.ndarray, most: int | None) -> np.ndarray:
-    """At most ``most`` passages of the whole text, evenly spaced."""
-    return bag if most is None or len(bag) <= most else bag[np.arange(most) * len(bag) // most]
+    # at most max_train narrow rows
+    sizes = rows.select("__id", "__t", n.alias("n")).orderBy(F.xxhash64("__id", "__t"), "__id", "__t").collect()
+    left, gone = max_passages, []
+    for r in sizes:
+        if r["n"] <= left:
+            left -= r["n"]
+        else:
+            gone.append((r["__id"], r["__t"]))
+    if not gone:
+        return rows
+    out = rows.sparkSession.createDataFrame(gone, rows.select("__id", "__t").schema)
+    return rows.join(F.broadcast(out), ["__id", "__t"], "left_anti")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "quality", max_train: int = MAX_TRAIN, max_passages: int = MAX_PASSAGES) -> Model:
-    """Model from at most ``max_train`` labelled rows outside the held-out fold."""
+    """Model from at most ``max_train`` labelled rows outside the held-out fold,
+    of at most ``max_passages`` passages together; each row is taken whole."""
     common.prepare(docs.sparkSession)
     ids = (labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).filter(~held_out(id_col))
            .groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__y"))
@@ -215,10 +215,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # at most max_train (id, label) rows: a bounded broadcast
     rows = training_rows(docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
                          .join(F.broadcast(ids), "__id").select("__id", "__text", "__y"), max_train)
-    most = per_row(rows, max_passages)
+    rows = whole_rows(rows, max_passages).select("__id", "__text", "__y")
 
     def run(b: pa.RecordBatch) -> dict:
-        bags = [spaced(passages(t), most) for t in common.text_bytes(b.column(1))]
+        bags = [passages(t) for t in common.text_bytes(b.column(1))]
         return {"id": b.column(0).cast(pa.string()), "y": b.column(2), "n": [len(g) for g in bags],
                 "x": [g.astype(np.float16).tobytes() for g in bags]}
 
