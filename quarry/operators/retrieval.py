@@ -592,6 +592,48 @@ def answers(caps: DataFrame) -> DataFrame:
             .select("query_id", F.col("caption").alias("answer"), F.col("doc_id").alias("answer_doc_id")))
 
 
+def hit_passages(hits: DataFrame, queries: DataFrame, docs: DataFrame, per_hit: int = 3,
+                 per_query: int = 3) -> DataFrame:
+    """R9 and R10 on whole results: every hit with its list of ``captions`` and
+    its query's list of ``answers``.
+
+    Captions are a hit's ``per_hit`` sentences with most distinct query words
+    (ties: the earlier sentence). Answers are the ``per_query`` best captions of
+    all hits of the query (ties: smaller doc_id, then the earlier sentence) and
+    stand on every hit, also on one without captions. Lists run from the best
+    and are empty where no sentence shares a word with the query; hits whose
+    query or document is not there keep their row. Documents that share an id
+    give their sentences to the one hit.
+
+    Both lists are top-k windows, cut in each task before the shuffle; texts do
+    not leave their scan, and lists hold at most k sentences.
+    """
+    per_hit, per_query = _check_k(per_hit), _check_k(per_query)
+    hits = materialize(hits, "passage-hits")
+    q = queries.select("query_id", F.array_distinct(T.words("query")).alias("qw"))
+    h = hit_side(hits.select("query_id", "doc_id").distinct().join(broadcast_if_bounded(q), "query_id"))
+    scored = (docs.select("doc_id", "text").join(h, "doc_id")
+              .select("query_id", "doc_id", "qw", F.posexplode(T.sentences("text")).alias("sent_no", "sentence"))
+              .withColumn("overlap", F.size(F.array_intersect("qw", F.array_distinct(T.words("sentence")))))
+              .filter(F.col("overlap") > 0).drop("qw"))
+    best = [F.col("overlap").desc(), F.col("doc_id").asc(), F.col("sent_no").asc(), F.col("sentence").asc()]
+    kept = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy(*best))) \
+        .filter(F.col("r") <= per_hit)
+    kept = materialize(kept, "passages")  # at most per_hit sentences a hit; read twice
+    top = kept.withColumn("a", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))) \
+        .filter(F.col("a") <= per_query)
+
+    def listed(rank: str):
+        return F.transform(F.array_sort(F.collect_list(F.struct(rank, "sentence"))), lambda x: x["sentence"])
+
+    none = F.array().cast("array<string>")
+    caps = kept.groupBy("query_id", "doc_id").agg(listed("r").alias("captions"))
+    ans = top.groupBy("query_id").agg(listed("a").alias("answers"))
+    return (hits.join(caps, ["query_id", "doc_id"], "left").join(ans, "query_id", "left")
+            .withColumn("captions", F.coalesce("captions", none))
+            .withColumn("answers", F.coalesce("answers", none)))
+
+
 def matched_set(queries: DataFrame, docs: DataFrame, query_col: str = "query",
                 text_col: str = "text") -> DataFrame:
     """(query_id, doc_id) of every document that shares a term with a query."""

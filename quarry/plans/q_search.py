@@ -204,6 +204,26 @@ def answers(spark, sf_dir):
     return R.answers(_captions(spark, sf_dir))
 
 
+@register("hit_passages", sql=f"""
+WITH {CAPTIONS_CTE},
+top3 AS (SELECT * FROM sc WHERE overlap > 0
+         QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY overlap DESC, sent_no) <= 3),
+c AS (SELECT query_id, doc_id, string_agg(sentence, chr(10) ORDER BY overlap DESC, sent_no) AS captions,
+             count(*) AS n_captions FROM top3 GROUP BY ALL),
+a AS (SELECT query_id, string_agg(sentence, chr(10) ORDER BY overlap DESC, doc_id, sent_no) AS answers FROM (
+        SELECT * FROM top3 QUALIFY row_number() OVER (
+          PARTITION BY query_id ORDER BY overlap DESC, doc_id, sent_no) <= 3) GROUP BY query_id)
+SELECT k.query_id, k.doc_id, k.rank, coalesce(c.n_captions, 0) AS n_captions,
+       coalesce(c.captions, '') AS captions, coalesce(a.answers, '') AS answers
+FROM (SELECT * FROM kw WHERE rank <= 10) k LEFT JOIN c USING (query_id, doc_id) LEFT JOIN a USING (query_id)
+""")
+def hit_passages(spark, sf_dir):
+    qs, docs = search_queries(spark, sf_dir), corpus(spark, sf_dir)
+    out = R.hit_passages(R.keyword_search(qs, docs, k=10), qs, docs)
+    return out.select("query_id", "doc_id", "rank", F.size("captions").cast("long").alias("n_captions"),
+                      F.array_join("captions", "\n").alias("captions"), F.array_join("answers", "\n").alias("answers"))
+
+
 @register("facets", sql=f"""
 WITH {bm25_cte()},
 hits AS (SELECT query_id, doc_id FROM kw_raw),

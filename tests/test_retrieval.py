@@ -183,3 +183,35 @@ def test_matched_set_is_not_cut(spark):
                                 F.when(F.col("id") < 400, "a").otherwise("b").alias("source"))
     got = R.facets(R.matched_set(q, d), d, ["source"]).collect()
     assert sorted((r["value"], r["n"]) for r in got) == [("a", 400), ("b", 100)]
+
+
+def test_hit_passages_lists_captions_and_puts_answers_on_every_hit(spark):
+    docs = spark.createDataFrame([
+        (1, "Red fox runs. The red fox sleeps in a red den. A fox. Nothing here."),
+        (2, "Red fox here. Red fox here. Blue."), (3, "Quiet blue sea."), (4, ""), (5, None)],
+        "doc_id long, text string")
+    queries = spark.createDataFrame([("a", "red fox den"), ("b", "zebra"), ("c", None)], "query_id string, query string")
+    hits = spark.createDataFrame(
+        [("a", 2, 1), ("a", 1, 2), ("a", 3, 3), ("a", 4, 4), ("a", 5, 5), ("a", 9, 6), ("b", 1, 1), ("c", 1, 1),
+         ("none", 1, 1)], "query_id string, doc_id long, rank int")
+    got = {(r["query_id"], r["doc_id"]): r for r in R.hit_passages(hits, queries, docs, per_hit=2, per_query=3).collect()}
+    assert len(got) == 9
+    best, first = "The red fox sleeps in a red den.", "Red fox runs."
+    assert got["a", 1]["captions"] == [best, first]
+    assert got["a", 2]["captions"] == ["Red fox here.", "Red fox here."]
+    for d in (3, 4, 5, 9):
+        assert got["a", d]["captions"] == []
+    # the best of all hits, on every hit of the query
+    assert all(got["a", d]["answers"] == [best, first, "Red fox here."] for d in (1, 2, 3, 4, 5, 9))
+    for q in ("b", "c", "none"):
+        assert got[q, 1]["captions"] == [] and got[q, 1]["answers"] == [] and got[q, 1]["rank"] == 1
+    with pytest.raises(ValueError):
+        R.hit_passages(hits, queries, docs, per_hit=0)
+
+
+def test_hit_passages_with_no_hits(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "a")], "query_id long, query string")
+    hits = spark.createDataFrame([], "query_id long, doc_id long, rank int")
+    out = R.hit_passages(hits, queries, docs)
+    assert out.collect() == [] and out.columns[-2:] == ["captions", "answers"]
