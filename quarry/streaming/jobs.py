@@ -35,10 +35,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/quarry/stream-{name}-{uuid.uuid4().hex}"
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    return fs.exists(at) and fs.getFileStatus(at).isDirectory()
+
+
 def file_stream(spark: SparkSession, directory: str, file_glob: str | None = None,
                 schema=None, max_files_per_trigger: int | None = None) -> DataFrame:
     """Parquet file stream over ``directory`` (optionally one file name
-    pattern), schema taken from the files when not given."""
+    pattern, or a table in it that is a folder of files), schema taken from the
+    files when not given."""
+    if file_glob and _is_folder(spark, f"{directory.rstrip('/')}/{file_glob}"):
+        directory, file_glob = f"{directory.rstrip('/')}/{file_glob}", None
     reader = spark.readStream.format("parquet")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
