@@ -312,8 +312,8 @@ def keyword_boolean(queries: DataFrame, docs: DataFrame, k: int | None = None,
         needs.append(ph.groupBy("query_id").agg(F.collect_set(F.size("ptoks")).alias("n_ph")))
     roles = materialize(roles, "boolean-roles")
     constrained = roles.filter("role <> 'score'").select("term").distinct()
-    occ = doc_terms(docs, text_col).filter("doc_id IS NOT NULL").select("doc_id", "pos", "term") \
-        .join(broadcast_if_bounded(constrained), "term", "left_semi")
+    occ = materialize(doc_terms(docs, text_col).filter("doc_id IS NOT NULL").select("doc_id", "pos", "term")
+                      .join(broadcast_if_bounded(constrained), "term", "left_semi"), "boolean-occ")
     # Dealt by document while a row is a term of a document. What the queries
     # make of it is aggregated where it stands, and only k hits a query move on.
     rows = w.select("doc_id", "term", "w", none.cast("int").alias("pos")).unionByName(
