@@ -10,6 +10,7 @@ from quarry.operators import retrieval as R
 from quarry.plans import sqlfrag as Q
 from quarry.plans.catalog import ORACLE, register
 from quarry.plans.q_retrieval import bm25_cte, vec_cte
+from quarry.plans.sizing import spread
 from quarry.sources import search_table as S
 from quarry.sources.tables import corpus, doc_vectors, query_vectors, search_queries, table
 
@@ -182,7 +183,7 @@ caps AS (SELECT query_id, doc_id, sentence AS caption, overlap FROM (
 
 def _captions(spark, sf_dir):
     qs, docs = search_queries(spark, sf_dir), corpus(spark, sf_dir)
-    hits = R.keyword_search(qs, docs, k=10)
+    hits = R.keyword_search(qs, spread(docs.select("doc_id", "text")), k=10)
     return R.captions(hits, qs, docs)
 
 
@@ -374,5 +375,6 @@ def keyword_search_indexed(spark, sf_dir):
     buckets of its terms only."""
     from quarry.plans.sizing import shared_path
     from quarry.sources import search_index as SI
-    path = SI.build_index(corpus(spark, sf_dir), shared_path(spark, "bm25-index"))
+    docs = corpus(spark, sf_dir).select("doc_id", "text")
+    path = SI.build_index(spread(docs), shared_path(spark, "bm25-index"), SI.buckets_for(docs))
     return SI.keyword_search_index(search_queries(spark, sf_dir), path, k=10)

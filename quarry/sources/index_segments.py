@@ -2,7 +2,8 @@
 
 Every change writes one new segment and touches no file of an earlier one:
 
-  postings/segment=s/bucket=b  (doc_id, dl, term, tf) of the segment's documents
+  postings/segment=s/bucket=b  (doc_id, dl, term, tf) of the segment's documents;
+                               bucket -1 (term NULL) names them, and is read once to write
   docs/segment=s               (doc_id, dl)
   tombstones/segment=s         (doc_id): what older segments hold of it is dead
   merged/segment=s             (bucket): older segments of the bucket are replaced
@@ -24,10 +25,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions import text as T
 from quarry.operators import retrieval as R
 from quarry.plans.sizing import BROADCAST_MAX_ROWS, bounded_count, broadcast_if_bounded, fixed_broadcast, materialize
-from quarry.sources.search_index import _bucket, buckets_for
+from quarry.sources.search_index import _bucket, buckets_for, write_postings
 
 
 class Segments:
@@ -52,7 +52,7 @@ class Segments:
 
     def current(self, buckets: list[int] | None = None) -> DataFrame:
         """Postings that no compaction has replaced, dead ones included."""
-        rows = self.table("postings")
+        rows = self.table("postings").filter("bucket >= 0")
         if buckets is not None:
             rows = rows.filter(F.col("bucket").isin(buckets))
         merged = self.table("merged").groupBy("bucket").agg(F.max("segment").alias("__from"))    # a row a bucket at most
@@ -69,11 +69,12 @@ def _commit(spark, path: str, segment: int, n_docs: int, total_len: int, n_bucke
 
 def _write(path: str, segment: int, docs: DataFrame, dead: DataFrame, n_buckets: int, text_col: str) -> DataFrame:
     """The files of a segment; returns its documents as written."""
-    words = docs.select("doc_id", F.coalesce(T.words(text_col), F.array().cast("array<string>")).alias("__t"))
-    words.select("doc_id", F.size("__t").alias("dl")).write.mode("overwrite").parquet(f"{path}/docs/segment={segment}")
-    occ = T.explode_tokens(docs, ["doc_id"], T.words(text_col), with_len="dl")
-    agg = occ.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).withColumn("bucket", _bucket(F.col("term"), n_buckets))
-    agg.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/segment={segment}")
+    at = f"{path}/postings/segment={segment}"
+    write_postings(docs, at, n_buckets, text_col)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    named = docs.sparkSession.read.schema(f"doc_id {kind}, dl int, tf long, bucket int").parquet(at).filter("bucket = -1")
+    named.select("doc_id", "dl", F.explode(F.array_repeat(F.lit(0), F.col("tf").cast("int")))).select("doc_id", "dl") \
+        .write.mode("overwrite").parquet(f"{path}/docs/segment={segment}")
     dead.select("doc_id").distinct().write.mode("overwrite").parquet(f"{path}/tombstones/segment={segment}")
     _merged(docs.sparkSession, [], path, segment)
     return docs.sparkSession.read.parquet(f"{path}/docs/segment={segment}")

@@ -35,21 +35,26 @@ def buckets_for(docs: DataFrame, text_col: str = "text") -> int:
     return max(MIN_BUCKETS, -(-size // BUCKET_BYTES))
 
 
+def write_postings(docs: DataFrame, path: str, n_buckets: int, text_col: str = "text") -> None:
+    """(doc_id, dl, term, tf) by term bucket at ``path``; bucket -1 has a row with term
+    NULL for each document, whose tf is the number of rows that are the document.
+    Terms are counted inside their row, and only where ids repeat (a scan of the
+    ids tells) do equal documents still have to meet in a shuffle of their own."""
+    counts = T.term_counts(docs, ["doc_id"], T.words(text_col), marker=True)
+    if not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        counts = counts.groupBy("doc_id", "dl", "term").agg(F.sum("tf").alias("tf"))
+    bucket = F.when(F.col("term").isNotNull(), _bucket(F.col("term"), n_buckets)).otherwise(F.lit(-1))
+    counts.withColumn("bucket", bucket).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
 def build_index(docs: DataFrame, path: str, n_buckets: int | None = None, text_col: str = "text") -> str:
-    """Tokenise once, aggregate (doc, term) counts map-side, write postings
+    """Tokenise once, count each document's terms where it stands, write postings
     by term bucket (``n_buckets`` of them, by default sized from the corpus; a
-    bucket with a frequent term is split over files), then derive df and corpus
+    bucket with a frequent term is split over files), one shuffle, then derive df and corpus
     statistics from the written postings (one row per document with term NULL
     carries its length)."""
     n_buckets = n_buckets or buckets_for(docs, text_col)
-    staged = docs.select("doc_id", F.coalesce(T.words(text_col), F.array().cast("array<string>")).alias("__t"))
-    staged = staged.select("doc_id", F.size("__t").alias("dl"),
-                           F.concat("__t", F.array(F.lit(None).cast("string"))).alias("__t"))
-    occ = staged.select("doc_id", "dl", F.explode("__t").alias("term"))
-    agg = occ.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    agg = agg.withColumn("bucket", F.when(F.col("term").isNotNull(), _bucket(F.col("term"), n_buckets))
-                         .otherwise(F.lit(-1)))
-    agg.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    write_postings(docs, f"{path}/postings", n_buckets, text_col)
     spark = docs.sparkSession
     post = spark.read.parquet(f"{path}/postings")
     (post.filter(F.col("bucket") >= 0).groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))
