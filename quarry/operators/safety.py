@@ -264,49 +264,72 @@ def _automaton_scan(shipped):
     return scan
 
 
+#: Text bytes that are tokens and hashes at a time in a shingle scan.
+SCAN_BYTES = 1 << 20
+
+
 def _shingle_scan(n: int, prot_hashes=None):
-    """mapInPandas body: for each Arrow batch of (key, space-joined tokens), hash every
+    """mapInArrow body: for each slice of about ``SCAN_BYTES`` of (key, space-joined tokens), hash every
     token once (pandas' C hash, deterministic), combine n consecutive token
     hashes with a polynomial rolling hash (numpy, wrapping uint64), drop
     windows that cross a document boundary, and, when ``prot_hashes`` is
     given, keep only windows whose hash is in that sorted set. Emits (key,
-    pos, h, s) with s the shingle text, built only for kept windows."""
+    pos, h, s) with s the shingle text, built only for kept windows. So a task
+    holds the tokens of one slice, whatever the batch's rows and lengths are
+    (a longer text is a slice of its own)."""
     import numpy as np
     import pandas as pd
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
     mult = np.uint64(1099511628211)
 
+    def slices(batch):
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < len(size):
+            before = size[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(size, before + SCAN_BYTES, side="right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+    def scan(part):
+        # Tokens arrive space-joined (they never contain spaces): a plain
+        # string crosses Arrow far faster than an array of strings.
+        toks = [t.split(" ") if t else [] for t in part.column(1).to_pylist()]
+        lens = np.fromiter((len(t) for t in toks), dtype=np.int64, count=len(toks))
+        total = int(lens.sum())
+        if total < n:
+            return None
+        flat = np.concatenate([np.asarray(t, dtype=object) for t in toks if len(t)])
+        th = pd.util.hash_array(flat, categorize=False)
+        m = total - n + 1
+        h = np.zeros(m, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(n):
+                h = h * mult + th[j:j + m]
+        doc = np.repeat(np.arange(len(lens)), lens)[:m]
+        pos = (np.arange(total) - np.repeat(np.cumsum(lens) - lens, lens))[:m]
+        keep = pos + n <= lens[doc]
+        if prot_hashes is not None and len(prot_hashes):
+            i = np.clip(np.searchsorted(prot_hashes, h), 0, len(prot_hashes) - 1)
+            keep &= prot_hashes[i] == h
+        elif prot_hashes is not None:
+            return None
+        idx = np.nonzero(keep)[0]
+        if len(idx) == 0:
+            return None
+        text = [" ".join(flat[k:k + n]) for k in idx]
+        return pa.RecordBatch.from_arrays(
+            [part.column(0).take(pa.array(doc[idx])), pa.array(pos[idx].astype(np.int32)),
+             pa.array(h[idx].view(np.int64)), pa.array(text, type=pa.string())], names=[part.schema.names[0], "pos", "h", "s"])
+
     def fn(batches):
-        for pdf in batches:
-            key = pdf.columns[0]
-            # Tokens arrive space-joined (they never contain spaces): a plain
-            # string crosses Arrow far faster than an array of strings.
-            toks = [t.split(" ") if t else [] for t in pdf["__toks"]]
-            lens = np.fromiter((len(t) for t in toks), dtype=np.int64, count=len(toks))
-            total = int(lens.sum())
-            if total < n:
-                continue
-            flat = np.concatenate([np.asarray(t, dtype=object) for t in toks if len(t)])
-            th = pd.util.hash_array(flat, categorize=False)
-            m = total - n + 1
-            h = np.zeros(m, dtype=np.uint64)
-            with np.errstate(over="ignore"):
-                for j in range(n):
-                    h = h * mult + th[j:j + m]
-            doc = np.repeat(np.arange(len(lens)), lens)[:m]
-            pos = (np.arange(total) - np.repeat(np.cumsum(lens) - lens, lens))[:m]
-            keep = pos + n <= lens[doc]
-            if prot_hashes is not None and len(prot_hashes):
-                i = np.clip(np.searchsorted(prot_hashes, h), 0, len(prot_hashes) - 1)
-                keep &= prot_hashes[i] == h
-            elif prot_hashes is not None:
-                continue
-            idx = np.nonzero(keep)[0]
-            if len(idx) == 0:
-                continue
-            text = [" ".join(flat[k:k + n]) for k in idx]
-            yield pd.DataFrame({key: pdf[key].to_numpy()[doc[idx]], "pos": pos[idx].astype(np.int32),
-                                "h": h[idx].view(np.int64), "s": text})
+        for batch in batches:
+            for part in slices(batch):
+                found = scan(part)
+                if found is not None:
+                    yield found
 
     return fn
 
@@ -339,7 +362,7 @@ def protected_material(docs: DataFrame, protected: DataFrame, n: int = 8,
         return f"`{k}` {df.schema[k].dataType.simpleString()}, pos int, h long, s string"
 
     # Written once: counted, collected as hashes, joined and sized from there.
-    prot = materialize(toks(protected, item).mapInPandas(_shingle_scan(n), kind(protected, item))
+    prot = materialize(toks(protected, item).mapInArrow(_shingle_scan(n), kind(protected, item))
                        .select(item, "h", F.col("s").alias("ps")).distinct(), "protected")
     sizes = prot.groupBy(item).agg(F.count(F.lit(1)).alias("item_shingles"))
     distinct = prot.select("h").distinct()
@@ -352,7 +375,7 @@ def protected_material(docs: DataFrame, protected: DataFrame, n: int = 8,
         def scan(batches, bc=bc):
             return _shingle_scan(n, bc.value)(batches)
 
-        found = toks(docs, key).mapInPandas(scan, kind(docs, key)).select(key, "h", "s")
+        found = toks(docs, key).mapInArrow(scan, kind(docs, key)).select(key, "h", "s")
         cand = found if cand is None else cand.unionByName(found)
     hits = (cand.join(broadcast_if_bounded(prot), "h")
             .filter(F.col("s") == F.col("ps"))
