@@ -10,6 +10,7 @@ broken by doc_id, so every engine produces the same order.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -75,6 +76,14 @@ def doc_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return T.explode_tokens(docs, ["doc_id"], T.words(text_col), with_len="dl", with_pos="pos")
 
 
+def _neighbours(df: DataFrame, key: str, tokens: str, pos: str) -> DataFrame:
+    """(key, pos, term, before, after): every token with those beside it."""
+    toks, none = F.col(tokens), F.array(F.lit(None).cast("string"))
+    beside = F.arrays_zip(toks.alias("term"), F.concat(none, toks).alias("before"), F.slice(toks, F.lit(2), F.size(toks)).alias("after"))
+    out = T.posexplode_once(df.filter(F.size(toks) > 0).select(key, beside.alias("__z")), [key], "__z", pos, "__v")
+    return out.select(key, pos, "__v.*").filter("term IS NOT NULL")
+
+
 def term_frequencies(docs: DataFrame, terms: DataFrame, text_col: str = "text",
                      broadcast_terms: bool = True) -> DataFrame:
     """(doc_id, dl, term, tf) restricted to ``terms`` (distinct term column),
@@ -293,8 +302,9 @@ def keyword_boolean(queries: DataFrame, docs: DataFrame, k: int | None = None,
     qt, w, _ = _bm25_weights(queries, docs, BM25_K1, BM25_B, query_col, text_col)
     none = F.lit(None)
 
-    def asked(role, words, off=none):
-        return words.select("query_id", "term", F.lit(role).alias("role"), off.cast("int").alias("off"))
+    def asked(role, words, off=none, before=none, after=none):
+        return words.select("query_id", "term", F.lit(role).alias("role"), off.cast("int").alias("off"),
+                            before.cast("string").alias("before"), after.cast("string").alias("after"))
 
     # What a query asks of a term, and what it needs: all its must words, and as
     # many words of its phrase at one start.
@@ -307,30 +317,50 @@ def keyword_boolean(queries: DataFrame, docs: DataFrame, k: int | None = None,
         roles = roles.unionByName(asked("bad", T.explode_tokens(queries, ["query_id"], F.array_distinct(T.words(must_not))).distinct()))
     if phrase and phrase in cols:
         ph = queries.select("query_id", T.words(phrase).alias("ptoks")).filter(F.size("ptoks") > 0)
-        roles = roles.unionByName(asked("phrase", ph.select("query_id", F.posexplode("ptoks").alias("off", "term")), F.col("off")))
+        roles = roles.unionByName(asked("phrase", _neighbours(ph, "query_id", "ptoks", "off"), F.col("off"), F.col("before"), F.col("after")))
         needs.append(ph.groupBy("query_id").agg(F.collect_set(F.size("ptoks")).alias("n_ph")))
     roles = materialize(roles, "boolean-roles")
     constrained = roles.filter("role <> 'score'").select("term").distinct()
-    occ = materialize(doc_terms(docs, text_col).filter("doc_id IS NOT NULL").select("doc_id", "pos", "term")
+    toks = docs.filter("doc_id IS NOT NULL").select("doc_id", T.words(text_col).alias("__toks"))
+    occ = materialize(_neighbours(toks, "doc_id", "__toks", "pos")
                       .join(broadcast_if_bounded(constrained), "term", "left_semi"), "boolean-occ")
-    # Dealt by document while a row is a term of a document. What the queries
-    # make of it is aggregated where it stands, and only k hits a query move on.
-    rows = w.select("doc_id", "term", "w", none.cast("int").alias("pos")).unionByName(
-        occ.select("doc_id", "term", none.cast("double").alias("w"), F.col("pos").cast("int").alias("pos"))).repartition("doc_id")
-    met = rows.join(broadcast_if_bounded(roles), "term").filter(F.col("w").isNotNull() == (F.col("role") == "score"))
+    # The constraints are judged first, on their words alone and dealt by document.
+    # Must and excluded words count once a document; of a phrase's words only those
+    # with the right neighbours are left before queries multiply them.
+    dealt = occ.repartition("doc_id")
+    words = roles.filter("role IN ('must', 'bad')").select("query_id", "term", "role")
+    present = dealt.select("doc_id", "term").distinct().join(broadcast_if_bounded(words), "term").groupBy("query_id", "doc_id").agg(
+        none.cast("int").alias("start"), F.sum((F.col("role") == "must").cast("int")).alias("have"),
+        F.max((F.col("role") == "bad").cast("int")).alias("bad"), F.lit(0).cast("long").alias("m"))
+    stands = roles.filter("role = 'phrase'").select("query_id", "off", F.col("term").alias("__t"), F.col("before").alias("__b"), F.col("after").alias("__a"))
     # A phrase occurs at start s when token s+off equals phrase term off for every off.
-    starts = met.groupBy("query_id", "doc_id", (F.col("pos") - F.col("off")).alias("start")).agg(
-        F.sum("w").alias("raw"), F.size(F.collect_set(F.when(F.col("role") == "must", F.col("term")))).alias("have"),
-        F.max((F.col("role") == "bad").cast("int")).alias("bad"), F.sum((F.col("role") == "phrase").cast("int")).alias("m"))
+    at = dealt.join(broadcast_if_bounded(stands), (F.col("term") == F.col("__t")) & (F.col("__b").isNull() | (F.col("before") == F.col("__b")))
+                    & (F.col("__a").isNull() | (F.col("after") == F.col("__a"))))
+    starts = present.unionByName(at.groupBy("query_id", "doc_id", (F.col("pos") - F.col("off")).alias("start")).agg(
+        F.lit(0).cast("long").alias("have"), F.lit(0).alias("bad"), F.count(F.lit(1)).alias("m")))
     for n in needs:
         starts = starts.join(broadcast_if_bounded(n), "query_id", "left")
     whole = F.array_contains("n_ph", F.col("m").cast("int")) if "n_ph" in starts.columns else F.lit(True)
     ask_ph = F.col("n_ph").isNotNull() if "n_ph" in starts.columns else F.lit(False)
     ask_req = F.coalesce(F.col("n_req"), F.lit(0)) if "n_req" in starts.columns else F.lit(0)
-    scored = starts.groupBy("query_id", "doc_id").agg(
-        F.sum("raw").alias("raw"), F.max("bad").alias("bad"), (F.max("have") >= F.max(ask_req)).alias("has_all"),
-        F.max(~ask_ph | (F.col("start").isNotNull() & whole)).alias("has_phrase")) \
-        .filter("raw IS NOT NULL AND bad = 0 AND has_all AND has_phrase")
+    judged = starts.groupBy("query_id", "doc_id").agg(
+        F.max("bad").alias("bad"), (F.max("have") >= F.max(ask_req)).alias("has_all"),
+        F.max(~ask_ph | (F.col("start").isNotNull() & whole)).alias("has_phrase"), F.max(ask_ph | (ask_req > 0)).alias("asks"))
+    pairs = materialize(judged.filter("CASE WHEN asks THEN bad = 0 AND has_all AND has_phrase ELSE bad = 1 END")
+                        .select("query_id", "doc_id", (F.col("bad") == 0).alias("hit")), "boolean-pairs")
+    # A query that asks for words is scored in the documents that have them, any
+    # other in all but those with an excluded word.
+    asking = materialize(functools.reduce(DataFrame.unionByName, [n.select("query_id") for n in needs]).filter("query_id IS NOT NULL").distinct()
+                         if needs else roles.select("query_id").limit(0), "boolean-asking")
+    score = materialize(roles.filter("role = 'score'").select("query_id", "term").join(
+        broadcast_if_bounded(asking.withColumn("asks", F.lit(True))), "query_id", "left"), "boolean-score")
+    if score.filter("asks IS NULL").isEmpty():
+        w = w.join(broadcast_if_bounded(pairs.select("doc_id").distinct()), "doc_id", "left_semi")
+    judged = pairs.select(F.col("query_id").alias("__q"), F.col("doc_id").alias("__d"), "hit")
+    scored = (w.repartition("doc_id").join(broadcast_if_bounded(score), "term").join(
+        broadcast_if_bounded(judged), F.col("query_id").eqNullSafe(F.col("__q")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left")
+        .filter("CASE WHEN asks THEN hit ELSE hit IS NULL END"))
+    scored = scored.groupBy("query_id", "doc_id").agg(F.sum("w").alias("raw")).filter("raw IS NOT NULL")
     scored = scored.select("query_id", "doc_id", F.round("raw", SCORE_DIGITS).alias("score"))
     return top_k_per_query(scored, k)
 

@@ -215,3 +215,19 @@ def test_hit_passages_with_no_hits(spark):
     hits = spark.createDataFrame([], "query_id long, doc_id long, rank int")
     out = R.hit_passages(hits, queries, docs)
     assert out.collect() == [] and out.columns[-2:] == ["captions", "answers"]
+
+
+def test_keyword_boolean_scores_only_what_its_constraints_leave(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "red fox runs home"), (2, "red red dog runs"), (3, "home fox red"), (4, None), (5, "cat runs home")],
+                                 "doc_id int, text string")
+    q = spark.createDataFrame([(1, "red runs home", "red", "dog", "fox runs"), (2, "runs home", None, "cat", None),
+                               (3, "red", None, None, "red fox"), (None, "home runs", None, "cat", None), (4, "home", "runs", "fox", None)],
+                              "query_id int, query string, must string, must_not string, phrase string")
+    written, keep = {}, R.materialize
+    monkeypatch.setattr(R, "materialize", lambda df, name: written.setdefault(name, keep(df, name)))
+    got = {}
+    for r in R.keyword_boolean(q, docs, k=10).collect():
+        got.setdefault(r.query_id, set()).add(r.doc_id)
+    assert got == {1: {1}, 2: {1, 2, 3}, 3: {1}, None: {1, 2, 3}, 4: {5}}
+    hits = {(r.query_id, r.doc_id) for r in written["boolean-pairs"].filter("hit").collect()}
+    assert hits == {(1, 1), (3, 1), (4, 2), (4, 5)}  # of the queries that ask for words; scored in these alone
